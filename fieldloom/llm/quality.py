@@ -75,13 +75,16 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A tree of four leaves over a pair's grid of bins: a cut along one, then one in each half along the other."""
-    out = np.empty(g.shape)
-    cut = _cut(g.sum(1), h.sum(1))[1]
-    for rows in (slice(0, cut), slice(cut, len(g))):
-        mid = _cut(g[rows].sum(0), h[rows].sum(0))[1]
-        for cols in (slice(0, mid), slice(mid, None)):
-            out[rows, cols] = _leaf(g[rows, cols].sum(), h[rows, cols].sum())
+    """A tree of four leaves over a pair's grid of bins: the cut along one that is best with one in each half along the other."""
+    best, out = -np.inf, np.zeros(g.shape)
+    for cut in range(1, len(g)):
+        table = np.empty(g.shape)
+        for rows in (slice(0, cut), slice(cut, len(g))):
+            mid = _cut(g[rows].sum(0), h[rows].sum(0))[1]
+            for cols in (slice(0, mid), slice(mid, None)):
+                table[rows, cols] = _leaf(g[rows, cols].sum(), h[rows, cols].sum())
+        if (gain := float((table * g).sum())) > best:
+            best, out = gain, table
     return out
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import language_id, mixing, packing, quality, simhash
+from fieldloom.llm import chat, embeddings, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_chat": chat.op1_chat,
+        "op2_embeddings": embeddings.op2_embeddings,
+        "op3_warc": warc.op3_warc,
         "op4_language_id": language_id.op4_language_id,
+        "op5_html": html_text.op5_html,
         "op6_mixing": mixing.op6_mixing,
+        "op7_imatch": imatch.op7_imatch,
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,

@@ -1,0 +1,45 @@
+import html
+import re
+
+import pandas as pd
+
+from fieldloom.llm import html_text
+
+PLAIN = html_text.Weights(pd.DataFrame({"tag": ["", "p", "a"], "inside": [100, 10, 1], "outside": [50, 10, 50]}))
+
+
+def test_article_alone():
+    page = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
+    <nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies a lot and like them.</div><!-- <p>no</p> -->
+    <article><h1>Head &lt;1&gt;</h1><p><b>One  two&nbsp;three.<br><p>Four <a href="y">five</a>,\n six<script>bad()</script>.</p>
+    <div class="ad">Buy now and save money</div><form>Name <input></form><ul><li>Item</ul><aside>Side words here</aside><div id="comments"><p>First!!</p></div><p>Last.</article>
+    <div class="sidebar">Other words</div><footer>&copy; us</footer>"""
+    assert PLAIN.text(page) == "Head <1>\nOne two three.\nFour five, six.\nItem\nLast."
+
+
+def test_without_article_the_best_run_is_found():
+    page = '<body><div><a href="a">x</a><a href="b">y</a></div><div><p>' + "word " * 60 + "</p><p>End of it.</p></div><div>" + '<a href="c">z</a>' * 9 + "</div>"
+    assert PLAIN.text(page) == ("word " * 60).strip() + "\nEnd of it."
+
+
+def test_broken_pages():
+    assert [PLAIN.text(x) for x in (None, "", "<", "<<>>", "<article", "<article></article>", "<script>never ends", "<!-- never ends")] == ["", "", "<", "<<>>", "<article", "", "", ""]
+    assert PLAIN.text('<div class="ad">left open<article><p>Text here</p></article>') == "Text here"
+    assert PLAIN.text("a < b &amp; c &unknown; &#233;</p></div>") == "a < b & c &unknown; é"
+
+
+def test_whole_table(spark, sf):
+    rows = html_text.op5_html(spark, sf).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in rows:
+        inside = re.search(r"<article>(.*?)(</article>|$)", pages[r["page_id"]], re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?p>|<br>|</?h1>", inside)]
+        assert r["text"] == "\n".join(b for b in blocks if b)
+        assert r["n_chars"] == len(r["text"])
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>Some words</p>", "y")], "page_id long, url string, html string, text string")
+    got = html_text.extract(df, html_text.train(df)).collect()
+    assert [r["text"] for r in got] == ["", "", "Some words"]
+    assert html_text.extract(df.limit(0), html_text.train(df.limit(0))).count() == 0

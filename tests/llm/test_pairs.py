@@ -1,0 +1,129 @@
+"""SimHash and embedding near-dedup against brute force."""
+
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fieldloom.llm import embeddings, simhash
+from fieldloom.llm.common import connected_components, star_edges
+
+SCHEMA = "doc_id long, text string, size string, fingerprint int"
+
+
+def smallest_reachable(close, ids):
+    label = np.array(ids)
+    while True:
+        new = np.array([label[close[i]].min() for i in range(len(ids))])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abAÉß \n\t\x0b\x85\xa0.é漢"), max_size=80))
+def test_fingerprint_is_plain_simhash(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_fingerprint_in_blocks(monkeypatch):
+    text = " ".join(map(str, range(500)))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert simhash.fingerprint(text) == whole == plain_fingerprint(text)
+
+
+def test_components_of_close_fingerprints(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = [base]
+    for _ in range(6):  # chains of small steps, so that groups are wider than the threshold
+        step = fps[-1].copy()
+        for _ in range(4):
+            step ^= np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)
+        fps.append(step)
+    fps = np.concatenate([*fps, base[:5], np.zeros(3, np.uint64)])
+    ids = rng.permutation(len(fps)) + 100
+    df = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, fps.view(np.int64))], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(df).collect()}
+    close = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
+    assert [got[i] for i in ids] == smallest_reachable(close, ids)
+
+
+def test_near_dups_odd_rows(spark):
+    text = "one two three four five six seven eight nine ten " * 20
+    rows = [(5, text, "x", 1), (3, text.upper(), "x", 1), (3, text.upper(), "x", 1), (9, None, "x", 1), (8, "", None, 1), (7, " \n", None, 1), (2, "alone here", "x", 1), (None, text, "x", 1)]
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_dups(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert {r[2] for r in got if r[0] in (3, 5, None)} == {3}
+    assert {r for r in got if r[0] in (7, 8, 9)} == {(i, "0" * 16, 7) for i in (7, 8, 9)}
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "size", "fingerprint"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7]
+    assert simhash.near_dups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
+def test_star_edges(pairs):
+    a, b = np.array(pairs).T
+    node, root = star_edges(a, b)
+    close = np.eye(31, dtype=bool)
+    close[a, b] = close[b, a] = True
+    want = smallest_reachable(close, list(range(31)))
+    got = list(range(31))
+    for n, r in zip(node, root):
+        got[n] = r
+    assert got == want
+
+
+def test_connected_components_of_a_path_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (7, 6)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 1000 for i in range(1000, 1100)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_links(vectors, labels, cosine):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = (unit @ unit.T >= cosine) & (labels[:, None] == labels[None])
+    np.fill_diagonal(close, True)
+    return close
+
+
+@pytest.mark.parametrize("dims,piece,cell", [(64, 4096, 256), (64, 20, 4), (10, 16, 8), (3, 4096, 1)])
+def test_links_are_all_and_only_close_pairs(spark, monkeypatch, dims, piece, cell):
+    monkeypatch.setattr(embeddings, "PIECE", piece)
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    rng = np.random.default_rng(dims)
+    base = rng.standard_normal((60, dims))
+    spread = [base + rng.standard_normal(base.shape) * s for s in (0, 0.1, 0.25, 0.3, 0.35, 0.4, 0.5)]
+    x = np.concatenate([*spread, base[:4] * 3, base[:2] + rng.standard_normal((2, dims)) * 1e-3]).astype(np.float32)
+    labels = np.concatenate([np.arange(60) % 3] * 7 + [np.arange(4) % 3, np.arange(2) % 3])
+    ids = rng.permutation(len(x)) + 10
+    df = spark.createDataFrame([(int(i), v.tolist(), int(k)) for i, v, k in zip(ids, x, labels)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embeddings.near_dups(df).collect()}
+    close = plain_links(x.astype(float), labels, 0.93)
+    assert [got[i]["n_links"] for i in ids] == (close.sum(1) - 1).tolist()
+    assert [got[i]["component_id"] for i in ids] == smallest_reachable(close, ids)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_vectors_that_link_with_nothing(spark):
+    one, nan, inf = [1.0, 0.0], float("nan"), float("inf")
+    rows = [(1, one, 1), (2, one, 1), (3, one, 1), (4, one, None), (5, one, None), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, None, 1), (11, [None, 1.0], 1), (12, [1.0, 0.0, 0.0], 1), (13, [], 1), (14, one, 2), (15, [1.0, 0.4], 1), (16, [1.0, 0.3], 1)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, comp string, n int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_dups(df).collect()}
+    assert {i: got[i] for i in (1, 2, 3)} == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False)}
+    assert got[16] == (4, 1, False) and got[15] == (1, 1, False)
+    assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14))
+    assert embeddings.near_dups(df.limit(0)).count() == 0
