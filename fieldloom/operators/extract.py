@@ -68,7 +68,7 @@ def record(resolved: DataFrame, fields: list[str] | None = None) -> DataFrame:
 def coverage(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(lang, field, n_docs, level): documents that have the field, by language and field, by field, and overall.
 
-    level tells subtotals (1: by field, 3: overall) from null languages.
+    level tells subtotals (2: by field, 3: overall) from null languages.
     """
     pairs = found.select("doc_id", "field").distinct().join(docs.select("doc_id", "lang"), "doc_id")
     sets = pairs.groupingSets([["lang", "field"], ["field"], []], "lang", "field")
