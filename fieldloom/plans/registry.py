@@ -78,5 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "page_parts": _union([f"SELECT page_id, '{n}' AS part, unnest(regexp_extract_all(html, '{p}', 1)) AS value FROM pages" for n, p in PARTS.items()]),
         "links": f"SELECT host, count(DISTINCT page_id) AS n_pages, count(target) AS n_links, count(DISTINCT target) AS n_targets FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS target FROM (SELECT *, regexp_extract_all(html, '{_LINKS}', 1) AS t FROM pages)) GROUP BY host",
         "candidates_stream": f"{_FOUND} SELECT * FROM found",
-        "windowed_events": "SELECT date_trunc('hour', ts)::TIMESTAMPTZ AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
+        "windowed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY ALL",
     }

@@ -31,10 +31,10 @@ def segments_stream(spark: SparkSession, folder: str, path: str, checkpoint: str
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, event_type, n, total) of an event stream or table; rows later than `late` are let go."""
+    """(window_start, event_type, n, total) of an event stream or table; rows later than `late` are let go. Totals are exact to 4 places, in any order of rows."""
     marked = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    sums = marked.groupBy(F.window("at", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return sums.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    sums = marked.groupBy(F.window("at", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+    return sums.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
 def upsert_records(found: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
