@@ -16,7 +16,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     The cluster names that folder in spark.checkpoint.dir. Only where it is unset
     (a local session, as in tests) a temporary folder stands in for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fieldloom.shared.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("fieldloom.shared.dir", base)

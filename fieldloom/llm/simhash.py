@@ -133,7 +133,10 @@ def near_dups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which near_dups names the component, one row each, with all their columns."""
+    """The documents of which near_dups names the component, one row each, with all their columns.
+
+    Rows without a doc_id can't be told apart and go; of rows that repeat a doc_id any one stays.
+    """
     dups = near_dups(docs)
     kept = dups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
