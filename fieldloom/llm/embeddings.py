@@ -25,8 +25,9 @@ from fieldloom.llm.common import connected_components, materialise, star_edges
 
 COSINE = 0.93
 BLOCK_DIMS = 8
-#: Vectors a cell should hold, about; a block is cut along so many dimensions as that takes.
-CELL = 256
+#: Vectors a cell should hold, about; a block is cut along so many dimensions as that takes. A row that visits
+#: another cell costs as much as thousands of comparisons inside one, so cells are large.
+CELL = 2048
 #: Cells with more rows than this are compared in pieces, each pair of pieces in a task of its own.
 PIECE = 4096
 #: Pairs looked at a time.
@@ -172,7 +173,7 @@ def near_dups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     alive = F.exists("embedding", lambda x: x != 0) & finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(alive, F.lit(False)).alias("usable"))
     usable = rows.where("usable")
-    classes = materialise(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "embedding-classes")
+    classes = materialise(usable.groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("mult")), "embedding-classes")
     found = materialise(links(classes, cosine), "embedding-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     # repeated ids may stand for several classes, so components are taken over classes
