@@ -34,8 +34,8 @@ GROUP = 16_384
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 4, 6
 #: Bins less full than this are opened again in the last round.
 FULL = 0.97
-#: Distinct words that a worker remembers the ids of.
-CACHE_WORDS = 1_500_000
+#: Distinct parts of words that a worker remembers the ids of.
+CACHE_WORDS = 1_000_000
 #: Characters tokenized at a time.
 BLOCK = 1 << 22
 
@@ -47,72 +47,94 @@ def default_vocabulary() -> str:
 
 
 class Words:
-    """The tokenizer's ids word by word: its tokens never cross white space, so words can be remembered."""
+    """The tokenizer's ids word by word: its tokens never cross white space, so parts of words can be remembered.
 
-    SPLIT = "0"  # digits are tokens of their own, so this one between words marks where they end
+    A word of plain letters and the marks behind it are parts of their own, as the tokenizer parts
+    letters from marks (but for apostrophes); any other word is one part.
+    """
+
+    #: ASCII and Latin-1 letters, then ASCII marks without the apostrophe.
+    PLAIN = "^(?P<letters>[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.full.encode_special_tokens = self.plain.encode_special_tokens = True
-        self.plain.normalizer = normalizers.Sequence([])  # for words in lower-case ASCII, which normalisation leaves alone
-        self.mark = self.full.encode(self.SPLIT, add_special_tokens=False).ids[0]
+        # Normalising leaves lower-case letters of Latin-1 as they are, and they are never parted.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.full.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = {"": 0}
         self.flat, self.start = np.zeros(1 << 20, np.uint32), np.zeros((1 << 20) + 1, np.int64)
 
-    def _append(self, ids: list[np.ndarray]) -> None:
-        n, lengths = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = self.start[n] + np.cumsum(lengths)
-        while n + len(ids) + 1 > len(self.start):
+    def _append(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.number)
+        while n + len(words) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        while ends[-1] > len(self.flat):
+        size = self.start[n]
+        while size + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.start[n] : ends[-1]] = np.concatenate(ids)
-        self.start[n + 1 : n + 1 + len(ids)] = ends
-
-    def _learn(self, words: list[str]) -> None:
-        simple = [w for w in words if w.isascii() and self.SPLIT not in w]
-        other = [w for w in words if not (w.isascii() and self.SPLIT not in w)]
-        between = f" {self.SPLIT} "
-        for i in range(0, len(simple), 2000):
-            part = simple[i : i + 2000]
-            ids = np.array(self.plain.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            self._append(np.split(np.delete(ids, cut := np.nonzero(ids == self.mark)[0]), cut - np.arange(len(cut))))
-            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
-        for i in range(0, len(other), 2000):
-            part = other[i : i + 2000]
-            self._append([np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast(part, add_special_tokens=False)])
-            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
+        self.flat[size : size + len(ids)] = ids
+        self.start[n + 1 : n + 1 + len(words)] = size + ends
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, words: list[str], plain: bool) -> None:
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            if plain:
+                ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                self._append(part, ids, np.nonzero(self.last[ids])[0] + 1)
+            else:
+                found = [np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast(part, add_special_tokens=False)]
+                self._append(part, np.concatenate(found), np.cumsum(list(map(len, found))))
+
+    def _numbers(self, parts: pa.Array, plain: bool) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in known if w not in self.number]:
+            self._learn(new, plain)
+        return np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts in a row, and where each part's end."""
+        return gather(self.flat, self.start[numbers], self.start[numbers + 1])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, END_ID last."""
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        if len(self.number) + len(known) > CACHE_WORDS:
+        if len(self.number) > CACHE_WORDS:
             self._forget()
-        new = [w for w in known if w not in self.number]
-        if "" in new:  # of a text that begins or ends in white space
-            new.remove("")
-            self._append([np.zeros(0, np.uint32)])
-            self.number[""] = len(self.number)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
-        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        found = pc.extract_regex(coded.dictionary, self.PLAIN)
+        odd = found.is_null()
+        parts = np.zeros((len(found), 2), np.int64)
+        at = np.nonzero(~odd.to_numpy(zero_copy_only=False))[0]
+        if len(at):
+            letters, marks = found.filter(pc.invert(odd)).flatten()
+            parts[at, 0], parts[at, 1] = self._numbers(pc.utf8_lower(letters), True), self._numbers(marks, False)
+        if len(at) < len(parts):
+            parts[odd.to_numpy(zero_copy_only=False), 0] = self._numbers(coded.dictionary.filter(odd), False)
+        flat, ends = self._gather(parts.ravel())
+        ends = ends[1::2]
+        starts = np.r_[0, ends[:-1]]
+        index, offsets = coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
         for s, e in zip(offsets[:-1], offsets[1:], strict=True):
-            first, n = self.start[at[s:e]], self.start[at[s:e] + 1] - self.start[at[s:e]]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.arange(total) + np.repeat(first - (ends - n), n)]
-            ids[total] = END_ID
-            yield ids
+            which = index[s:e]
+            yield np.append(gather(flat, starts[which], ends[which])[0], np.uint32(END_ID))
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of flat one after the other, and where each ends."""
+    n = ends - starts
+    upto = np.cumsum(n)
+    return flat[np.arange(upto[-1] if len(n) else 0) + np.repeat(starts - (upto - n), n)], upto
 
 
 _WORDS: dict[str, Words] = {}

@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ import corpus_pipeline
 from fieldloom.llm import mixing, packing, simhash
 
 SCHEMA = "doc_id long, text string, source string, size string, draw string"
+WORDS = packing.Words(packing.default_vocabulary())
 
 
 def plain_targets(sizes):
@@ -118,6 +120,15 @@ def test_evolved_packings_are_whole(sizes, seed):
     assert two.max() <= one.max()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZéÉßÿ÷×'.,*|0\u0301 \n\x85漢<>İst"), max_size=40), min_size=1, max_size=4))
+def test_ids_word_by_word_are_the_tokenizers(texts):
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    tokenizer.encode_special_tokens = True
+    got = [x.tolist() for x in WORDS.encode(pa.array(texts, pa.string()))]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(1)
     sizes = rng.integers(100, 1500, 200).tolist()
