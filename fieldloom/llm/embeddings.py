@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import connected_components, materialise, star_edges
 
 COSINE = 0.93
-BLOCK_DIMS = 8
+#: Dimensions of a block, and of the wider ones that labels with very many vectors take: the more cuts a block
+#: has, the smaller the part of its cells that a budget reaches.
+BLOCK_DIMS, WIDE_DIMS = 8, 16
 #: Vectors a cell should hold, about; a block is cut along so many dimensions as that takes. A row that visits
 #: another cell costs as much as thousands of comparisons inside one, so cells are large.
 CELL = 2048
@@ -51,8 +53,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def blocks_of(dims: int) -> list[slice]:
-    return [slice(i, min(i + BLOCK_DIMS, dims)) for i in range(0, dims, BLOCK_DIMS)]
+def blocks_of(dims: int, width: int) -> list[slice]:
+    return [slice(i, min(i + width, dims)) for i in range(0, dims, width)]
 
 
 def budget(block: slice, dims: int, cosine: float) -> float:
@@ -66,38 +68,40 @@ def _block_distances(a: np.ndarray, b: np.ndarray, blocks: list[slice]) -> np.nd
     return np.stack([sum(square[:, k] for k in range(s.start, s.stop)) for s in blocks], 1)
 
 
+def reached(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, home, cell) of all cells that lie within the limit of each row; a cell is a bit for the side of each cut at 0.
+
+    How far a cell is adds up over the cuts between, so cells are found cut by cut.
+    """
+    home = ((x > 0) << np.arange(x.shape[1])).sum(1)
+    row, cell, far = np.arange(len(x)), home.copy(), np.zeros(len(x))
+    for k in range(x.shape[1]):
+        across = far + x[row, k] ** 2
+        go = across <= limit
+        row, cell, far = np.r_[row, row[go]], np.r_[cell, cell[go] ^ (1 << k)], np.r_[far, across[go]]
+    return row, home[row], cell
+
+
 def _cells(cosine: float):
     """Rows of (label, rep, mult, embedding, cuts) to a row for each block and cell that a vector lives in or visits."""
     def run(batches):
         for batch in batches:
-            by_dims: dict[int, list[int]] = {}
-            lengths = batch.column("embedding").value_lengths().to_numpy()
-            for n in np.unique(lengths):
-                by_dims[int(n)] = np.nonzero(lengths == n)[0]
-            for dims, at in by_dims.items():
-                part = batch.take(pa.array(at))
-                turned, cuts = rotate(_matrix(part.column("embedding"))), part.column("cuts").to_numpy()
-                for number, block in enumerate(blocks_of(dims)):
-                    limit = budget(block, dims, cosine)
-                    for k in np.unique(cuts):
-                        rows = np.nonzero(cuts == k)[0]
-                        x = turned[rows, block.start : block.start + min(k, block.stop - block.start)]
-                        width = x.shape[1]
-                        home = ((x > 0) << np.arange(width)).sum(1) if width else np.zeros(len(rows), np.int64)
-                        for flip in range(1 << width):
-                            bits = np.array([flip >> i & 1 for i in range(width)], bool)
-                            near = (x[:, bits] ** 2).sum(1) <= limit  # how far the cell across these cuts is
-                            cell = home ^ flip
-                            go = near & (cell >= home)  # of two cells that see each other, the first one's vectors visit
-                            if not go.any():
-                                continue
-                            out = part.take(pa.array(rows[go]))
-                            n = len(out)
-                            yield pa.RecordBatch.from_arrays(
-                                [out.column("label"), pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(cell[go].astype(np.int32)),
-                                 pa.array(np.full(n, flip == 0)), out.column("rep"), out.column("mult"), out.column("embedding")],
-                                ["label", "dims", "block", "cell", "home", "rep", "mult", "embedding"],
-                            )
+            lengths, cuts = batch.column("embedding").value_lengths().to_numpy(), batch.column("cuts").to_numpy()
+            for dims, k in sorted(set(zip(lengths.tolist(), cuts.tolist(), strict=True))):
+                part = batch.filter(pa.array((lengths == dims) & (cuts == k)))
+                turned, width = rotate(_matrix(part.column("embedding"))), BLOCK_DIMS if k <= BLOCK_DIMS else WIDE_DIMS
+                for number, block in enumerate(blocks_of(dims, width)):
+                    for i in range(0, part.num_rows, 1000):
+                        x = turned[i : i + 1000, block.start : min(block.start + k, block.stop)]
+                        row, home, cell = reached(x, budget(block, dims, cosine))
+                        first = cell >= home  # of two cells that see each other, the first one's vectors visit
+                        row, home, cell = row[first], home[first], cell[first]
+                        out, n = part.slice(i, 1000).take(pa.array(row)), len(row)
+                        yield pa.RecordBatch.from_arrays(
+                            [out.column("label"), pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, number, np.int32)),
+                             pa.array(cell.astype(np.int32)), pa.array(cell == home), out.column("rep"), out.column("mult"), out.column("embedding")],
+                            ["label", "dims", "width", "block", "cell", "home", "rep", "mult", "embedding"],
+                        )
 
     return run
 
@@ -105,11 +109,11 @@ def _cells(cosine: float):
 def _compare(cosine: float):
     """One cell (or two pieces of it): verified links as counts by vector and a star of edges."""
     def run(table: pa.Table) -> pa.Table:
-        dims, number = table["dims"][0].as_py(), table["block"][0].as_py()
+        dims, width, number = (table[c][0].as_py() for c in ("dims", "width", "block"))
         rep, mult = table["rep"].to_numpy(), table["mult"].to_numpy()
         home, side = table["home"].to_numpy(zero_copy_only=False), table["side"].to_numpy()
         x = _matrix(table["embedding"])
-        norm, turned, blocks = np.sqrt((x * x).sum(1)), rotate(x), blocks_of(dims)
+        norm, turned, blocks = np.sqrt((x * x).sum(1)), rotate(x), blocks_of(dims, width)
         limits = np.array([budget(b, dims, cosine) for b in blocks])
         count, ends = np.zeros(len(rep), np.int64), ([], [])
         mine = turned[:, blocks[number]]
@@ -150,12 +154,12 @@ def _compare(cosine: float):
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Distinct vectors (label, rep, mult, embedding) to (rep, n, root): counts of links, and edges with n = 0."""
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.least(F.greatest(F.ceil(F.log2(F.col("n") / CELL)), F.lit(0)), F.lit(BLOCK_DIMS)).cast("int")
+    cuts = F.least(F.greatest(F.ceil(F.log2(F.col("n") / CELL)), F.lit(0)), F.lit(WIDE_DIMS)).cast("int")
     sized = classes.join(sizes.select("label", cuts.alias("cuts")), "label").select("label", "rep", "mult", "cuts", "embedding")
     kind = classes.schema["embedding"].dataType.simpleString()
     kind_label = classes.schema["label"].dataType.simpleString()
-    key = ["label", "dims", "block", "cell"]
-    rows = sized.mapInArrow(_cells(cosine), f"label {kind_label}, dims int, block int, cell int, home boolean, rep long, mult long, embedding {kind}")
+    key = ["label", "dims", "width", "block", "cell"]
+    rows = sized.mapInArrow(_cells(cosine), f"label {kind_label}, dims int, width int, block int, cell int, home boolean, rep long, mult long, embedding {kind}")
     held = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE).withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")).drop("n"), "embedding-cells")
     # A cell of many rows is dealt into pieces; each unordered pair of them, and each with itself, is a task (i, j).
     rows = rows.join(held, key, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))

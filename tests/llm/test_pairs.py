@@ -100,7 +100,7 @@ def plain_links(vectors, labels, cosine):
     return close
 
 
-@pytest.mark.parametrize("dims,piece,cell", [(64, 4096, 256), (64, 20, 4), (10, 16, 8), (3, 4096, 1)])
+@pytest.mark.parametrize("dims,piece,cell", [(64, 4096, 256), (64, 20, 4), (64, 50, 0.1), (10, 16, 8), (3, 4096, 1)])
 def test_links_are_all_and_only_close_pairs(spark, monkeypatch, dims, piece, cell):
     monkeypatch.setattr(embeddings, "PIECE", piece)
     monkeypatch.setattr(embeddings, "CELL", cell)
