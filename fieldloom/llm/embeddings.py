@@ -62,10 +62,10 @@ def budget(block: slice, dims: int, cosine: float) -> float:
     return (2 - 2 * cosine) * (block.stop - block.start) / dims * (1 + SLACK) + 1e-12
 
 
-def _block_distances(a: np.ndarray, b: np.ndarray, blocks: list[slice]) -> np.ndarray:
-    """Squared distances by block, summed in one fixed order, so that every task finds the same."""
-    square = (a - b) ** 2
-    return np.stack([sum(square[:, k] for k in range(s.start, s.stop)) for s in blocks], 1)
+def _within(turned: np.ndarray, p: np.ndarray, q: np.ndarray, block: slice, limit: float) -> np.ndarray:
+    """Which pairs lie within the block's limit; summed in one fixed order, so that every task finds the same."""
+    square = (turned[p, block] - turned[q, block]) ** 2
+    return sum(square[:, k] for k in range(square.shape[1])) <= limit
 
 
 def reached(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +129,12 @@ def _compare(cosine: float):
             u, v = a[u], right[v]
             for j in range(0, len(u), STEP >> 3):
                 p, q = u[j : j + (STEP >> 3)], v[j : j + (STEP >> 3)]
-                first = (_block_distances(turned[p], turned[q], blocks) <= limits).argmax(1) == number
-                p, q = p[first], q[first]
+                own = _within(turned, p, q, blocks[number], limits[number])
+                p, q = p[own], q[own]
+                for k in range(number):  # pairs within the limit of an earlier block are counted there
+                    if len(p):
+                        later = ~_within(turned, p, q, blocks[k], limits[k])
+                        p, q = p[later], q[later]
                 linked = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= cosine
                 p, q = p[linked], q[linked]
                 np.add.at(count, p, mult[q])
