@@ -2,7 +2,8 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band. For each of several
 random subsets of it, a document's distinct terms in the subset are sorted and hashed. Subsets
-come in sizes, so that short and long documents alike have some that hold few of their terms.
+come in sizes that go on halving until one holds none of a document's terms, so that short and
+long documents alike have some that hold few of them.
 
 Cases: null and empty texts have the fingerprint of no terms; a text without a term in the lexicon
 is hashed over all its terms; equal texts have equal fingerprints; of rows with equal doc_id the
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 ENTRIES = 1 << 22
 #: The band: terms in at least 1 of 10,000 documents and at most 1 of 20.
 RAREST, COMMONEST = 1e-4, 0.05
-#: Subsets of one size, and sizes: each half as large as the one before, the first an eighth of the lexicon.
+#: Subsets of one size, and sizes at least: each half as large as the one before, the first an eighth of the lexicon.
 CELLS, LEVELS = 8, 8
+#: Sizes at most, as 32 bits of a term's hash choose its subset; the last holds one term in 2 ** 32 a subset.
+DEEPEST = 30
 #: Levels of which more cells than this hold terms say little about texts that are partly alike.
 CROWDED = 6
 #: Words that a worker remembers the hashes of.
@@ -49,35 +52,42 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
+def _parts(hashes: np.ndarray) -> list[str]:
+    """A hash for each cell of each level, "-" where it holds no term; levels without any behind the first LEVELS are left out."""
+    key = hashes >> np.uint64(32)
+    cell = key & np.uint64(CELLS - 1)
+    order = np.argsort(cell, kind="stable")
+    hashes, key, cell = hashes[order], key[order], cell[order]
+    parts = []
+    for level in range(DEEPEST):
+        held = (key & np.uint64(CELLS * 2**level - 1)) < CELLS  # only the first cells are subsets in use; each holds its next level's
+        hashes, key, cell = hashes[held], key[held], cell[held]
+        if not len(hashes):
+            break
+        cut = np.searchsorted(cell, np.arange(CELLS + 1, dtype=np.uint64)).tolist()
+        parts += [xxhash.xxh32_hexdigest(hashes[a:b].tobytes(), level)[:6] if b > a else "-" for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return parts + ["-"] * (CELLS * LEVELS - len(parts))
+
+
 def fingerprint(text: str, lexicon: np.ndarray) -> list[str]:
-    """A hash for each cell of each level, "-" where the text has no term in that part of the lexicon."""
+    """The parts of the text's terms in the lexicon."""
     terms = list(set(text.lower().split()))
     hashes = term_hashes(terms)
     inside = lexicon[hashes & np.uint64(ENTRIES - 1)]
     if inside.any():
         at = inside.nonzero()[0]
         terms, hashes = [terms[i] for i in at.tolist()], hashes[at]
-    hashes = hashes[sorted(range(len(terms)), key=terms.__getitem__)]
-    parts = []
-    for level in range(LEVELS):
-        cell = (hashes >> np.uint64(32)) & np.uint64(CELLS * 2**level - 1)  # only the first cells are subsets in use
-        order = np.argsort(cell, kind="stable")
-        cut = np.searchsorted(cell[order], np.arange(CELLS + 1, dtype=np.uint64)).tolist()
-        data = hashes[order]
-        parts += [xxhash.xxh32_hexdigest(data[a:b].tobytes(), level)[:6] if b > a else "-" for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return parts
+    return _parts(hashes[sorted(range(len(terms)), key=terms.__getitem__)])
 
 
 def likeness(a: list[str], b: list[str]) -> float:
     """The share of equal parts among those that either has, over the levels that aren't crowded; 1 if neither has any."""
-    equal = either = 0
-    for k in range(0, CELLS * LEVELS, CELLS):
-        pairs = [(x, y) for x, y in zip(a[k : k + CELLS], b[k : k + CELLS], strict=True) if x != "-" or y != "-"]
-        if len(pairs) <= CROWDED or (k == CELLS * (LEVELS - 1) and not either):
+    none, equal, either = ["-"] * CELLS, 0, 0
+    for k in range(max(len(a), len(b)) - CELLS, -1, -CELLS):  # a level holds the terms of all deeper ones
+        pairs = [(x, y) for x, y in zip(a[k : k + CELLS] or none, b[k : k + CELLS] or none, strict=True) if x != "-" or y != "-"]
+        if len(pairs) <= CROWDED or not either:  # the deepest with terms counts in any case
             equal, either = equal + sum(x == y for x, y in pairs), either + len(pairs)
-    if not either:  # crowded or empty throughout
-        return float(a == b)
-    return equal / either
+    return equal / either if either else 1.0
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:

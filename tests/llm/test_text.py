@@ -4,6 +4,7 @@ import zlib
 from hashlib import sha256
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,6 +63,18 @@ def test_likeness_bounds():
     assert imatch.likeness(["a"] * 64, ["b"] * 64) == 0.0
 
 
+@pytest.mark.parametrize("n", [30, 1000, 5000, 20_000])
+def test_imatch_likeness_of_texts_of_any_length(n):
+    every, half, few = np.ones(imatch.ENTRIES, bool), [], []
+    for seed in range(40):
+        words = [f"{seed}w{k}" for k in range(n)]
+        mine = imatch.fingerprint(" ".join(words), every)
+        half.append(imatch.likeness(mine, imatch.fingerprint(" ".join([*words[n // 2 :], *(f"{seed}v{k}" for k in range(n // 2))]), every)))
+        few.append(imatch.likeness(mine, imatch.fingerprint(" ".join([*words[n // 50 :], *(f"{seed}v{k}" for k in range(n // 50))]), every)))
+        assert imatch.likeness(mine, imatch.fingerprint(f"{seed}v1", every)) == 0
+    assert 0.2 < np.mean(half) < 0.4 and np.mean(few) > 0.85
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(st.sampled_from("aB é漢1. \n"), max_size=60))
 def test_ngrams_in_blocks(text):
