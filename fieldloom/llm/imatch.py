@@ -5,8 +5,12 @@ random subsets of it, a document's distinct terms in the subset are sorted and h
 come in sizes that go on halving until one holds none of a document's terms, so that short and
 long documents alike have some that hold few of them.
 
+The same parts are kept of all the document's terms, for texts of which the lexicon holds little:
+terms of a text that fills much of the table are too common for it. Two texts are always compared
+by the same kind of parts; where either has little in the lexicon, all terms count accordingly.
+
 Cases: null and empty texts have the fingerprint of no terms; a text without a term in the lexicon
-is hashed over all its terms; equal texts have equal fingerprints; of rows with equal doc_id the
+is compared over all its terms; equal texts have equal fingerprints; of rows with equal doc_id the
 smaller text comes first; rows with null doc_id come first and are nobody's last neighbour; a
 table of one row is its own next document; other columns are not read.
 """
@@ -34,6 +38,8 @@ CELLS, LEVELS = 8, 8
 DEEPEST = 30
 #: Levels of which more cells than this hold terms say little about texts that are partly alike.
 CROWDED = 6
+#: The share of a text's terms in the lexicon from which on the lexicon alone counts, and the steps of its weight below.
+ENOUGH, STEPS = 0.25, 255
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 1_000_000
 #: Characters of text to hold before a batch of results is sent on.
@@ -70,17 +76,27 @@ def _parts(hashes: np.ndarray) -> list[str]:
 
 
 def fingerprint(text: str, lexicon: np.ndarray) -> list[str]:
-    """The parts of the text's terms in the lexicon."""
+    """The parts of the text's terms in the lexicon, "/" and the lexicon's weight in hex, the parts of all terms."""
     terms = list(set(text.lower().split()))
-    hashes = term_hashes(terms)
+    hashes = term_hashes(terms)[sorted(range(len(terms)), key=terms.__getitem__)]
     inside = lexicon[hashes & np.uint64(ENTRIES - 1)]
-    if inside.any():
-        at = inside.nonzero()[0]
-        terms, hashes = [terms[i] for i in at.tolist()], hashes[at]
-    return _parts(hashes[sorted(range(len(terms)), key=terms.__getitem__)])
+    weight = min(STEPS, int(STEPS * inside.mean() / ENOUGH)) if terms else STEPS
+    return [*_parts(hashes[inside]), f"/{weight:02x}", *_parts(hashes)]
+
+
+def _split(parts: list[str]) -> tuple[list[str], int, list[str]]:
+    at = next((k for k in range(0, len(parts), CELLS) if parts[k][0] == "/"), None)
+    return (parts, STEPS, parts) if at is None else (parts[:at], int(parts[at][1:], 16), parts[at + 1 :])
 
 
 def likeness(a: list[str], b: list[str]) -> float:
+    """The likeness by the lexicon's parts; so far as it holds too little of either text, by those of all terms."""
+    (lexicon_a, weight_a, all_a), (lexicon_b, weight_b, all_b) = _split(a), _split(b)
+    weight = min(weight_a, weight_b) / STEPS
+    return (weight and weight * _alike(lexicon_a, lexicon_b)) + (weight < 1 and (1 - weight) * _alike(all_a, all_b))
+
+
+def _alike(a: list[str], b: list[str]) -> float:
     """The share of equal parts among those that either has, over the levels that aren't crowded; 1 if neither has any."""
     none, equal, either = ["-"] * CELLS, 0, 0
     for k in range(max(len(a), len(b)) - CELLS, -1, -CELLS):  # a level holds the terms of all deeper ones

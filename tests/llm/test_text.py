@@ -75,6 +75,17 @@ def test_imatch_likeness_of_texts_of_any_length(n):
     assert 0.2 < np.mean(half) < 0.4 and np.mean(few) > 0.85
 
 
+def test_imatch_copies_that_fill_a_third_of_the_table(spark):
+    group = [f"g{k}" for k in range(200)]
+    rows = [(i, " ".join([*group, f"own{i}"] if i >= 50 and i < 100 else group), None) for i in range(100)]  # copies, then near copies
+    rows += [(i, " ".join(f"{i}w{k}" for k in range(200)), None) for i in range(100, 300)]
+    got = {r["doc_id"]: r for r in imatch.fingerprints(table(spark, rows)).collect()}
+    assert all(got[i]["near_next"] == 1 for i in range(49))
+    assert min(got[i]["near_next"] for i in range(49, 99)) > 0.5 and np.mean([got[i]["near_next"] for i in range(49, 99)]) > 0.9
+    assert got[99]["near_edited"] > 0.1 > got[99]["near_next"]  # its next text is a stranger
+    assert max(got[i]["near_next"] for i in range(99, 300)) == 0
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(st.sampled_from("aB é漢1. \n"), max_size=60))
 def test_ngrams_in_blocks(text):
