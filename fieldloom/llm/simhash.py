@@ -103,8 +103,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*rest)
 
 
-def components(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp) to (doc_id, fp, component_id).
+def _components(fps: DataFrame) -> DataFrame:
+    """(doc_id, fp) to a row for each distinct fp: (fp, rep, comp), rep its smallest doc_id.
 
     Copies collapse into one row per distinct fingerprint before anything is compared. Each
     distinct fingerprint then goes out under 64 variants (its segment with one bit ignored);
@@ -120,7 +120,12 @@ def components(fps: DataFrame) -> DataFrame:
         .sortWithinPartitions("variant", "key")
     )
     comp = connected_components(variants.mapInArrow(_link, "a long, b long"))
-    joined = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp"))
+    return nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp"))
+
+
+def components(fps: DataFrame) -> DataFrame:
+    """(doc_id, fp) to (doc_id, fp, component_id)."""
+    joined = _components(fps)
     names = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     return fps.join(joined.join(names, "comp").select("fp", "component_id"), "fp")
 
@@ -133,13 +138,18 @@ def near_dups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which near_dups names the component, one row each, with all their columns.
+    """One row of each component, with all its columns: that of the smallest doc_id, then text hash.
 
-    Rows without a doc_id can't be told apart and go; of rows that repeat a doc_id any one stays.
+    Rows without a doc_id stay only where no row of their component has one; of rows that repeat
+    both doc_id and text any one stays.
     """
-    dups = near_dups(docs)
-    kept = dups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = materialise(docs.select("doc_id", digest.alias("digest"), F.pandas_udf(fingerprints, "long")("text").alias("fp")), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    kept = rows.join(_components(rows).select("fp", "comp"), "fp").groupBy("comp").agg(F.min(row).alias("row")).select("row.*")
+    docs = docs.withColumn("_digest", digest)
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (docs["_digest"] == kept["kept_digest"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

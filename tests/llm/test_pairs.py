@@ -72,6 +72,13 @@ def test_near_dups_odd_rows(spark):
     assert simhash.near_dups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    rows = [(3, x), (5, x.upper()), (5, y), (None, x), (None, z), (None, z), (None, z.upper()), (8, None), (8, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept), key=str) == sorted([(3, x), (5, y), (None, z), (8, "")], key=str)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
 def test_star_edges(pairs):
