@@ -2,7 +2,7 @@
 
 A page is a run of words and tags. Words score positive and tags negative, by weights learned
 from labelled pages (those with one <article>); words in elements that hold no content by their
-kind or class score negative. Where a page marks an article, tags in it cost next to nothing and words
+kind or class score negative. Where a page marks an article, tags in it cost nothing and words
 outside it score negative too. One linear scan finds the contiguous run with the highest sum.
 
 Cases: null and empty pages have an empty text; without labelled pages plain weights hold; broken
@@ -124,7 +124,7 @@ class Weights:
             off = off or (has_article and not inside)
             kept.append((tag, text, off))
             if tag:
-                total += MILDEST if within else self.tags.get(tag, self.other)
+                total += 0 if within else self.tags.get(tag, self.other)
             elif not (off and within):
                 total += len(text.split()) * (-self.word if off else self.word)
             if total <= 0:

@@ -17,6 +17,14 @@ def test_article_alone():
     assert PLAIN.text(page) == "Head <1>\nOne two three.\nFour five, six.\nItem\nLast."
 
 
+def test_long_lists_part_no_article():
+    links = '<nav><ul>' + '<li><a href="x">Go</a></li>' * 500 + "</ul></nav>"
+    cells = "<table>" + "<tr><td></td></tr>" * 500 + "</table>"
+    for part in (links, cells):
+        page = f"<body><p>Outside words</p><article><h1>Two words</h1>{part}<p>{'word ' * 5}</p>{part}<p>The end.</p></article><p>Outside words</p>"
+        assert PLAIN.text(page) == "Two words\nword word word word word\nThe end."
+
+
 def test_without_article_the_best_run_is_found():
     page = '<body><div><a href="a">x</a><a href="b">y</a></div><div><p>' + "word " * 60 + "</p><p>End of it.</p></div><div>" + '<a href="c">z</a>' * 9 + "</div>"
     assert PLAIN.text(page) == ("word " * 60).strip() + "\nEnd of it."
