@@ -77,8 +77,8 @@ def _parts(hashes: np.ndarray) -> list[str]:
 
 def fingerprint(text: str, lexicon: np.ndarray) -> list[str]:
     """The parts of the text's terms in the lexicon, "/" and the lexicon's weight in hex, the parts of all terms."""
-    terms = list(set(text.lower().split()))
-    hashes = term_hashes(terms)[sorted(range(len(terms)), key=terms.__getitem__)]
+    terms = sorted(set(text.lower().split()))
+    hashes = term_hashes(terms)
     inside = lexicon[hashes & np.uint64(ENTRIES - 1)]
     weight = min(STEPS, int(STEPS * inside.mean() / ENOUGH)) if terms else STEPS
     return [*_parts(hashes[inside]), f"/{weight:02x}", *_parts(hashes)]
