@@ -12,9 +12,9 @@ each; a null doc_id is carried; an empty table gives no sequences; other columns
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,13 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a group, about: bounds what one task packs, whatever the corpus.
 GROUP = 16_384
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 4, 6
+ISLANDS, EPOCHS, GENERATIONS = 3, 2, 32
+#: The orders in which an island's first parents are packed: the noise, in tokens, added to pieces' sizes.
+ORDERS = (0.0, 32.0, 256.0, np.inf)
+#: The part of a giver's fuller half of bins that is injected, and of a taker's bins that is dissolved for being the emptiest.
+INJECTED, EMPTIEST = (0.02, 0.1), 0.02
+#: The noise, in tokens, of the order in which displaced pieces are best-fitted.
+NOISE = (0.0, 0.0, 64.0, 512.0)
 #: Bins less full than this are opened again in the last round.
 FULL = 0.97
 #: Distinct parts of words that a worker remembers the ids of.
@@ -46,8 +52,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The settings of tokenizers whose ids can be found word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+    "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+}
+
+
 class Words:
-    """The tokenizer's ids word by word: its tokens never cross white space, so parts of words can be remembered.
+    """A tokenizer's ids, word by word where its settings are the known ones: tokens then never cross white space, so parts of words can be remembered.
+
+    Any other tokenizer, and any text that holds one of its special tokens, is encoded as a whole.
 
     A word of plain letters and the marks behind it are parts of their own, as the tokenizer parts
     letters from marks (but for apostrophes); any other word is one part.
@@ -60,7 +83,17 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole, self.full, self.plain = (Tokenizer.from_file(path) for _ in range(3))
+        settings = json.loads(self.whole.to_str())
+        model = {k: v for k, v in settings["model"].items() if k not in ("vocab", "merges")}
+        added = settings["added_tokens"]
+        self.special = [t["content"] for t in added]
+        self.by_word = (settings["normalizer"], settings["pre_tokenizer"], model) == (NORMALIZER, PRE_TOKENIZER, MODEL) and not any(
+            t["normalized"] or t["lstrip"] or t["rstrip"] or not t["special"] or not t["content"] for t in added
+        )
+        if not self.by_word:
+            return
+        # Texts that hold an added token are encoded whole; in words of all others it is ordinary text.
         self.full.encode_special_tokens = self.plain.encode_special_tokens = True
         # Normalising leaves lower-case letters of Latin-1 as they are, and they are never parted.
         self.plain.normalizer = normalizers.Sequence([])
@@ -107,8 +140,20 @@ class Words:
         return gather(self.flat, self.start[numbers], self.start[numbers + 1])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, END_ID last."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        """The ids of each text, END_ID last: those of the tokenizer's encode(text, add_special_tokens=False)."""
+        texts = pc.fill_null(texts, "")
+        whole = np.full(len(texts), not self.by_word)
+        for token in self.special if self.by_word else ():
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            yield from self._encode_words(texts)
+            return
+        parts = self._encode_words(texts.filter(pa.array(~whole))) if not whole.all() else iter(())
+        for text, at_once in zip(texts, whole, strict=True):
+            yield np.array([*self.whole.encode(text.as_py(), add_special_tokens=False).ids, END_ID], np.uint32) if at_once else next(parts)
+
+    def _encode_words(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.flatten().dictionary_encode()
         if len(self.number) > CACHE_WORDS:
             self._forget()
@@ -169,75 +214,85 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = Fals
     return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces")
 
 
-def best_fit(order: np.ndarray, sizes: list[int], bins: list[list[int]]) -> list[list[int]]:
-    """Put the pieces, in this order, each into the fullest bin that takes it; opens bins as needed."""
-    free = sorted((CAPACITY - sum(map(sizes.__getitem__, b)), i) for i, b in enumerate(bins))
+def best_fit(order: list[int], sizes: list[int], place: list[int], rooms: list[int]) -> None:
+    """Put the pieces, in this order, each into the fullest bin that takes it; opens bins as needed.
+
+    place is the bin of each piece and rooms the free room of each bin; both are filled in.
+    """
+    held: list[list[int]] = [[] for _ in range(CAPACITY + 1)]  # bins by free room
+    some = 0  # a bit for each room that bins have
+    for b, room in enumerate(rooms):
+        held[room].append(b)
+        some |= 1 << room
     for item in order:
         size = sizes[item]
-        at = bisect_left(free, (size, -1))
-        if at < len(free):
-            room, i = free.pop(at)
-            bins[i].append(item)
-        else:
-            room, i = CAPACITY, len(bins)
-            bins.append([item])
-        if room > size:
-            insort(free, (room - size, i))
-    return bins
-
-
-def _cost(bins: list[list[int]], sizes: list[int]) -> tuple[int, float]:
-    """Fewer bins first, then the fuller ones the better."""
-    return len(bins), -sum((sum(map(sizes.__getitem__, b)) / CAPACITY) ** 2 for b in bins)
-
-
-def crossover(giver: list[list[int]], taker: list[list[int]], sizes: list[int], rng: np.random.Generator) -> list[list[int]]:
-    """Inject some of the giver's fullest bins; the taker's bins that share pieces with them are dissolved and best-fitted."""
-    full = sorted(giver, key=lambda b: -sum(map(sizes.__getitem__, b)))[: max(1, len(giver) // 2)]
-    chosen = [full[i] for i in rng.choice(len(full), max(1, len(full) // 2), replace=False)]
-    taken = {i for b in chosen for i in b}
-    child, displaced = [list(b) for b in chosen], []
-    for b in taker:
-        if taken.isdisjoint(b):
-            child.append(list(b))
+        if fits := some >> size:
+            room = size + (fits & -fits).bit_length() - 1
+            b = held[room].pop()
+            if not held[room]:
+                some ^= 1 << room
         else:
-            displaced += [i for i in b if i not in taken]
-    displaced = np.array(displaced, np.int64)
-    rng.shuffle(displaced)
-    order = displaced[np.argsort(-np.array(sizes)[displaced], kind="stable")] if rng.random() < 0.8 else displaced
-    return best_fit(order.tolist(), sizes, child)
-
-
-def evolve(sizes: list[int], elites: list[np.ndarray], seed: int) -> np.ndarray:
-    """One island's epoch over a group: breed from elites (bin numbers by piece) and fresh packings, return the best."""
-    rng, n = np.random.default_rng(seed), len(sizes)
-    least = -(-sum(sizes) // CAPACITY)
-
-    def bins_of(elite: np.ndarray) -> list[list[int]]:
-        order = np.argsort(elite, kind="stable")
-        return [b.tolist() for b in np.split(order, np.nonzero(np.diff(elite[order]))[0] + 1)]
-
-    def fresh(k: int) -> list[list[int]]:
-        noise = rng.random(n) * (0 if k == 0 else CAPACITY / 16)
-        return best_fit(np.argsort(-(np.array(sizes) + noise), kind="stable").tolist(), sizes, [])
-
-    people = [bins_of(e) for e in elites]
-    if not people:
-        people.append(fresh(0))
-    ranked = sorted(((_cost(p, sizes), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
-    for k in range(POPULATION * GENERATIONS if ranked[0][0][0] > least else 0):  # that few bins can't be bettered
-        if len(ranked) < POPULATION:
-            child = fresh(1)
-        else:
-            i, j = rng.permutation(POPULATION)[:2]
-            child = crossover(ranked[i][2], ranked[j][2], sizes, rng)
-        ranked = sorted([*ranked, (_cost(child, sizes), 100 + k, child)], key=lambda x: x[:2])[:POPULATION]
-        if ranked[0][0][0] == least:
-            break
-    best = np.empty(n, np.int32)
-    for i, b in enumerate(ranked[0][2]):
-        best[b] = i
-    return best
+            room, b = CAPACITY, len(rooms)
+            rooms.append(room)
+        place[item] = b
+        rooms[b] = left = room - size
+        held[left].append(b)
+        some |= 1 << left
+
+
+def decreasing(sizes: np.ndarray, rng: np.random.Generator, noise: float) -> np.ndarray:
+    """A packing by best fit, largest pieces first; noise (in tokens) shuffles them, infinite noise at random."""
+    key = rng.random(len(sizes)) if noise == np.inf else -(sizes + noise * rng.random(len(sizes)))
+    place = [0] * len(sizes)
+    best_fit(np.argsort(key, kind="stable").tolist(), sizes.tolist(), place, [])
+    return np.array(place, np.int32)
+
+
+def cost(place: np.ndarray, sizes: np.ndarray) -> tuple[int, float]:
+    """Fewer bins first; of as many, the more unevenly filled the better, as that leaves one bin the emptiest."""
+    fill = np.bincount(place, sizes) / CAPACITY
+    return len(fill), -float(fill @ fill)
+
+
+def crossover(giver: np.ndarray, taker: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Inject some of the giver's fullest bins whole; the taker's bins that share pieces with them, and its emptiest ones, are dissolved and best-fitted."""
+    fill = np.bincount(giver, sizes)
+    full = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
+    chosen = np.full(len(fill), -1, np.int64)
+    picked = rng.choice(full, max(1, round(len(full) * rng.uniform(*INJECTED))), replace=False)
+    chosen[picked] = np.arange(len(picked))
+    injected = chosen[giver] >= 0
+    fill = np.bincount(taker, sizes)
+    open_ = np.zeros(len(fill), bool)
+    open_[taker[injected]] = True
+    open_[np.argsort(fill, kind="stable")[: max(1, round(len(fill) * EMPTIEST))]] = True
+    kept = ~open_[taker]
+    place = np.full(len(taker), -1, np.int64)
+    place[injected] = chosen[giver[injected]]
+    place[kept] = (np.cumsum(~open_) - 1)[taker[kept]] + len(picked)
+    displaced = np.nonzero(place < 0)[0]
+    key = -sizes[displaced] - rng.choice(NOISE) * rng.random(len(displaced))
+    rooms = (CAPACITY - np.bincount(place[place >= 0], sizes[place >= 0], len(picked) + int((~open_).sum())).astype(np.int64)).tolist()
+    place = place.tolist()
+    best_fit(displaced[np.argsort(key, kind="stable")].tolist(), sizes.tolist(), place, rooms)
+    return np.array(place, np.int32)
+
+
+def evolve(sizes: list[int] | np.ndarray, elites: list[np.ndarray], seed: int) -> np.ndarray:
+    """One island's epoch over a group: breed from elites (bin numbers by piece), or at first from packings in several orders; the best one.
+
+    Best fit by decreasing size is one of the first parents. All generations are bred, also where
+    the fewest possible bins are reached: a packing of as many bins may still fill them better.
+    """
+    rng, sizes = np.random.default_rng(seed), np.asarray(sizes, np.int64)
+    people = [np.asarray(e, np.int32) for e in elites]
+    people += [decreasing(sizes, rng, noise) for noise in ORDERS[len(people) :]]
+    ranked = sorted(((cost(p, sizes), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
+    for k in range(GENERATIONS):
+        i, j = rng.permutation(len(ranked))[:2]
+        child = crossover(ranked[i][2], ranked[j][2], sizes, rng)
+        ranked = sorted([*ranked[:-1], min(ranked[-1], (cost(child, sizes), -1 - k, child), key=lambda x: x[:2])], key=lambda x: x[:2])
+    return ranked[0][2]
 
 
 def _pack_groups(items: DataFrame, level: int) -> DataFrame:
@@ -251,21 +306,20 @@ def _pack_groups(items: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                sizes = [int(x) for x in row.sizes]
                 seed = int(row.grp) * 1009 + int(row.island) * 31 + int(row.epoch)
-                best = evolve(sizes, [np.asarray(e) for e in row.elites], seed)
-                out.append((row.grp, row.island, best, int(best.max()) + 1))
-            yield pd.DataFrame(out, columns=["grp", "island", "elite", "n_bins"])
+                best = evolve(row.sizes, list(row.elites), seed)
+                out.append((row.grp, row.island, best, *cost(best, np.asarray(row.sizes))))
+            yield pd.DataFrame(out, columns=["grp", "island", "elite", "n_bins", "uneven"])
 
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     state = groups.select("grp", islands).withColumn("elites", F.array().cast("array<array<int>>"))
     for k in range(EPOCHS):
         work = state.join(groups.select("grp", "sizes"), "grp").withColumn("epoch", F.lit(k))
         work = work.repartition("grp", "island")
-        best = materialise(work.mapInPandas(epoch, "grp long, island int, elite array<int>, n_bins int"), "pack-epoch")
-        moved = best.union(best.select("grp", (F.col("island") + 1) % ISLANDS, "elite", "n_bins").toDF(*best.columns))
+        best = materialise(work.mapInPandas(epoch, "grp long, island int, elite array<int>, n_bins int, uneven double"), "pack-epoch")
+        moved = best.union(best.select("grp", (F.col("island") + 1) % ISLANDS, "elite", "n_bins", "uneven").toDF(*best.columns))
         state = moved.groupBy("grp", "island").agg(F.collect_list("elite").alias("elites"))  # two each
-    chosen = best.groupBy("grp").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
+    chosen = best.groupBy("grp").agg(F.min_by("elite", F.struct("n_bins", "uneven", "island")).alias("elite"))
 
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,5 +1,6 @@
 from hashlib import sha256
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,15 +43,34 @@ def test_templates_with_a_closing_suffix_are_located():
     assert [out[a:b] for _, a, b in spans] == ["E", "", "</user>"]
 
 
-def test_long_conversations_are_located_as_short_ones(monkeypatch):
+def test_every_prefix_is_compared_unless_a_window_is_given():
     talk = [(("user", "assistant")[i % 2], f"turn {i} [INST]") for i in range(200)]
-    whole = chat.locate(chat.instruct, talk)
+    at_100 = lambda ts: ("late" if len(ts) == 100 else "") + "".join(f"<{r}>{t}" for r, t in ts)
     numbered = lambda ts: "".join(f"<{i}>{t}" for i, (_, t) in enumerate(ts))
     forgetful = lambda ts: "".join(f"<{r}>{t if len(ts) - i < 90 else ''}" for i, (r, t) in enumerate(ts))
-    found = [chat.locate(f, talk) for f in (numbered, forgetful)]
-    monkeypatch.setattr(chat, "NEAR", 10**9)
-    assert chat.locate(chat.instruct, talk) == whole and len(whole[1]) == 200
-    assert found == [chat.locate(f, talk) for f in (numbered, forgetful)] and found[1][1] is None
+    assert chat.locate(at_100, talk)[1] is None and chat.locate(forgetful, talk)[1] is None
+    assert len(chat.locate(numbered, talk)[1]) == 200
+    assert chat.locate(chat.instruct, talk, window=32) == chat.locate(chat.instruct, talk)
+    assert chat.locate(numbered, talk, window=32) == chat.locate(numbered, talk)
+    assert chat.locate(forgetful, talk, window=32)[1] is None
+
+
+def test_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    rel = con.sql(chat.OP1_SQL)
+    assert sorted(map(tuple, chat.op1_chat(spark, sf).select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
+def test_sql_of_odd_rows(spark):
+    rows = [(1, 2, "assistant", "b\\[INST]"), (1, 1, "user", None), (1, 2, "assistant", "a</s><s>"), (2, None, None, "x"), (2, 0, "[/ROLE]", "é\U0001f600"), (3, 0, "tool", None)]
+    df = spark.createDataFrame([(*r, 1, 1) for r in [*rows, (-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)]], SCHEMA)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    rel = con.sql(chat.OP1_SQL)
+    assert sorted(map(tuple, chat.read_back(chat.format_conversations(df)).select(*rel.columns).collect())) == sorted(rel.fetchall())
 
 
 def digest(turns):

@@ -77,7 +77,6 @@ def test_mix_rows_and_odd_cases(spark):
 def check_packing(rows, texts):
     """rows as returned for texts by doc_id; ids against the tokenizer's own."""
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
@@ -102,7 +101,7 @@ def test_pack_whole_table(spark, sf):
 
 
 def test_pack_odd_rows(spark):
-    texts = {1: None, 2: "", 3: " lead and trail \n", 4: "0 zero 00 a0b", 5: "ÀÉ İΣς ﬁ漢字 é x\x85y\x1fz", 6: "<|endoftext|> it's WE'LL don't", 7: "word, " * 9000, 8: "☃ " * 10}
+    texts = {1: None, 2: "", 3: " lead and trail \n", 4: "0 zero 00 a0b", 5: "ÀÉ İΣς ﬁ漢字 é x\x85y\x1fz", 6: "<|endoftext|> it's WE'LL don't<|endoftext|><|ENDOFTEXT|>", 7: "word, " * 9000, 8: "☃ " * 10}
     df = spark.createDataFrame([(i, t, "s", "x", "y") for i, t in texts.items()] + [(8, texts[8], "s", "x", "y")], SCHEMA)
     rows = packing.pack_documents(df, keep_ids=True).collect()
     check_packing(rows, texts)
@@ -116,25 +115,68 @@ def test_evolved_packings_are_whole(sizes, seed):
     one = packing.evolve(sizes, [], seed)
     two = packing.evolve(sizes, [one, packing.evolve(sizes, [], seed + 1)], seed)
     for bins in (one, two):
-        assert np.bincount(bins, sizes).max() <= 2048 and len(bins) == len(sizes)
+        assert np.bincount(bins, sizes).max() <= 2048 and len(bins) == len(sizes) and set(bins) == set(range(bins.max() + 1))
     assert two.max() <= one.max()
 
 
+def plain_best_fit(sizes):
+    """Best fit by decreasing size, bin by bin."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= size]
+        if fits:
+            at = min(fits, key=rooms.__getitem__)
+            rooms[at] -= size
+        else:
+            rooms.append(2048 - size)
+    return rooms
+
+
+@pytest.mark.parametrize("low,high", [(600, 1100), (500, 900)])
+def test_the_genetic_algorithm_betters_best_fit_where_that_misses_the_bound(low, high):
+    sizes = np.random.default_rng(5).integers(low, high, 1500)
+    plain = plain_best_fit(sizes.tolist())
+    assert packing.cost(packing.decreasing(sizes, np.random.default_rng(0), 0.0), sizes) == pytest.approx((len(plain), -sum((1 - r / 2048) ** 2 for r in plain)))
+    islands = [packing.evolve(sizes, [], k) for k in range(3)]
+    islands = [packing.evolve(sizes, [islands[k], islands[k - 1]], 3 + k) for k in range(3)]
+    assert min(p.max() + 1 for p in islands) < len(plain)
+
+
+def test_every_group_is_bred(spark, sf, monkeypatch):
+    calls = []
+    plain = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or plain(*a))
+    sizes = np.full(64, 512)  # best fit reaches the bound at once
+    assert packing.evolve(sizes, [], 1).max() + 1 == 16 and len(calls) == packing.GENERATIONS
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("aZéÉßÿ÷×'.,*|0\u0301 \n\x85漢<>İst"), max_size=40), min_size=1, max_size=4))
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>"]), st.text(st.sampled_from("aZéÉßÿ÷×'.,*|0\u0301 \n\x85漢<>İst"), max_size=30)), max_size=3).map("".join), min_size=1, max_size=4))
 def test_ids_word_by_word_are_the_tokenizers(texts):
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     got = [x.tolist() for x in WORDS.encode(pa.array(texts, pa.string()))]
     assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_any_other_tokenizer_is_asked_for_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  World\n", "", "it's ÀÉ <|endoftext|> x", "ALL caps"]
+    got = [x.tolist() for x in packing.Words(path).encode(pa.array([*texts, None]))]
+    tokenizer = Tokenizer.from_file(path)
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in [*texts, ""]]
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(1)
-    sizes = rng.integers(100, 1500, 200).tolist()
-    a, b = (packing.best_fit(rng.permutation(200).tolist(), sizes, []) for _ in range(2))
-    child = packing.crossover(a, b, sizes, rng)
-    assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 2048 for x in child)
+    sizes = rng.integers(100, 1500, 200)
+    a, b = packing.decreasing(sizes, rng, np.inf), packing.decreasing(sizes, rng, 0.0)
+    for _ in range(50):
+        child = packing.crossover(a, b, sizes, rng)
+        fill = np.bincount(child, sizes)
+        assert len(child) == 200 and child.min() == 0 and fill.min() > 0 and fill.max() <= 2048
+        a, b = b, child
 
 
 def test_pipeline_stages(spark, sf):
