@@ -4,30 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Nodes of more neighbours than LEAST_HUB may count as hubs, up to HUBS of them; bounds what is broadcast.
+LEAST_HUB, HUBS = 1000, 50_000
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only where it is unset
-    (a local session, as in tests) a temporary folder stands in for it.
+    The cluster names that folder in spark.checkpoint.dir. Only where it is unset in a local
+    session, as in tests, a temporary folder stands in for it; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fieldloom.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("fieldloom.shared.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where materialise() put its tables.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once nothing is left to be read from it; others stay as they are."""
+    if path := _PATHS.pop(table, None):
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def hash_below(key: Column, rate: Column | float) -> Column:
@@ -53,13 +73,25 @@ def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[root[moved]]
 
 
+def _to_lowest(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """(u, v) edges to (v, w), w being u's lowest neighbour by low (u, w, n).
+
+    Nodes of more than limit neighbours are at most HUBS: those are broadcast, so that the edges of
+    a hub stay where they are; the others meet by a shuffle, of which no key has more rows than the limit.
+    """
+    hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("w").alias("hub_w")))
+    marked = edges.join(hubs, F.col("u") == F.col("hub"), "left")
+    rest = marked.where("hub IS NULL").select("u", "v").join(low.where(F.col("n") <= limit), "u")
+    return marked.where("hub IS NOT NULL").select("v", F.col("hub_w").alias("w")).union(rest.select("v", "w"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs to (node, component): component is the smallest node that can be reached.
 
     Alternating large-star and small-star rounds. Neighbourhoods are never collected: each
-    round takes minima by key, which combine before the shuffle, and joins them back, which AQE
-    can split for a hub. Every round is a table in the shared folder; rounds grow with the
-    logarithm of the nodes. Nodes without an edge to another node are not in the result.
+    round takes minima by key, which combine before the shuffle, and joins them back. Every round is
+    a table in the shared folder, deleted once the next one is there; rounds grow with the logarithm
+    of the nodes. Nodes without an edge to another node are not in the result.
     """
     def table(df: DataFrame) -> tuple[DataFrame, tuple]:
         out = materialise(df.distinct(), "components")
@@ -68,13 +100,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     now, mark = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
     while mark[0]:
+        limit = max(LEAST_HUB, 2 * mark[0] // HUBS)
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(low, "u").where("v > w").select(F.col("v").alias("u"), F.col("w").alias("v")).union(low)
-        before = mark
+        low = both.groupBy("u").agg(F.min("v").alias("w"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "w").alias("w"), "n")
+        large = _to_lowest(both.where("v > u"), low, limit).distinct().toDF("u", "v")
+        low = large.groupBy("u").agg(F.min("v").alias("w"), F.count(F.lit(1)).alias("n"))
+        small = _to_lowest(large, low, limit).where("v > w").toDF("u", "v").union(low.select("u", "w"))
+        before, old = mark, now
         now, mark = table(small)
+        discard(old)
         if mark == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -12,7 +12,8 @@ by the same kind of parts; where either has little in the lexicon, all terms cou
 Cases: null and empty texts have the fingerprint of no terms; a text without a term in the lexicon
 is compared over all its terms; equal texts have equal fingerprints; of rows with equal doc_id the
 smaller text comes first; rows with null doc_id come first and are nobody's last neighbour; a
-table of one row is its own next document; other columns are not read.
+table of one row is its own next document; other columns are not read. Rows of one doc_id, and those
+without any, lie in one range of doc_id and are compared in one task, a row at a time.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms are hashed to so many lexicon entries; a lexicon is a bit for each, whatever the corpus.
-ENTRIES = 1 << 22
-#: The band: terms in at least 1 of 10,000 documents and at most 1 of 20.
+#: The band: terms in at least 1 of 10,000 documents and at most 1 of 20. The rarest bound the lexicon: it holds
+#: at most a document's mean number of distinct terms, times 10,000, whatever the corpus (8 bytes each).
 RAREST, COMMONEST = 1e-4, 0.05
 #: Subsets of one size, and sizes at least: each half as large as the one before, the first an eighth of the lexicon.
 CELLS, LEVELS = 8, 8
@@ -42,8 +42,8 @@ CROWDED = 6
 ENOUGH, STEPS = 0.25, 255
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 1_000_000
-#: Characters of text to hold before a batch of results is sent on.
-FLUSH = 1 << 23
+#: Terms to count before a batch of counts is sent on, and characters of text to hold before one of results is.
+COUNTED, FLUSH = 1 << 20, 1 << 21
 
 _HASHES: dict[str, int] = {}
 
@@ -58,6 +58,18 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
+class Lexicon:
+    """The hashes of 64 bits of the terms in the band, in order; all terms if none are given."""
+
+    def __init__(self, terms: np.ndarray | None = None):
+        self.terms = terms
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        if self.terms is None or not len(self.terms):
+            return np.full(len(hashes), self.terms is None)
+        return self.terms[np.searchsorted(self.terms, hashes).clip(max=len(self.terms) - 1)] == hashes
+
+
 def _parts(hashes: np.ndarray) -> list[str]:
     """A hash for each cell of each level, "-" where it holds no term; levels without any behind the first LEVELS are left out."""
     key = hashes >> np.uint64(32)
@@ -75,11 +87,11 @@ def _parts(hashes: np.ndarray) -> list[str]:
     return parts + ["-"] * (CELLS * LEVELS - len(parts))
 
 
-def fingerprint(text: str, lexicon: np.ndarray) -> list[str]:
+def fingerprint(text: str, lexicon: Lexicon) -> list[str]:
     """The parts of the text's terms in the lexicon, "/" and the lexicon's weight in hex, the parts of all terms."""
     terms = sorted(set(text.lower().split()))
     hashes = term_hashes(terms)
-    inside = lexicon[hashes & np.uint64(ENTRIES - 1)]
+    inside = lexicon.holds(hashes)
     weight = min(STEPS, int(STEPS * inside.mean() / ENOUGH)) if terms else STEPS
     return [*_parts(hashes[inside]), f"/{weight:02x}", *_parts(hashes)]
 
@@ -106,40 +118,48 @@ def _alike(a: list[str], b: list[str]) -> float:
     return equal / either if either else 1.0
 
 
-def lexicon(docs: DataFrame) -> np.ndarray:
-    """For each entry whether its document frequency, counted over all documents, lies in the band."""
+def lexicon(docs: DataFrame) -> Lexicon:
+    """The terms whose document frequency, counted over all documents, lies in the band."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ENTRIES, np.int32)
+        held, n = [], 0
+
+        def counts() -> pa.RecordBatch:
+            terms, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(times)], ["term", "n"])
+
         for batch in batches:
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                entries = term_hashes(list(set(text.lower().split()))) & np.uint64(ENTRIES - 1)
-                total[np.unique(entries)] += 1
-        at = total.nonzero()[0]
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["entry", "n"])
+                held.append(np.unique(term_hashes(list(set(text.lower().split())))))
+                n += len(held[-1])
+                if n > COUNTED:
+                    yield counts()
+                    held, n = [], 0
+        if n:
+            yield counts()
 
     n = docs.count()
-    counts = docs.select("text").mapInArrow(count, "entry int, n int").groupBy("entry").agg(F.sum("n").alias("n"))
-    kept = counts.where((F.col("n") >= RAREST * n) & (F.col("n") <= max(1, COMMONEST * n))).select("entry").toPandas()  # ENTRIES rows at most
-    bits = np.zeros(ENTRIES, bool)
-    bits[kept["entry"].to_numpy()] = True
-    return bits
+    counts = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    kept = counts.where((F.col("n") >= RAREST * n) & (F.col("n") <= max(1, COMMONEST * n))).select("term").toArrow()
+    return Lexicon(np.sort(kept["term"].to_numpy().view(np.uint64)))
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
     """(part, guest, doc_id, text) in order: parts are ranges of doc_id, each ends with the next part's first row as a guest."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) or [], float)
-    part = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(bounds, ids.to_numpy(float, na_value=-np.inf), "right").astype(np.int32)), "int")
-    firsts = sorted((r["part"], r["doc_id"]) for r in docs.where("doc_id IS NOT NULL").select(part("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect())  # a row a part
+    least = np.iinfo(np.int64).min
+    cuts = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) or []
+    bounds = np.array([min(max(int(c), least), np.iinfo(np.int64).max) for c in cuts], np.int64)
+    known = F.coalesce("doc_id", F.lit(least))  # without nulls, pandas keeps ids as integers
+    part = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right").astype(np.int32)), "int")
+    firsts = sorted((r["part"], r["doc_id"]) for r in docs.where("doc_id IS NOT NULL").select(part(known).alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect())  # a row a part
     before = {doc_id: firsts[k - 1][0] for k, (_, doc_id) in enumerate(firsts)}  # the last part's guest is the very first document
 
-    def places(ids: pd.Series) -> pd.Series:
-        mine = np.searchsorted(bounds, ids.to_numpy(float, na_value=-np.inf), "right")
-        return pd.Series([[p] if pd.isna(i) or i not in before else [p, before[i]] for i, p in zip(ids, mine.tolist(), strict=True)])
+    def places(ids: pd.Series, unnamed: pd.Series) -> pd.Series:
+        mine = np.searchsorted(bounds, ids.to_numpy(np.int64), "right").tolist()
+        return pd.Series([[p] if none or i not in before else [p, before[i]] for i, none, p in zip(ids.tolist(), unnamed, mine, strict=True)])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.posexplode(F.pandas_udf(places, "array<int>")("doc_id")).alias("guest", "part"))
+    placed = F.posexplode(F.pandas_udf(places, "array<int>")(known, F.col("doc_id").isNull())).alias("guest", "part")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), placed)
     return rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text").select("part", "guest", "doc_id", "text")
 
 
@@ -147,10 +167,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """documents to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.packbits(lexicon(docs)))  # half a megabyte
+    shared = spark.sparkContext.broadcast(lexicon(docs))  # see RAREST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.unpackbits(shared.value).astype(bool)
+        words = shared.value
         out, held = [], 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:

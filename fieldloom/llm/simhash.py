@@ -1,72 +1,154 @@
 """SimHash near-dedup: fingerprints of word shingles, linked through one-wildcard segment variants.
 
+A fingerprint is cut into few segments, so that two linked ones differ in at most one bit of some
+segment, or of some segments taken together. Each goes out once for every bit of a segment, with
+that bit ignored; equal variants meet by a shuffle and are verified over all bits.
+
+Rules: EXACT is op9's (64 bits, 4-word shingles, links at 4 or fewer differing bits); its segments
+miss no link. SIMILAR is for texts that share about 0.8 or more of their 5-word shingles: 128 bits,
+of which such texts differ in about 19, so links need another kind of segments, see Rule.
+
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
-a fingerprint and so a component; rows with a null doc_id get a component but never name one;
-other columns, whatever their names, are not read.
+a fingerprint and so a component; rows with a null doc_id get a component but never name one,
+and are kept like any other by keep_one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import connected_components, materialise, star_edges
 
-SHINGLE = 4
 SEED = 42
-MAX_BITS = 4
-#: With three segments, two fingerprints that differ in at most 4 bits differ in at most one bit of some segment.
-SEGMENTS = (22, 21, 21)
 #: Shingles that vote at a time, so that one very long text needs bounded memory.
-BLOCK = 1 << 16
+BLOCK = 255 * 256
+#: Keys of more fingerprints than about this are dealt into pieces, each pair of pieces compared on its own.
+PIECE = 8192
+#: One in so many fingerprints is counted to find such keys.
+COUNTED = 16
+#: At least so many bits in a key; from there on it grows with the number of fingerprints.
+LEAST_KEY = 17
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How texts become fingerprints of 64 or 128 bits and when these link.
+
+    Without a recall, segments are such that no link is missed. With one, a segment is a random
+    choice of bits, and there are so many of them that two fingerprints differing in an expected
+    share of error of their bits meet in some segment with that probability (by simulation), at every
+    length of keys.
+    """
+
+    shingle: int
+    bits: int
+    words: int
+    recall: float | None = None
+    error: float = 0.0
+    longest_key: int = 36
+
+    def segments(self, n: int) -> list[tuple[int, ...]]:
+        """Bits of each segment, for n fingerprints: keys are long enough that about one fingerprint in all shares each."""
+        want, size = min(self.longest_key, max(LEAST_KEY, math.ceil(math.log2(max(2, n))))), 64 * self.words
+        if self.recall is None:
+            # Of `parts` segments the best `taken` together differ in one bit at most.
+            for taken in range(1, size):
+                parts = self.bits // 2 + 1 if taken == 1 else self.bits + taken - 1
+                cuts = np.linspace(0, size, parts + 1).round().astype(int)
+                if size // parts * taken - 1 >= want or (parts + 1) * 3 > size:
+                    return [tuple(b for k in chosen for b in range(cuts[k], cuts[k + 1])) for chosen in combinations(range(parts), taken)]
+        rng, out, deck = np.random.default_rng(SEED), [], []
+        flips = rng.random((1 << 13, size)) < self.error
+        met = np.zeros(len(flips), bool)
+        while met.mean() < self.recall:  # all bits in turn, so that segments have as few in common as can be
+            if len(deck) < want + 1:
+                deck = rng.permutation(size).tolist()
+            out.append(tuple(sorted(deck[: want + 1])))
+            deck = deck[want + 1 :]
+            met |= flips[:, out[-1]].sum(1) <= 1
+        return out
+
+    def masks(self, n: int) -> list[tuple[int, ...]]:
+        """For each bit of each segment, the segment without that bit, as signed longs, one a word."""
+        out = []
+        for segment in self.segments(n):
+            for wild in segment:
+                words = [sum(1 << (b % 64) for b in segment if b != wild and b // 64 == w) for w in range(self.words)]
+                out.append(tuple(m - (1 << 64) if m >> 63 else m for m in words))
+        return out
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included."""
+EXACT = Rule(shingle=4, bits=4, words=1)
+#: Texts that share 0.8 of their shingles have cosine 0.89, an angle of 0.15 of a half turn.
+SIMILAR = Rule(shingle=5, bits=22, words=2, recall=0.8, error=0.1515, longest_key=26)
+
+
+def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
+    """The joined words and where each shingle starts and ends in them."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE + 1)
-    joined = b" ".join(words)
+        return b"", [], []
+    n = max(1, len(words) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    last = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
-    first = np.concatenate([[0], ends[:-1] + 1])[:n]
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    last = ends[size - 1 :] if len(words) >= size else ends[-1:]
+    return b" ".join(words), np.concatenate([[0], ends[:-1] + 1])[:n].tolist(), last.tolist()
+
+
+def _digests_64(parts: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(p, SEED) for p in parts], "<u8")
+
+
+def _digests_128(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<u8")
+
+
+def fingerprint(text: str | None, rule: Rule = EXACT) -> tuple[int, ...]:
+    """Majority bits of the hashes (XXH64 for one word) of all word shingles, repeats included; a number for each word of 64 bits."""
+    joined, first, last = _shingles(text, rule.shingle)
+    n, votes, hashes = len(first), np.zeros(64 * rule.words, np.int64), _digests_64 if rule.words == 1 else _digests_128
+    if not n:
+        return (0,) * rule.words
     for i in range(0, n, BLOCK):
-        h = [digest(joined[s:e], SEED) for s, e in zip(first[i : i + BLOCK].tolist(), last[i : i + BLOCK].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+        h = hashes([joined[s:e] for s, e in zip(first[i : i + BLOCK], last[i : i + BLOCK], strict=True)])
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8 * rule.words), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        votes += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        votes += bits[whole:].sum(0, dtype=np.uint8)
+    return tuple(np.packbits(votes * 2 > n, bitorder="little").view("<u8").tolist())
 
 
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
+def _names(rule: Rule) -> list[str]:
+    return [f"w{k}" for k in range(rule.words)]
 
 
-def _masks() -> list[int]:
-    """For each bit, its segment without that bit, as a signed long."""
-    masks, low = [], 0
-    for width in SEGMENTS:
-        segment = ((1 << width) - 1) << low
-        masks += [segment & ~(1 << bit) for bit in range(low, low + width)]
-        low += width
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _fingerprints(rule: Rule) -> Column:
+    """A struct of the words w0 (and w1) of the fingerprint of the column text."""
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = np.array([fingerprint(x, rule) for x in texts], np.uint64).reshape(-1, rule.words).view(np.int64)
+        return pd.DataFrame(found, columns=_names(rule))
 
+    return F.pandas_udf(run, ", ".join(f"{c} long" for c in _names(rule)))("text")
 
-def _close_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what lies within MAX_BITS inside each run of equal group numbers."""
+
+def _close_pairs(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (positions in fp) that connect what lies within so many bits inside each run of equal group numbers."""
     out_a, out_b, held = [], [], 0
     left, lag = np.nonzero(group[:-1] == group[1:])[0], 1
     while left.size:
-        near = np.bitwise_count((fp[left] ^ fp[left + lag]).view(np.uint64)) <= MAX_BITS
-        out_a.append(fp[left[near]])
-        out_b.append(fp[left[near] + lag])
+        near = np.bitwise_count((fp[left] ^ fp[left + lag]).view(np.uint64)).sum(1, dtype=np.int32) <= bits
+        out_a.append(left[near])
+        out_b.append(left[near] + lag)
         held += int(near.sum())
         if held > 1_000_000:
             out_a, out_b = map(lambda x: [x], star_edges(np.concatenate(out_a), np.concatenate(out_b)))
@@ -79,77 +161,120 @@ def _close_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndar
     return star_edges(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (variant, key): verify all pairs of a key, keep a spanning star of the links."""
-    rest: list[np.ndarray] | None = None
-
-    def links(variant: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[False, (variant[1:] != variant[:-1]) | (key[1:] != key[:-1])]
-        a, b = _close_pairs(np.cumsum(new), fp)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if not len(now[0]):
-            continue
-        last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-        cut = len(last) - int(last.sum())  # the last key may go on in the next batch
-        rest = [c[cut:] for c in now]
-        if cut:
-            yield links(*(c[:cut] for c in now))
-    if rest is not None and len(rest[0]):
-        yield links(*rest)
-
-
-def _components(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp) to a row for each distinct fp: (fp, rep, comp), rep its smallest doc_id.
-
-    Copies collapse into one row per distinct fingerprint before anything is compared. Each
-    distinct fingerprint then goes out under 64 variants (its segment with one bit ignored);
-    equal variants meet by a shuffle, are verified there over all 64 bits and leave as a star,
-    so that a group of n near copies sends n rows on, not n squared.
+def _link(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by key: verify all pairs of a key, keep a spanning star of the links of a batch."""
+    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = _close_pairs(key, fp, rule.bits)
+        node = fp[:, 0] if rule.words == 1 else fp[:, 0] * np.int64(-7046029288634856825) + fp[:, 1] * np.int64(-4417276706812531889)
+        at, where = np.unique(node[np.concatenate([a, b])], return_index=True)  # a fingerprint may be there under several keys
+        u, v = star_edges(node[a], node[b]) if len(a) else (a, b)
+        rows = np.concatenate([a, b])[where]
+        pick = lambda x: fp[rows[np.searchsorted(at, x)]] if len(x) else fp[:0]
+        ends = [pick(u), pick(v)]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, k])) for e in ends for k in range(rule.words)], [f"{e}{k}" for e in "ab" for k in range(rule.words)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            fp = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(rule.words)], 1)
+            if rest is not None:
+                key, fp = np.concatenate([rest[0], key]), np.concatenate([rest[1], fp])
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            rest = key[cut:], fp[cut:]
+            if cut:
+                yield links(key[:cut], fp[:cut])
+        if rest is not None and len(rest[0]):
+            yield links(*rest)
+
+    return run
+
+
+def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct fingerprints (node, words) to edges (a, b) between nodes.
+
+    Rows are (key, words), key a hash of the variant and the fingerprint's bits under it; what shares a
+    key by chance is told apart by verification. A key that very many fingerprints share is dealt into
+    pieces, and each two pieces are compared under a key of their own, so that no task holds more than two.
+    """
+    names, masks = _names(rule), rule.masks(nodes.count())
+    table = F.array(*[F.struct(F.lit(v).alias("v"), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(mask)]) for v, mask in enumerate(masks)])
+
+    def variants(of: DataFrame) -> DataFrame:
+        out = of.select(*names, F.explode(table).alias("x"))
+        return out.select(F.xxhash64("x.v", *[F.col(c).bitwiseAND(F.col(f"x.m{k}")) for k, c in enumerate(names)]).alias("key"), *names)
+
+    counted = variants(nodes.where(F.pmod(F.xxhash64(*names, F.lit("count")), F.lit(COUNTED)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    heavy = counted.where(F.col("n") * COUNTED > PIECE).select(F.col("key").alias("heavy"), F.ceil(F.col("n") * COUNTED / PIECE).cast("int").alias("pieces"))
+    heavy = materialise(heavy, "simhash-heavy")  # as a table its size is known, and Spark broadcasts it or not by that
+    rows = variants(nodes)
+    if not heavy.isEmpty():
+        rows = rows.join(heavy, F.col("key") == F.col("heavy"), "left")
+        mine = F.pmod(F.xxhash64(*names, F.lit("piece")), F.col("pieces")).cast("int")
+        other = F.explode(F.when(F.col("pieces") > 1, F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), mine)).otherwise(F.array(F.lit(0))))
+        rows = rows.withColumn("mine", mine).withColumn("other", other)
+        split = F.when(F.col("pieces") > 1, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("key"))
+        rows = rows.select(split.alias("key"), *names)
+    schema = ", ".join(f"{e}{k} long" for e in "ab" for k in range(rule.words))
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link(rule), schema)
+    return found.select(*[_node([F.col(f"{e}{k}") for k in range(rule.words)]).alias(e) for e in "ab"])
+
+
+def _node(words: list[Column]) -> Column:
+    """What names a fingerprint among components: itself, or a hash of 64 bits for longer ones."""
+    return words[0] if len(words) == 1 else F.xxhash64(*words)
+
+
+def _components(fps: DataFrame, rule: Rule) -> DataFrame:
+    """(words, doc_id) to a row for each distinct fingerprint: (words, rep, comp), rep its smallest doc_id.
+
+    Copies collapse into one row per distinct fingerprint before anything is compared.
     """
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks()])
-    variants = (
-        nodes.select("fp", F.posexplode(masks).alias("variant", "mask"))
-        .select("variant", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        .repartition("variant", "key")
-        .sortWithinPartitions("variant", "key")
-    )
-    comp = connected_components(variants.mapInArrow(_link, "a long, b long"))
-    return nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp"))
-
-
-def components(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp) to (doc_id, fp, component_id)."""
-    joined = _components(fps)
+    names = _names(rule)
+    nodes = materialise(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    comp = connected_components(_edges(nodes, rule))
+    named = nodes.withColumn("own", _node([F.col(c) for c in names]))
+    return named.join(comp, named.own == comp.node, "left").select(*names, "rep", F.coalesce("component", "own").alias("comp"))
+
+
+def components(fps: DataFrame, rule: Rule = EXACT) -> DataFrame:
+    """(doc_id, words) to (doc_id, words, component_id)."""
+    joined = _components(fps, rule)
     names = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    return fps.join(joined.join(names, "comp").select("fp", "component_id"), "fp")
+    return fps.join(joined.join(names, "comp").select(*_names(rule), "component_id"), _names(rule))
 
 
-def near_dups(docs: DataFrame) -> DataFrame:
+def near_dups(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
     """documents to (doc_id, fingerprint, component_id)."""
-    hashed = F.pandas_udf(fingerprints, "long")("text")
-    fps = materialise(docs.select("doc_id", hashed.alias("fp")), "simhash")
-    return components(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps = materialise(docs.select("doc_id", _fingerprints(rule).alias("f")).select("doc_id", "f.*"), "simhash")
+    digits = [F.lpad(F.lower(F.hex(c)), 16, "0") for c in reversed(_names(rule))]
+    return components(fps, rule).select("doc_id", F.concat(*digits).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, then text hash.
+def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last), then by hash of text and of the rest.
 
-    Rows without a doc_id stay only where no row of their component has one; of rows that repeat
-    both doc_id and text any one stays.
+    Rows are told apart by doc_id, text and their other columns, so that rows without a doc_id or
+    with a repeated one are groups of their own if their texts are unlike. Of rows equal in
+    everything one stays. Texts are shuffled once, to meet what is kept.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = materialise(docs.select("doc_id", digest.alias("digest"), F.pandas_udf(fingerprints, "long")("text").alias("fp")), "simhash")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    kept = rows.join(_components(rows).select("fp", "comp"), "fp").groupBy("comp").agg(F.min(row).alias("row")).select("row.*")
-    docs = docs.withColumn("_digest", digest)
-    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (docs["_digest"] == kept["kept_digest"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    key = {"id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "rest": F.xxhash64(F.col("text").isNull(), *others)}
+    rows = docs.select(*[c.alias(k) for k, c in key.items()], _fingerprints(rule).alias("f")).select(*key, "f.*")
+    rows = materialise(rows.groupBy(*key, *_names(rule)).agg(F.count(F.lit(1)).alias("n")), "simhash")
+    comp = _components(rows.withColumnRenamed("id", "doc_id"), rule).select(*_names(rule), "comp")
+    first = F.struct(F.col("id").isNull().alias("unnamed"), *key, "n")
+    kept = rows.join(comp, _names(rule)).groupBy("comp").agg(F.min(first).alias("k")).select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in (*key, "n")])
+    kept = materialise(kept, "simhash-kept")
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & (F.col("rest") == F.col("k_rest"))
+    keyed = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in key.items()])
+    once = keyed.join(kept.where("k_n = 1"), same, "left_semi").select("row.*")
+    repeated = kept.where("k_n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.union(keyed.join(repeated, same, "left_semi").dropDuplicates(list(key)).select("row.*"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

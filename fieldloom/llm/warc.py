@@ -2,11 +2,17 @@
 
 Reading splits files anywhere. Each occurrence of the record magic is a candidate; its header
 gives the offset of its successor. Pointer jumping from the start of each file keeps the
-candidates that the chain of successors reaches, so magic inside a payload is no record.
+candidates that the chain of successors reaches, so magic inside a payload is no record. A record
+with magic inside is put together from its pieces, which a second read finds by their content, so
+that it doesn't matter how either read was split.
+
+Limits: the candidates of one file (a few numbers each) meet in one task, so files should not hold
+more than some ten million records; write() begins a new file every FILE_RECORDS records.
 
 Cases: null html is an empty payload; a null url is an empty target; a null page_id is written
 and read as null; equal rows that share the smallest page_id are all responses; payloads of
-under 100 bytes are never revisits; an empty table gives archives without records.
+under 100 bytes are never revisits; an empty table gives archives without records. A record that
+its file ends before is read as not intact; a piece that the second read lacks is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from fieldloom.llm.common import materialise, shared_path
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 LEAST_BYTES = 100
+#: Records a file, at most.
+FILE_RECORDS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -59,7 +67,7 @@ def write(pages: DataFrame, path: str) -> None:
         F.lit("\r\n"),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
     )
-    pages.select(record.alias("value")).write.option("lineSep", END).text(path)
+    pages.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +90,7 @@ def _candidates(chunks: DataFrame) -> DataFrame:
     whole = total == F.col("nbytes")
     body = F.expr("substring(value, length(header) + 3, length(value) - length(header) - 6)")
     return parts.select(
-        "file", "block", "seq", "nbytes", "header", "body_bytes",
+        "file", "block", "seq", "nbytes", F.xxhash64("value").alias("content"), "header", "body_bytes",
         (total + len(MAGIC)).alias("total"), whole.alias("whole"), F.when(whole, F.sha2(body, 256)).alias("digest"),
     )
 
@@ -136,26 +144,41 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.when(revisit, F.col("said")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.when(revisit, number("ref")).alias("refers_to"),
-        (revisit | (F.col("said") == F.col("digest"))).alias("intact"),
+        F.coalesce(revisit | (F.col("said") == F.col("digest")), F.lit(False)).alias("intact"),
     )
 
 
 def _mended(spark: SparkSession, path: str, rows: DataFrame, broken: DataFrame, columns: list[str]) -> DataFrame:
-    """Records that were cut at magic inside them, from a second look at their chunks only."""
+    """Records that were cut at magic inside them, from a second read of their pieces only, found by size and hash."""
     first = broken.select(F.col("file").alias("f"), F.col("off").alias("start"), (F.col("off") + F.col("total")).alias("stop"), F.col("header").alias("head"))
-    # Ranges of a file don't overlap, so the range a chunk lies in is that of the last start at or before it.
-    marks = rows.select("file", "off", "block", "seq", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), F.lit(None).cast("string").alias("head"))
+    # Ranges of a file don't overlap, so the range a piece lies in is that of the last start at or before it.
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("start", "long"), ("stop", "long"), ("head", "string"))]
+    marks = rows.select("file", "off", "nbytes", "content", *none)
     order = Window.partitionBy("file").orderBy("off", F.col("start").isNull())
     marks = marks.union(first.select("f", F.col("start").alias("off"), F.lit(None).cast("long"), F.lit(None).cast("long"), "start", "stop", "head"))
     last = marks.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("start", "stop", "head")})
-    needed = materialise(last.where("block IS NOT NULL AND off >= start AND off < stop").select("file", "block", "seq", "off", "start", "head"), "warc-needed")
-    chunks = _chunks(spark, path).join(needed, ["file", "block", "seq"])
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("off", "value"))), lambda x: x["value"])
-    whole = chunks.groupBy("file", "start", "head").agg(F.array_join(pieces, MAGIC).alias("value"))  # of one record
-    return materialise(
-        _candidates(whole.select("file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seq"), "value", F.col("start").alias("off"))).withColumn("off", F.lit(0).cast("long")).select(*columns),
-        "warc-mended",
-    )
+    needed = materialise(last.where("nbytes IS NOT NULL AND off >= start AND off < stop").select("file", "off", "nbytes", "content", "start", "head"), "warc-needed")
+    wanted = needed.select("nbytes", "content").distinct()
+    again = _chunks(spark, path).select(F.octet_length("value").cast("long").alias("nbytes"), F.xxhash64("value").alias("content"), "value")
+    found = again.join(wanted, ["nbytes", "content"], "left_semi").groupBy("nbytes", "content").agg(F.first("value").alias("value"))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("off", "value"))), lambda x: x["value"])  # of one record
+    joined = F.when(F.count("value") == F.count(F.lit(1)), F.array_join(pieces, MAGIC)).otherwise(F.raise_error(F.lit("an archive changed while it was read")).cast("string"))
+    whole = needed.join(found, ["nbytes", "content"], "left").groupBy("file", "start", "head").agg(joined.alias("value"))
+    nought = F.lit(0).cast("long")
+    return materialise(_candidates(whole.select("file", nought.alias("block"), nought.alias("seq"), "value")).withColumn("off", nought).select(*columns), "warc-mended")
+
+
+OP3_SQL = """
+WITH sized AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, TRUE AS intact
+FROM sized LEFT JOIN firsts USING (payload_digest)
+"""
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:

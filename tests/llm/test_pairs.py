@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldloom.llm import embeddings, simhash
+from fieldloom.llm import common, embeddings, simhash
 from fieldloom.llm.common import connected_components, star_edges
 
 SCHEMA = "doc_id long, text string, size string, fingerprint int"
@@ -33,17 +33,41 @@ def plain_fingerprint(text):
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("abAÉß \n\t\x0b\x85\xa0.é漢"), max_size=80))
 def test_fingerprint_is_plain_simhash(text):
-    assert simhash.fingerprint(text) == plain_fingerprint(text)
+    assert simhash.fingerprint(text) == (plain_fingerprint(text),)
 
 
 def test_fingerprint_in_blocks(monkeypatch):
-    text = " ".join(map(str, range(500)))
-    whole = simhash.fingerprint(text)
-    monkeypatch.setattr(simhash, "BLOCK", 7)
-    assert simhash.fingerprint(text) == whole == plain_fingerprint(text)
-
-
-def test_components_of_close_fingerprints(spark):
+    text = " ".join(map(str, range(3000)))
+    whole = [simhash.fingerprint(text, r) for r in (simhash.EXACT, simhash.SIMILAR)]
+    for size in (7, 300, 510):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        assert [simhash.fingerprint(text, r) for r in (simhash.EXACT, simhash.SIMILAR)] == whole
+    assert whole[0] == (plain_fingerprint(text),)
+
+
+@pytest.mark.parametrize("n", [1, 1 << 22, 1 << 26])
+def test_segments_miss_no_four_bits(n):
+    rng, masks = np.random.default_rng(n), np.array(simhash.EXACT.masks(n), np.int64)[:, 0]
+    for k in range(3000):
+        bits = rng.choice(64, k % 5, replace=False) if k % 2 else rng.choice(range(k % 50, k % 50 + 14), k % 5, replace=False)
+        differing = np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), initial=np.uint64(0)).view(np.int64)
+        assert (masks & differing == 0).any()
+
+
+@pytest.mark.parametrize("n", [1, 1 << 22])
+def test_segments_of_similar_texts_meet_as_often_as_stated(n):
+    rng, rule = np.random.default_rng(n), simhash.SIMILAR
+    masks = np.array(rule.masks(n), np.int64)
+    flips = rng.random((4000, 128)) < rule.error
+    words = np.packbits(flips, axis=1, bitorder="little").view("<i8")
+    met = ((words[:, None] & masks[None]) == 0).all(2).any(1)
+    assert met.mean() > rule.recall - 0.04
+
+
+@pytest.mark.parametrize("piece,least,counted", [(8192, 17, 16), (3, 17, 1), (8192, 24, 16), (5, 30, 1)])
+def test_components_of_close_fingerprints(spark, monkeypatch, piece, least, counted):
+    for name, value in (("PIECE", piece), ("LEAST_KEY", least), ("COUNTED", counted)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = [base]
@@ -54,12 +78,31 @@ def test_components_of_close_fingerprints(spark):
         fps.append(step)
     fps = np.concatenate([*fps, base[:5], np.zeros(3, np.uint64)])
     ids = rng.permutation(len(fps)) + 100
-    df = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, fps.view(np.int64))], "doc_id long, fp long")
+    df = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, fps.view(np.int64))], "doc_id long, w0 long")
     got = {r["doc_id"]: r["component_id"] for r in simhash.components(df).collect()}
     close = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
     assert [got[i] for i in ids] == smallest_reachable(close, ids)
 
 
+def test_op9_whole_table_against_brute_force(spark, sf, tmp_path):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rng = np.random.default_rng(2)
+    for i, text in docs[:60]:  # near copies, some of them near enough
+        words = (text or "").split()
+        for n in range(3):
+            if words:
+                words[rng.integers(len(words))] = f"w{n}"
+            docs.append((10_000 + 3 * i + n, " ".join(words)))
+    docs += [(50_000, None), (50_001, " \n"), (50_002, "One two"), (50_003, "one TWO")]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op9_simhash(spark, str(tmp_path)).collect()}
+    fps = np.array([plain_fingerprint(t) for _, t in docs], np.uint64)
+    ids = [i for i, _ in docs]
+    want = smallest_reachable(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4, ids)
+    assert got == {i: (f"{int(f):016x}", c) for i, f, c in zip(ids, fps, want, strict=True)}
+    assert len({c for c in want}) < len(set(fps.tolist()))
+
+
 def test_near_dups_odd_rows(spark):
     text = "one two three four five six seven eight nine ten " * 20
     rows = [(5, text, "x", 1), (3, text.upper(), "x", 1), (3, text.upper(), "x", 1), (9, None, "x", 1), (8, "", None, 1), (7, " \n", None, 1), (2, "alone here", "x", 1), (None, text, "x", 1)]
@@ -69,14 +112,30 @@ def test_near_dups_odd_rows(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "size", "fingerprint"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7]
-    assert simhash.near_dups(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert simhash.near_dups(spark.createDataFrame([], SCHEMA)).count() == 0 and simhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_keep_one_by_row(spark):
-    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
-    rows = [(3, x), (5, x.upper()), (5, y), (None, x), (None, z), (None, z), (None, z.upper()), (8, None), (8, None), (None, "")]
-    kept = simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect()
-    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept), key=str) == sorted([(3, x), (5, y), (None, z), (8, "")], key=str)
+    w, x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "wxyz")
+    rows = [(3, x), (5, x.upper()), (5, y), (None, x), (None, z), (None, z), (None, z.upper()), (None, w), (8, None), (8, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, row string, k_id int, rest int, digest int")
+    kept = simhash.keep_one(df).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept), key=str) == sorted([(3, x), (5, y), (None, z), (None, w), (8, "")], key=str)
+    assert kept[0].asDict().keys() == {"doc_id", "text", "row", "k_id", "rest", "digest"}
+
+
+def test_keep_one_takes_what_shares_most_shingles(spark):
+    rng, docs, groups = np.random.default_rng(4), [], {}
+    for g in range(120):
+        words = [f"{g}w{k}" for k in rng.integers(0, 5000, 300)]
+        near = list(words)
+        for at in rng.choice(300, 3 if g % 2 else 60, replace=False):  # about 0.9 of all shingles stay, or few
+            near[at] = f"{g}n{at}"
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(near))]
+        groups[g] = g % 2 == 1
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)).collect()}
+    assert all(2 * g in kept for g in groups) and all(2 * g + 1 in kept for g, near in groups.items() if not near)
+    assert sum(2 * g + 1 not in kept for g, near in groups.items() if near) >= 0.9 * 60
 
 
 @settings(max_examples=50, deadline=None)
@@ -93,7 +152,10 @@ def test_star_edges(pairs):
     assert got == want
 
 
-def test_connected_components_of_a_path_and_a_hub(spark):
+@pytest.mark.parametrize("hub", [1000, 1, 20])
+def test_connected_components_of_a_path_and_a_hub(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "LEAST_HUB", hub)
+    monkeypatch.setattr(common, "HUBS", 1000)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (7, 6)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 1000 for i in range(1000, 1100)}

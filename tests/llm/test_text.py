@@ -1,10 +1,12 @@
 """I-Match, language ID and the quality model."""
 
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -22,29 +24,77 @@ def edited(text, after):
     return text[: len(text) - half] + after[:half]
 
 
+def plain_parts(terms):
+    """For each level the hash of the terms (in order) of each of 8 cells, by the upper half of their hashes."""
+    hashes, out = [xxhash.xxh3_64_intdigest(t.encode()) for t in terms], []
+    for level in range(30):
+        cells = [[h for h in hashes if (h >> 32) % (8 << level) == c] for c in range(8)]
+        if not any(cells):
+            break
+        out += [xxhash.xxh32_hexdigest(b"".join(h.to_bytes(8, "little") for h in c), level)[:6] if c else "-" for c in cells]
+    return out + ["-"] * (64 - len(out))
+
+
+def plain_fingerprint(text, in_band):
+    terms = sorted(set(text.lower().split()))
+    inside = [t for t in terms if t in in_band]
+    weight = min(255, int(255 * (len(inside) / len(terms)) / 0.25)) if terms else 255
+    return plain_parts(inside), weight, plain_parts(terms)
+
+
+def plain_likeness(a, b):
+    def alike(x, y):
+        equal = either = 0
+        for level in range(max(len(x), len(y)) // 8 - 1, -1, -1):
+            cells = [((x[8 * level + c :] or ["-"])[0], (y[8 * level + c :] or ["-"])[0]) for c in range(8)]
+            cells = [c for c in cells if c != ("-", "-")]
+            if len(cells) <= 6 or not either:
+                equal, either = equal + sum(p == q for p, q in cells), either + len(cells)
+        return equal / either if either else 1.0
+
+    weight = min(a[1], b[1]) / 255
+    return weight * alike(a[0], b[0]) + (1 - weight) * alike(a[2], b[2])
+
+
 def test_imatch_whole_table_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r for r in imatch.op7_imatch(spark, sf).collect()}
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    n, df = len(rows), {}
-    for _, t in rows:
-        for e in {int(h) % imatch.ENTRIES for h in imatch.term_hashes(list(set(t.lower().split())))}:
-            df[e] = df.get(e, 0) + 1
-    lexicon = np.zeros(imatch.ENTRIES, bool)
-    lexicon[[e for e, c in df.items() if imatch.RAREST * n <= c <= max(1, imatch.COMMONEST * n)]] = True
-    assert (lexicon == imatch.lexicon(docs)).all() and len(got) == n
-    prints = [imatch.fingerprint(t, lexicon) for _, t in rows]
+    n = len(rows)
+    df = Counter(term for _, t in rows for term in set(t.lower().split()))
+    in_band = {t for t, c in df.items() if n / 10_000 <= c <= max(1, n / 20)}
+    assert imatch.lexicon(docs).terms.tolist() == sorted(xxhash.xxh3_64_intdigest(t.encode()) for t in in_band) and len(got) == n
+    prints = [plain_fingerprint(t, in_band) for _, t in rows]
+    joined = lambda f: "".join([*f[0], f"/{f[1]:02x}", *f[2]])
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % n][1]
         change = edited(t, after)
+        theirs = plain_fingerprint(change, in_band)
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha256(change.encode()).hexdigest())
-        assert r["fingerprint"] == "".join(prints[k]) and r["edited_fingerprint"] == "".join(imatch.fingerprint(change, lexicon))
-        assert r["near_next"] == imatch.likeness(prints[k], prints[(k + 1) % n])
+        assert r["fingerprint"] == joined(prints[k]) and r["edited_fingerprint"] == joined(theirs)
+        assert r["near_edited"] == pytest.approx(plain_likeness(prints[k], theirs)) and r["near_next"] == pytest.approx(plain_likeness(prints[k], prints[(k + 1) % n]))
     near = np.array([(r["near_edited"], r["near_next"]) for r in got.values()])
     assert near[:, 0].mean() > 0.2 > 0.1 > near[:, 1].mean()
 
 
+def test_imatch_next_of_large_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    rows = [(big + 2 * k, f"text {k} of many words", None) for k in range(40)] + [(None, "no id here", None), (-(1 << 63), "the least id", None)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in imatch.fingerprints(table(spark, rows).repartition(3)).collect()}
+    order = sorted(r[:2] for r in rows if r[0] is not None)
+    for k, (i, t) in enumerate(order):
+        assert got[i] == sha256(edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()
+    assert got[None] == sha256(edited("no id here", order[0][1]).encode()).hexdigest()
+
+
+def test_imatch_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = {r["doc_id"]: r for r in imatch.fingerprints(table(spark, [(1, long, None), (2, "short", None), (3, long, None)])).collect()}
+    assert rows[1]["n_chars"] == len(long) and rows[1]["fingerprint"] == rows[3]["fingerprint"] != rows[2]["fingerprint"]
+    assert rows[3]["near_next"] == 1.0 and rows[1]["edited_sha256"] == sha256(edited(long, "short").encode()).hexdigest()
+
+
 def test_imatch_odd_rows(spark):
     rows = [(5, "b c d", None), (1, None, None), (3, "xéy \U0001f600 z", None), (3, "a", None), (None, "n", None), (9, "b c d", None)]
     got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in imatch.fingerprints(table(spark, rows)).collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
@@ -65,7 +115,7 @@ def test_likeness_bounds():
 
 @pytest.mark.parametrize("n", [30, 1000, 5000, 20_000])
 def test_imatch_likeness_of_texts_of_any_length(n):
-    every, half, few = np.ones(imatch.ENTRIES, bool), [], []
+    every, half, few = imatch.Lexicon(), [], []
     for seed in range(40):
         words = [f"{seed}w{k}" for k in range(n)]
         mine = imatch.fingerprint(" ".join(words), every)

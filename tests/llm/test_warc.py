@@ -1,4 +1,9 @@
 from hashlib import sha256
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import warc
 from fieldloom.llm.common import shared_path
@@ -48,6 +53,54 @@ def test_round_trip_split_anywhere(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_second_read_may_be_split_otherwise(spark, monkeypatch):
+    pages = [(i, "u", (f"page {i} " * 9) + (warc.MAGIC + "inside" if i % 2 else "")) for i in range(40)]
+    size, mended = spark.conf.get("spark.sql.files.maxPartitionBytes"), warc._mended
+
+    def other_splits(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+        return mended(*args)
+
+    monkeypatch.setattr(warc, "_mended", other_splits)
+    try:
+        assert round_trip(spark, pages) == expected(pages)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_piece_that_is_gone_is_an_error_and_a_cut_file_is_not_intact(spark, monkeypatch, tmp_path):
+    path = shared_path(spark, "warc-test")
+    pages = spark.createDataFrame([(1, "u", "a" + warc.MAGIC + "b" * 50, "x", 1)], SCHEMA)
+    warc.write(warc.classify(pages.coalesce(1)), path)
+    file = next(Path(path.removeprefix("file://")).glob("part-*"))
+    whole = file.read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "part-0.txt").write_bytes(whole[:-20])
+    assert [r["intact"] for r in warc.read(spark, f"file://{tmp_path}/cut").collect()] == [False]
+    chunks, reads = warc._chunks, []
+
+    def changed(spark, path):
+        reads.append(1)
+        return chunks(spark, path).where(F.lit(len(reads) == 1) | ~F.col("value").contains("b" * 50))
+
+    monkeypatch.setattr(warc, "_chunks", changed)
+    with pytest.raises(Exception, match="archive changed"):
+        warc.read(spark, path).collect()
+
+
+def test_very_long_page(spark):
+    pages = [(1, "u", "x" * 5_000_000), (2, "u", "é" * 1_000_000 + warc.MAGIC + "y" * 1_000_000), (3, "u", "é" * 1_000_000 + warc.MAGIC + "y" * 1_000_000)]
+    assert round_trip(spark, pages) == expected(pages)
+
+
+def test_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    rel = con.sql(warc.OP3_SQL)
+    assert sorted(map(tuple, warc.op3_warc(spark, sf).select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
 def test_nulls_repeats_and_empty(spark):
     long = "y" * 100
     pages = [(2, "u", long), (2, "u", long), (5, "u", long)]
