@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_embeddings": embeddings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL}

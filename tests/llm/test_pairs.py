@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -169,7 +170,7 @@ def plain_links(vectors, labels, cosine):
     return close
 
 
-@pytest.mark.parametrize("dims,piece,cell", [(64, 4096, 256), (64, 20, 4), (64, 50, 0.1), (10, 16, 8), (3, 4096, 1)])
+@pytest.mark.parametrize("dims,piece,cell", [(64, 4096, 16384), (64, 20, 16384), (64, 4096, 64), (64, 20, 4), (64, 50, 0.1), (10, 16, 8), (3, 4096, 1)])
 def test_links_are_all_and_only_close_pairs(spark, monkeypatch, dims, piece, cell):
     monkeypatch.setattr(embeddings, "PIECE", piece)
     monkeypatch.setattr(embeddings, "CELL", cell)
@@ -196,3 +197,26 @@ def test_vectors_that_link_with_nothing(spark):
     assert got[16] == (4, 1, False) and got[15] == (1, 1, False)
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14))
     assert embeddings.near_dups(df.limit(0)).count() == 0
+
+
+def test_op2_with_repeated_ids_against_sql(spark, sf, tmp_path):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (1, [0.0, 1.0], 1), (3, [0.1, 1.0], 1), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, 0.0], None), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (9, [1.0], 1), (9, [2.0], 1)]
+    df = spark.createDataFrame([(i, v, k) for i, v, k in rows], "vec_id long, embedding array<float>, label int")
+    for at, table in enumerate((df, spark.read.parquet(f"{sf}/embeddings.parquet"))):
+        table.write.parquet(f"{tmp_path}/{at}/embeddings.parquet")
+        got = sorted(map(tuple, embeddings.op2_embeddings(spark, f"{tmp_path}/{at}").collect()), key=str)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{at}/embeddings.parquet/*.parquet'")
+        assert got == sorted(con.sql(embeddings.OP2_SQL).fetchall(), key=str)
+    assert len(got) == 500
+
+
+def test_pairs_on_a_limit_are_seen_alike_by_all_tasks():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((50, 64))
+    block, turned = slice(8, 16), embeddings.rotate(x)
+    p, q = np.arange(0, 50, 2), np.arange(1, 50, 2)
+    apart = ((turned[p, block] - turned[q, block]) ** 2).sum(1)
+    for k in range(25):  # a limit that is the pair's distance, but for rounding
+        inside = {bool(embeddings.within(x[m], embeddings.rotate(x[m]), np.array([m.tolist().index(p[k])]), np.array([m.tolist().index(q[k])]), block, apart[k])[0]) for m in (np.arange(50), np.array([p[k], q[k]]), np.array([q[k], 7, p[k], 9]))}
+        assert len(inside) == 1
