@@ -1,5 +1,7 @@
 import html
 import re
+import time
+from collections import Counter
 
 import pandas as pd
 
@@ -30,6 +32,51 @@ def test_without_article_the_best_run_is_found():
     assert PLAIN.text(page) == ("word " * 60).strip() + "\nEnd of it."
 
 
+ARTICLE = "<h1>A headline of words</h1><p>First of it all.</p><p>Second part of it.</p>"
+READ = "A headline of words\nFirst of it all.\nSecond part of it."
+
+
+def test_names_of_wrappers_and_parts_of_articles_remove_nothing():
+    menu = "<nav><a href='x'>Menu here</a></nav>"
+    assert PLAIN.text(f'<body>{menu}<div class="page has-sidebar"><div><article>{ARTICLE}</article></div><div class="sidebar">Side words</div></div>') == READ
+    assert PLAIN.text(f'<body>{menu}<form id="search-page"><article>{ARTICLE}</article></form>') == READ
+    inner = ARTICLE.replace("<h1>", '<div class="entry-header"><h1>').replace("</h1>", "</h1></div>").replace("<p>F", '<p class="share-price">F')
+    assert PLAIN.text(f"<body>{menu}<article>{inner}<div class='ad-slot'>Buy it</div><ul class='social-share'><li>Tell</ul><p class='comment'>Me too</p></article>") == READ
+    assert PLAIN.text(f"<article>{ARTICLE}</article><aside><article><p>A teaser</p></article></aside><div class='related'><article><p>More</p></article></div>") == READ
+
+
+def test_words_of_classes_are_learned():
+    pages = [f'<body><div class="zork">Much to buy here {i}</div><article><div class="share">{ARTICLE}</div></article></body>' for i in range(5)]
+    counts = [html_text.features(p) for p in pages]
+    inside, outside = (sum((c[k] for c in counts), Counter()) for k in (0, 1))
+    names = sorted(inside | outside)
+    learned = html_text.Weights(pd.DataFrame({"tag": names, "inside": [inside[t] for t in names], "outside": [outside[t] for t in names]}))
+    page = f'<body><div class="zork">Much to buy here</div><div class="share">{ARTICLE}</div></body>'
+    assert learned.text(page) == READ and "buy" in PLAIN.text(page)
+
+
+def test_a_page_without_any_mark():
+    links = "".join(f'<li><a href="{i}">Go {i}</a></li>' for i in range(9))
+    page = f"<body><div><ul>{links}</ul></div><div><div>{ARTICLE * 3}</div></div><div><ul>{links}</ul></div></body>"
+    assert PLAIN.text(page) == "\n".join([READ] * 3)
+
+
+def test_pages_are_read_in_linear_time():
+    began = time.time()
+    hostile = ["<a " * 300_000, '<a x=">" ' * 100_000, "<a \"" * 200_001, "</b>" * 200_000, "<div>" * 200_000, "<!" * 300_000, "<script>" * 100_000, "&" * 1_000_000, " class" * 200_000, "<p class=" * 100_000 + ">"]
+    for page in hostile:
+        PLAIN.text(page)
+        PLAIN.text(f"<article><p>Some words.</p></article>{page}")
+    assert time.time() - began < 40
+    long = "<p>" + "word " * 20
+    assert PLAIN.text(f"<nav>menu</nav><article>{long * 50_000}</article>").count("word") == 1_000_000
+
+
+def test_quotes_and_comments():
+    assert PLAIN.text('<article><p title="a > b">One</p><!-- > <p>no</p> --><p>Two<!x></p></article>') == "One\nTwo"
+    assert PLAIN.text("<article><p title='left open>One</p><p>Two</p></article>") == "One\nTwo"
+
+
 def test_broken_pages():
     assert [PLAIN.text(x) for x in (None, "", "<", "<<>>", "<article", "<article></article>", "<script>never ends", "<!-- never ends")] == ["", "", "<", "<<>>", "<article", "", "", ""]
     assert PLAIN.text('<div class="ad">left open<article><p>Text here</p></article>') == "Text here"
