@@ -5,7 +5,8 @@ codeword whose bits lose least, a bit's loss being weighted by the evidence for
 
 Cases: a null text and one without letters are `und` with score 0, as is everything when no
 row is labelled; rows with null lang don't train; one language alone has score 1; a null doc_id
-counts as an empty one; repeated rows are predicted alike; other columns are not read.
+counts as an empty one; repeated rows are predicted alike; other columns are not read. Labels beyond
+the LANGUAGES most frequent ones are not learned.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from fieldloom.llm.common import hash_below
 
 #: n-grams of 2 and 3 characters are hashed to so many features; bounds the model, whatever the corpus.
 FEATURES = 1 << 15
+#: Languages to learn, the most frequent labels; bounds the model where labels are dirty.
+LANGUAGES = 200
 #: Labelled documents a language to learn from, about: drawn by hash of doc_id, whole texts.
 TRAIN_DOCS = 1500
 #: Characters looked at a time.
@@ -39,18 +42,19 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> Iterator[np.ndarray]:
-    """Feature numbers of the text's n-grams, block by block; runs of other characters count as one space."""
-    carry = np.array([32], np.uint32)
+    """Feature numbers of the text's n-grams, a block of characters at a time; runs of other characters, and either end, count as one space."""
+    text, seen = text.lower(), np.array([32], np.uint32)
     for i in range(0, len(text), BLOCK):
-        points = np.frombuffer(text[i : i + BLOCK].lower().encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(text[i : i + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = letters()[points]
-        points = np.where(letter, points, np.uint32(32))
-        points = points[letter | np.r_[True, letter[:-1]]]
-        points = np.concatenate([carry, points, np.array([32], np.uint32)] if i + BLOCK >= len(text) else [carry, points])
-        two = points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA6B)
-        three = two[:-1] * np.uint32(0x27D4EB2F) + points[2:] * np.uint32(0xC2B2AE35)
-        yield np.concatenate([two, three]) >> np.uint32(17)
-        carry = points[-2:]
+        points = np.where(letter, points, np.uint32(32))[letter | np.r_[seen[-1] != 32, letter[:-1]]]
+        if i + BLOCK >= len(text) and (points[-1] if len(points) else seen[-1]) != 32:
+            points = np.append(points, np.uint32(32))
+        both = np.concatenate([seen, points])
+        two = both[:-1] * np.uint32(0x9E3779B1) + both[1:] * np.uint32(0x85EBCA6B)
+        three = two[:-1] * np.uint32(0x27D4EB2F) + both[2:] * np.uint32(0xC2B2AE35)
+        yield np.concatenate([two[len(seen) - 1 :], three]) >> np.uint32(17)
+        seen = both[-2:]
 
 
 def has_letter(text: str) -> bool:
@@ -110,7 +114,7 @@ class Model:
         for grams in ngrams(text):
             total += self.weights[grams].sum(0, dtype=np.float64)
             n += len(grams)
-        evidence = total / n * min(n, EVIDENCE)
+        evidence = total / max(1, n) * min(n, EVIDENCE)
         signs = 2.0 * self.code - 1
         loss = np.logaddexp(0, -signs * evidence).sum(1)
         odds = np.exp(loss.min() - loss)
@@ -122,37 +126,36 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Learn from labelled documents: a sample of about TRAIN_DOCS a language, counted where the texts are."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return Model([], np.zeros((0, FEATURES)))
     rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, TRAIN_DOCS / n))])
-    sample = labelled.where(hash_below(F.col("doc_id"), F.element_at(rates, F.col("lang"))))
+    sample = labelled.where(F.coalesce(hash_below(F.col("doc_id"), F.try_element_at(rates, F.col("lang"))), F.lit(False)))
     counts = sample.select("lang", "text").mapInPandas(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    table = counts.toPandas()  # at most languages x FEATURES rows
+    table = counts.toPandas()  # at most LANGUAGES x FEATURES rows
     languages = sorted(table["lang"].unique())
     matrix = np.zeros((len(languages), FEATURES))
     matrix[[languages.index(x) for x in table["lang"]], table["feature"]] = table["n"]
     return Model(languages, matrix)
 
 
-def _found(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred, score and ambiguous added (in place of columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x bits floats, however large the corpus
 
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang_pred", "score", "ambiguous"])
 
-    return docs.withColumn("_lang_id", F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")("text"))
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and ambiguous added (in place of columns of these names)."""
-    return _found(docs, model).withColumns({c: F.col(f"_lang_id.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_lang_id")
+    found = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")("text")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), found.alias("found")).select("row.*", "found.*")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is found and not ambiguous, with their own columns."""
-    found = _found(docs, train(docs))
-    return found.where("_lang_id.lang_pred != 'und' AND NOT _lang_id.ambiguous").drop("_lang_id")
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), train(docs))
+    return found.where("lang_pred <> 'und' AND NOT ambiguous").select("row.*")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

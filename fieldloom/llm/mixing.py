@@ -2,7 +2,8 @@
 
 Cases: a null text has no words; a null source is a source of its own, sorted last; rows that
 repeat a doc_id draw alike; an empty table gives an empty mix; sources without words get target 0.
-Columns of other names are carried by mix() and ignored by shares().
+Columns of other names, whatever they are, are carried by mix() and not read otherwise. Sources are
+ranked in one task, a row each.
 """
 
 from __future__ import annotations
@@ -79,31 +80,29 @@ def shares(sized: DataFrame) -> DataFrame:
 
 
 def _with_shares(docs: DataFrame, sized: DataFrame) -> DataFrame:
-    """docs (with source and draw) and their source's share; columns of the share are named _mix_*."""
-    share = materialise(shares(sized), "mix-shares")
-    rows = share.count()
-    share = share.select(*[F.col(c).alias(f"_mix_{c}") for c in share.columns])
-    share = F.broadcast(share) if rows <= BROADCAST_ROWS else share
-    return docs.join(share, docs["source"].eqNullSafe(share["_mix_source"]), "left")
-
-
-def copies(draw_: Column) -> Column:
-    return F.col("_mix_base") + (draw_ < F.col("_mix_below")).cast("long")
+    """docs (with source, and no column of a share's) and their source's share."""
+    share = materialise(shares(sized).withColumnRenamed("source", "name"), "mix-shares")
+    share = F.broadcast(share) if share.count() <= BROADCAST_ROWS else share
+    return docs.join(share, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("copies", F.col("base") + (F.col("draw") < F.col("below")).cast("long"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """documents to (doc_id, size, source_size, target, taken)."""
+    """documents to (doc_id, size, source_size, target, taken, base, fraction, threshold).
+
+    Each document is taken base times, and once more if its draw is below the threshold, which is the fraction or near it.
+    """
     sized = materialise(docs.select("doc_id", "source", size().alias("size"), draw().alias("draw")), "mix-sizes")
+    fraction = (F.col("target") - F.col("base") * F.col("source_size")) / F.nullif("source_size", F.lit(0))
     return _with_shares(sized, sized).select(
-        "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (copies(F.col("draw")) * F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "base", fraction.alias("fraction"), (F.col("below") / BINS).alias("threshold")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """documents, each as often as the mix takes it. Texts are not shuffled."""
     sized = docs.select("doc_id", "source", size().alias("size"), draw().alias("draw"))
-    n = F.explode(F.array_repeat(F.lit(0), copies(draw()).cast("int"))).alias("_mix_copy")
-    return _with_shares(docs, sized).select(*[docs[c] for c in docs.columns], n).drop("_mix_copy")
+    rows = _with_shares(docs.select(F.struct("*").alias("row"), "source", draw().alias("draw")), sized)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -143,6 +142,7 @@ WITH sized AS (
            arg_min(s.draw, (abs(s.words - (b.target - b.base * b.source_size)), s.draw)) AS below
     FROM summed s JOIN based b ON s.source IS NOT DISTINCT FROM b.source GROUP BY ALL
 )
-SELECT d.doc_id, d.size, s.source_size, s.target, (s.base + (d.draw < s.below)::BIGINT) * d.size AS taken
+SELECT d.doc_id, d.size, s.source_size, s.target, (s.base + (d.draw < s.below)::BIGINT) * d.size AS taken,
+       s.base, (s.target - s.base * s.source_size) / nullif(s.source_size, 0) AS fraction, s.below / 4096 AS threshold
 FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
 """

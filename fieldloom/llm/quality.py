@@ -5,7 +5,8 @@ to a lookup table per feature and pair; a score is the sum of the bins that a te
 
 Cases: null and empty texts are scored as texts without words; without labelled rows every score
 is 0.5, with one class alone it is near that class; labels with null quality or doc_id don't train;
-repeated rows score alike; other columns are not read.
+repeated rows score alike; of labels that repeat a doc_id the highest counts, and of documents that
+repeat one, one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -146,17 +147,19 @@ def _matrix(texts: pd.Series) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Gam:
-    """Fit to about TRAIN_DOCS labelled documents; only their features come to the driver."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
+    """Fit to about TRAIN_DOCS labelled documents; only their features come to the driver, a row for each doc_id."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rate = min(1.0, TRAIN_DOCS / max(1, usable.count()))
-    sample = usable.where(hash_below(F.col("doc_id"), F.lit(rate))).limit(2 * TRAIN_DOCS)  # a bound on what is broadcast
+    drawn = usable.where(hash_below(F.col("doc_id"), F.lit(rate)))
+    sample = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAIN_DOCS)  # a bound on what is broadcast
 
     def measure(batches):
         for batch in batches:
-            yield pd.DataFrame({"x": list(_matrix(batch["text"])), "quality": batch["quality"]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": list(_matrix(batch["text"])), "quality": batch["quality"]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    found = rows.mapInPandas(measure, "x array<double>, quality int").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    measured = rows.mapInPandas(measure, "doc_id long, x array<double>, quality int")
+    found = measured.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("one")).select("doc_id", "one.*").toPandas().sort_values("doc_id")  # one of repeated rows
     return Gam(np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES)), (found["quality"].to_numpy() > 0).astype(float))
 
 
@@ -172,7 +175,8 @@ def scored(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of ACCEPT or more, with their own columns."""
-    return scored(docs, train(docs, labels), "_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")
+    found = scored(docs.select(F.struct("*").alias("row"), "text"), train(docs, labels))
+    return found.where(F.col("score") >= ACCEPT).select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """I-Match, language ID and the quality model."""
 
+import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -136,16 +139,62 @@ def test_imatch_copies_that_fill_a_third_of_the_table(spark):
     assert max(got[i]["near_next"] for i in range(99, 300)) == 0
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.text(st.sampled_from("aB é漢1. \n"), max_size=60))
-def test_ngrams_in_blocks(text):
-    whole = np.sort(np.concatenate([*language_id.ngrams(text), np.array([], np.uint32)]))
-    language_id.BLOCK, kept = 5, language_id.BLOCK
+def plain_ngrams(text):
+    points = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+    points = [p for k, p in enumerate(points) if p != 32 or k == 0 or points[k - 1] != 32]
+    two = [(a * 0x9E3779B1 + b * 0x85EBCA6B) % 2**32 for a, b in zip(points, points[1:])]
+    return [h >> 17 for h in [*two, *((h * 0x27D4EB2F + c * 0xC2B2AE35) % 2**32 for h, c in zip(two, points[2:]))]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("aB é漢1. \nİΣσ"), max_size=60), st.sampled_from([1, 2, 3, 5, 7, 1 << 20]))
+def test_ngrams_are_the_same_in_blocks(text, size):
+    language_id.BLOCK, kept = size, language_id.BLOCK
     try:
-        parts = list(language_id.ngrams(text))
+        got = np.concatenate([*language_id.ngrams(text), np.array([], np.uint32)])
     finally:
         language_id.BLOCK = kept
-    assert sum(map(len, parts)) <= 2 * len(text) + 4 * len(parts) and (len(whole) == 0) == (not text)
+    assert sorted(got.tolist()) == sorted(plain_ngrams(text) if text else [])
+
+
+def test_language_whole_table_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(plain_ngrams(r["text"]))
+    languages = sorted(counts)
+    code = language_id.codewords(len(languages)).tolist()
+    shares = [{f: (n + 0.5) / (sum(counts[k].values()) + 0.5 * (1 << 15)) for f, n in counts[k].items()} for k in languages]
+    none = [0.5 / (sum(counts[k].values()) + 0.5 * (1 << 15)) for k in languages]
+    got = {r["doc_id"]: r for r in language_id.op4_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+
+    def weight(feature, bit):
+        sides = [[s.get(feature, z) for s, z, c in zip(shares, none, code) if c[bit] == side] for side in (0, 1)]
+        return math.log((sum(sides[1]) / len(sides[1])) / (sum(sides[0]) / len(sides[0])))
+
+    weight = lru_cache(None)(weight)
+    for r in docs:
+        grams = plain_ngrams(r["text"] or "")
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        loss = [0.0] * len(languages)
+        for bit in range(len(code[0])):
+            evidence = sum(weight(f, bit) * n for f, n in Counter(grams).items()) / len(grams) * min(len(grams), 48)
+            for k, word in enumerate(code):
+                loss[k] += math.log1p(math.exp(evidence * (1 - 2 * word[bit])))
+        odds = [math.exp(min(loss) - x) for x in loss]
+        mine = got[r["doc_id"]]
+        assert mine["score"] == pytest.approx(max(odds) / sum(odds), abs=1e-4)
+        assert mine["lang_pred"] == languages[loss.index(min(loss))] or sorted(odds)[-2] > 0.99
+
+
+def test_rare_labels_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(k, t, lang) for lang, t, n in (("en", "the cat", 3), ("fr", "été", 2), ("dirty", "zz", 1)) for k in range(n)]
+    assert language_id.train(table(spark, rows)).languages == ["en", "fr"]
 
 
 def test_codewords_are_distinct_and_apart():
@@ -192,6 +241,59 @@ def test_quality_held_out(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
 
 
+def plain_features(text):
+    data = (text or "").encode()
+    words, size = data.split(), max(1, len(data))
+    n = max(1, len(words))
+    of = lambda wanted: sum(c in wanted for c in data)
+    upper, lower, digit, high, white = (of(range(*r)) for r in ((65, 91), (97, 123), (48, 58), (128, 256), (9, 14)))
+    white += of(b" ")
+    marks = of(b"!#$%&*+/<=>@[]^_`{|}~\\")
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), min(30.0, (size - white) / n), upper / max(1, upper + lower + high), digit / size, of(b".,;:'\"?-()") / n, marks / n,
+        of(b"|") / n, of(b"!") / n, math.log1p(len(words) / (of(b"\n") + 1)), marks / size, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, high / size,
+        upper / n, of(b".") / n, white / size,
+    ]
+
+
+def test_quality_whole_table_against_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where(~language_id.held_out(5, 0)))
+    got = {r["doc_id"]: r["score"] for r in quality.op8_quality(spark, sf).collect()}
+    for r in docs.collect():
+        x = plain_features(r["text"])
+        assert x == pytest.approx(list(quality.features(r["text"])))
+        x = quality.features(r["text"])  # equal but for rounding, which may decide a bin
+        total = model.base + sum(t[bisect_right(e, v)] for t, e, v in zip(model.tables, model.edges, x))
+        total += sum(t[bisect_right(model.coarse[i], x[i])][bisect_right(model.coarse[j], x[j])] for (i, j), t in model.pairs.items())
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_a_tree_is_the_best_of_all_cuts():
+    rng = np.random.default_rng(3)
+    gain = lambda g, h: g * g / (h + 1)
+    for _ in range(20):
+        g, h = rng.standard_normal(12), rng.random(12)
+        first = max(range(1, 12), key=lambda c: gain(g[:c].sum(), h[:c].sum()) + gain(g[c:].sum(), h[c:].sum()))
+        table = quality._tree(g, h)
+        cuts = [k for k in range(1, 12) if table[k] != table[k - 1]]
+        assert first in cuts and len(cuts) <= 2
+        for a, b in zip([0, *cuts], [*cuts, 12]):
+            assert table[a:b] == pytest.approx(g[a:b].sum() / (h[a:b].sum() + 1))
+
+
+def test_repeated_documents_and_labels_train_once(spark):
+    docs = table(spark, [(1, "good words here", None)] * 50 + [(2, "! ! !", None), (1, "other", None)])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)] + [(2, 0)] * 40, "doc_id long, quality int")
+    seen = []
+    kept, quality.Gam = quality.Gam, lambda x, y: seen.append((len(x), y.tolist())) or kept(x, y)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.Gam = kept
+    assert seen == [(2, [1.0, 0.0])]
+
+
 def test_gam_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((4000, len(quality.FEATURES)))
