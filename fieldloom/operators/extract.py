@@ -1,20 +1,21 @@
 """From documents to segments, candidate values, and one record a document.
 
 Every operator is a DataFrame of built-in functions. Null texts count as empty and have no
-candidates; a null doc_id is carried, but no two of them are the same document.
+candidates, empty ones have one empty segment; very long texts take time linear in their length;
+rows that repeat a doc_id count as one document, whose candidates are all of theirs; those without
+one are carried, but none counts as a document of coverage or gaps' other side; empty tables give empty
+results; columns of other names are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.patterns import FIELDS, PARTS, RULES
+from fieldloom.functions.patterns import FIELDS, LINEAR, PARTS, RULES
 
-#: Rule tables of more rows than this are not broadcast.
-RULE_ROWS = 10_000
+#: A table of rules holds at most so many: they become part of the plan.
+RULE_ROWS = 1000
 
 
 def segment(docs: DataFrame) -> DataFrame:
@@ -24,39 +25,47 @@ def segment(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, field, pos, value): all matches of each field's pattern; pos is where the value first occurs.
+    """(doc_id, field, n, value): all matches of each field's pattern, numbered from 1 in order of the text.
 
     All patterns are matched in one pass over the texts.
     """
     fields = FIELDS if fields is None else fields
-    found = [F.struct(F.lit(name).alias("field"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("values")) for name, pattern in fields.items()]
-    by_field = docs.select("doc_id", "text", F.explode(F.array(*found)).alias("f")).where(F.size("f.values") > 0)
-    values = by_field.select("doc_id", "text", F.col("f.field").alias("field"), F.explode("f.values").alias("value"))
-    return values.select("doc_id", "field", F.expr("cast(instr(text, value) AS long)").alias("pos"), "value")
+    found = [F.struct(F.lit(name).alias("field"), F.regexp_extract_all("text", F.lit(LINEAR.get(p, p)), F.lit(0)).alias("values")) for name, p in fields.items()]
+    by_field = docs.select("doc_id", F.explode(F.array(*found)).alias("f")).where(F.size("f.values") > 0)
+    values = by_field.select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.values").alias("at", "value"))
+    return values.select("doc_id", "field", (F.col("at") + 1).cast("long").alias("n"), "value")
+
 
+def rules_of(table: DataFrame) -> dict[str, str]:
+    """A table (rule_id, pat) of at most RULE_ROWS rules, to give to match_rules()."""
+    rows = table.select("rule_id", "pat").limit(RULE_ROWS + 1).collect()
+    if len(rows) > RULE_ROWS:
+        raise ValueError(f"more than {RULE_ROWS} rules")
+    return {r["rule_id"]: r["pat"] for r in rows}
 
-def rule_table(spark, rules: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((RULES if rules is None else rules).items()), "rule_id string, pat string")
 
+def match_rules(segments: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(rule_id, n_segs, n_docs): the segments each rule matches and the documents they are of; rules without one are left out.
 
-def match_rules(segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, n_segs, n_docs): the segments each rule matches and the documents they are of; rules without one are left out."""
-    rules = F.broadcast(rules) if rules.limit(RULE_ROWS + 1).count() <= RULE_ROWS else rules
-    hits = segments.join(rules, F.expr("seg rlike pat"))
+    Patterns are literals, compiled once; a segment is read once for all of them.
+    """
+    rules = RULES if rules is None else rules
+    tried = F.array(*[F.when(F.col("seg").rlike(pattern), F.lit(rule)) for rule, pattern in rules.items()]).cast("array<string>")
+    hits = segments.select("doc_id", F.explode(F.array_compact(tried)).alias("rule_id"))
     by_doc = hits.groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))  # spreads a rule that matches everywhere
     return by_doc.groupBy("rule_id").agg(F.sum("n").alias("n_segs"), F.count("doc_id").alias("n_docs"))
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """(doc_id, field, value): for each document and field the value that comes first, the smaller one at a tie."""
-    best = found.groupBy("doc_id", "field").agg(F.min(F.struct("pos", "value")).alias("best"))
+    """(doc_id, field, value): for each document and field the value that comes first, the smaller one at a tie of repeated documents."""
+    best = found.groupBy("doc_id", "field").agg(F.min(F.struct("n", "value")).alias("best"))
     return best.select("doc_id", "field", F.col("best.value").alias("value"))
 
 
 def resolve_all(found: DataFrame, keep: int) -> DataFrame:
     """(doc_id, field, rank, value): the first distinct values of each document and field, up to keep of them."""
-    distinct = found.groupBy("doc_id", "field", "value").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "field").orderBy("pos", "value"))
+    distinct = found.groupBy("doc_id", "field", "value").agg(F.min("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "field").orderBy("n", "value"))
     return distinct.select("doc_id", "field", rank.cast("long").alias("rank"), "value").where(F.col("rank") <= keep)
 
 

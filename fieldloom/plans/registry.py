@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.functions.patterns import FIELDS, PARTS, RULES
 from fieldloom.operators import extract
+from fieldloom.sources.shared import shared_path
 from fieldloom.sources.tables import table
 from fieldloom.streaming import extract as streaming
 
@@ -21,12 +19,8 @@ def _found(spark: SparkSession, folder: str) -> DataFrame:
     return extract.candidates(_docs(spark, folder))
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    at = _scratch(spark)
+    at = shared_path(spark, "stream")
     return streaming.candidates_stream(spark, folder, f"{at}/out", f"{at}/state")
 
 
@@ -35,7 +29,7 @@ def queries() -> dict:
     return {
         "segment": lambda s, d: e.segment(_docs(s, d)),
         "candidates": lambda s, d: _found(s, d),
-        "match_rules": lambda s, d: e.match_rules(e.segment(_docs(s, d)), e.rule_table(s)),
+        "match_rules": lambda s, d: e.match_rules(e.segment(_docs(s, d)), RULES),
         "resolve": lambda s, d: e.resolve(_found(s, d)),
         "resolve_all": lambda s, d: e.resolve_all(_found(s, d), 3),
         "record": lambda s, d: e.record(e.resolve(_found(s, d))),
@@ -54,9 +48,12 @@ def _union(rows: list[str]) -> str:
     return " UNION ALL ".join(rows)
 
 
-_CANDIDATES = _union([f"SELECT doc_id, '{f}' AS field, text, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for f, p in FIELDS.items()])
-_FOUND = f"WITH found AS (SELECT doc_id, field, instr(text, value)::BIGINT AS pos, value FROM ({_CANDIDATES}))"
-_RESOLVED = f"{_FOUND}, resolved AS (SELECT doc_id, field, arg_min(value, (pos, value)) AS value FROM found GROUP BY ALL)"
+def _found_sql(field: str, pattern: str) -> str:
+    return f"SELECT doc_id, '{field}' AS field, unnest(v) AS value, generate_subscripts(v, 1)::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS v FROM documents)"
+
+
+_FOUND = f"WITH found AS ({_union([_found_sql(f, p) for f, p in FIELDS.items()])})"
+_RESOLVED = f"{_FOUND}, resolved AS (SELECT doc_id, field, arg_min(value, (n, value)) AS value FROM found GROUP BY ALL)"
 _LINKS = PARTS["link"]
 
 
@@ -69,7 +66,7 @@ def oracle_sql() -> dict[str, str]:
         "candidates": f"{_FOUND} SELECT * FROM found",
         "match_rules": f"SELECT rule_id, count(*) AS n_segs, count(DISTINCT doc_id) AS n_docs FROM ({segments}) JOIN (VALUES {rules}) r(rule_id, pat) ON regexp_matches(seg, pat) GROUP BY rule_id",
         "resolve": f"{_RESOLVED} SELECT * FROM resolved",
-        "resolve_all": f"{_FOUND}, ranked AS (SELECT doc_id, field, value, row_number() OVER (PARTITION BY doc_id, field ORDER BY min(pos), value) AS rank FROM found GROUP BY doc_id, field, value) SELECT doc_id, field, rank, value FROM ranked WHERE rank <= 3",
+        "resolve_all": f"{_FOUND}, ranked AS (SELECT doc_id, field, value, row_number() OVER (PARTITION BY doc_id, field ORDER BY min(n), value) AS rank FROM found GROUP BY doc_id, field, value) SELECT doc_id, field, rank, value FROM ranked WHERE rank <= 3",
         "record": f"{_RESOLVED} SELECT doc_id, {columns} FROM resolved GROUP BY doc_id",
         "coverage": f"{_FOUND} SELECT lang, field, count(DISTINCT doc_id) AS n_docs, (grouping(lang) * 2 + grouping(field))::INT AS level FROM found JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, field), (field), ())",
         "gaps": f"{_FOUND} SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id)",
@@ -78,5 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "page_parts": _union([f"SELECT page_id, '{n}' AS part, unnest(regexp_extract_all(html, '{p}', 1)) AS value FROM pages" for n, p in PARTS.items()]),
         "links": f"SELECT host, count(DISTINCT page_id) AS n_pages, count(target) AS n_links, count(DISTINCT target) AS n_targets FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS target FROM (SELECT *, regexp_extract_all(html, '{_LINKS}', 1) AS t FROM pages)) GROUP BY host",
         "candidates_stream": f"{_FOUND} SELECT * FROM found",
-        "windowed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY ALL",
+        "windowed_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(try_cast(value AS DECIMAL(28,4)))::DOUBLE AS total FROM events GROUP BY ALL",
     }

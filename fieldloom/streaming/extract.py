@@ -1,4 +1,9 @@
-"""The extraction over files as they arrive: the batch operators unchanged, and a report by window."""
+"""The extraction over files as they arrive: the batch operators unchanged, and a report by window.
+
+Nulls, empty and very long texts, repeated rows and other columns count as in the batch operators; a
+file is read once, whatever arrives later. Events without a time are let go; values that are null
+or not finite count as events and add nothing; an empty folder gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -31,9 +36,13 @@ def segments_stream(spark: SparkSession, folder: str, path: str, checkpoint: str
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, event_type, n, total) of an event stream or table; rows later than `late` are let go. Totals are exact to 4 places, in any order of rows."""
+    """(window_start, event_type, n, total) of an event stream or table; rows later than `late` are let go.
+
+    Values are added as decimals of 4 places, so that totals don't depend on the order of rows.
+    """
     marked = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    sums = marked.groupBy(F.window("at", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+    # an infinite value is none of these decimals, and the cast gives null
+    sums = marked.groupBy(F.window("at", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").try_cast("decimal(28,4)")).cast("double").alias("total"))
     return sums.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from fieldloom.operators import extract
 from fieldloom.sources.tables import TEXT_SCHEMA, save, stream, table
 from fieldloom.streaming import extract as streaming
@@ -15,6 +17,13 @@ def test_windows_of_a_stream_are_those_of_the_table_up_to_the_watermark(spark, s
     assert {r for r in batch if r[0] <= last} == got
 
 
+def test_windows_of_odd_values(spark):
+    rows = [("2024-01-01 00:10:00", "a", 1.5), ("2024-01-01 00:20:00", "a", float("inf")), ("2024-01-01 00:30:00", "a", 1e40), ("2024-01-01 00:40:00", "a", None), (None, "a", 2.0)]
+    events = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = [tuple(r)[1:] for r in streaming.windowed(events).collect()]
+    assert got == [("a", 4, 1.5)]
+
+
 def test_records_are_upserted_by_batch(spark, sf, tmp_path):
     seen = {}
 
