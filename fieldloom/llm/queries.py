@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from fieldloom.llm import chat, embeddings, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
+from fieldloom.sources.package import ship
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, once the executors have this package."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
-def queries() -> dict:
-    return {
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {
         "op1_chat": chat.op1_chat,
         "op2_embeddings": embeddings.op2_embeddings,
         "op3_warc": warc.op3_warc,
@@ -18,6 +32,7 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
