@@ -1,7 +1,8 @@
 """Mixing, packing and the pipeline."""
 
+import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldloom.llm import mixing, packing, simhash
+from fieldloom.llm import language_id, mixing, packing, quality, simhash
 
 SCHEMA = "doc_id long, text string, source string, size string, draw string"
 WORDS = packing.Words(packing.default_vocabulary())
@@ -179,17 +180,90 @@ def test_crossover_keeps_every_piece_once():
         a, b = b, child
 
 
-def test_pipeline_stages(spark, sf):
-    docs = raw = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == raw.columns, name
-        docs = spark.createDataFrame(docs.collect(), raw.schema)
-        counts.append(docs.count())
-    assert counts[0] > counts[1] >= counts[2] > counts[3] and counts[4] > 0
-    before = {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
+def plain_near_dups(texts):
+    """Groups (lists of positions) of fingerprints that are near and meet in a segment, by all pairs."""
+    rule = simhash.SIMILAR
+    fps = [simhash.fingerprint(t, rule) for t in texts]
+    segments = [sum(1 << b for b in s) for s in rule.segments(len(set(fps)))]
+    whole = [a | b << 64 for a, b in fps]
+    group = list(range(len(texts)))
+    for i, x in enumerate(whole):
+        for j in range(i):
+            differ = x ^ whole[j]
+            if group[i] != group[j] and differ.bit_count() <= rule.bits and any((differ & s).bit_count() <= 1 for s in segments):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage on its own input, then the whole run; the models are the operators', their decisions are taken text by text."""
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert [n.split()[0] for n in names] == ["quality", "language", "SimHash", "mixing", "best-fit"]
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, rows):
+        return sorted(map(tuple, stages[name](spark, spark.createDataFrame(rows, schema), sf).collect()), key=str)
+
+    def same(name, rows, want):
+        assert after(name, [tuple(d.values()) for d in rows]) == sorted((tuple(d.values()) for d in want), key=str), name
+        return want
+
+    model = quality.train(spark.createDataFrame([tuple(d.values()) for d in docs], schema), spark.read.parquet(f"{sf}/labels.parquet"))
+    good = same(names[0], docs, [d for d in docs if model.score(np.array([quality.features(d["text"])]))[0] >= 0.3])
+    langs = language_id.train(spark.createDataFrame([tuple(d.values()) for d in good], schema))
+    found = [langs.predict(d["text"]) for d in good]
+    known = same(names[1], good, [d for d, (lang, _, ambiguous) in zip(good, found) if lang != "und" and not ambiguous])
+    groups, first = plain_near_dups([d["text"] for d in known]), {}
+    for g, d in zip(groups, known):
+        first[g] = min(first.get(g, d), d, key=lambda x: x["doc_id"])
+    alone = same(names[2], known, list(first.values()))
+    assert len(docs) > len(good) >= len(known) > len(alone)
+
+    by_source, size = defaultdict(list), {d["doc_id"]: len((d["text"] or "").split()) for d in alone}
+    for d in alone:
+        draw = int(hashlib.md5(f"mix-{d['doc_id']}".encode()).hexdigest()[:8], 16) % 4096
+        by_source[d["source"]].append((draw, size[d["doc_id"]], d))
+    goals, mixed = plain_targets({s: sum(n for _, n, _ in rows) for s, rows in by_source.items()}), []
+    for s, rows in by_source.items():
+        total = sum(n for _, n, _ in rows)
+        base = int(goals[s] // total) if total else 0
+        cuts = {0} | {draw + 1 for draw, _, _ in rows}
+        below = min(cuts, key=lambda c: (abs(sum(n for draw, n, _ in rows if draw < c) - (goals[s] - base * total)), c))
+        mixed += [d for draw, _, d in rows for _ in range(base + (draw < below))]
+    same(names[3], alone, mixed)
+
+    copies = Counter(d["doc_id"] for d in mixed)
     rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in rows} == before
-    components = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(docs).collect()}
-    assert all(i == c for i, c in components.items())
+    check_packing(rows, {d["doc_id"]: d["text"] for d in mixed})
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == copies
+
+
+def test_pipeline_odd_rows(spark, sf, tmp_path):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, words[0], "en", None, 9), (None, words[1], "en", "s", 9), (None, words[1], "en", "s", 9), (4, words[2], None, "s", 9), (4, words[3], "en", "s", 9), (5, words[0] + " z", "en", "s", 9), (6, "long " * 300_000, "en", "s", 9)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row int, score double, base int, draw int, name string"
+    df = spark.createDataFrame([(*r, 1, 0.5, 2, 3, "x") for r in rows], columns)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
+    for name, table in (("rows", df), ("none", df.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            docs = function(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == df.columns, stage
+            docs = spark.createDataFrame(docs.collect(), df.schema)
+            if stage.startswith("language") and name == "rows":
+                assert sorted(((r["doc_id"], r["text"][:4]) for r in docs.collect()), key=str) == sorted([(3, "a0 a"), (None, "b0 b"), (None, "b0 b"), (4, "c0 c"), (4, "d0 d"), (5, "a0 a"), (6, "long")], key=str)
+            if stage.startswith("SimHash") and name == "rows":
+                assert sorted(((r["doc_id"], r["text"][:4]) for r in docs.collect()), key=str) == sorted([(3, "a0 a"), (None, "b0 b"), (4, "c0 c"), (4, "d0 d"), (6, "long")], key=str)
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_columns_of_any_name_are_carried(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}", "en", "s", 1.0, 2, 3, "x") for k in range(9)], "doc_id long, text string, lang string, source string, _mix_copy double, copies int, `a.b` int, found string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for got in (mixing.mix(docs), language_id.keep_known(docs), quality.keep_good(docs, labels), simhash.keep_one(docs)):
+        assert got.columns == docs.columns and got.count() > 0
