@@ -36,6 +36,8 @@ RAREST, COMMONEST = 1e-4, 0.05
 CELLS, LEVELS = 8, 8
 #: Sizes at most, as 32 bits of a term's hash choose its subset; the last holds one term in 2 ** 32 a subset.
 DEEPEST = 30
+#: Terms from which on arrays are quicker than lists.
+FEW = 24
 #: Levels of which more cells than this hold terms say little about texts that are partly alike.
 CROWDED = 6
 #: The share of a text's terms in the lexicon from which on the lexicon alone counts, and the steps of its weight below.
@@ -43,18 +45,18 @@ ENOUGH, STEPS = 0.25, 255
 #: Words that a worker remembers the hashes of.
 CACHE_WORDS = 1_000_000
 #: Terms to count before a batch of counts is sent on, and characters of text to hold before one of results is.
-COUNTED, FLUSH = 1 << 20, 1 << 21
+COUNTED, FLUSH = 1 << 22, 1 << 21
 
 _HASHES: dict[str, int] = {}
+_EDGES = np.arange(CELLS + 1, dtype=np.uint8)
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
     if len(_HASHES) > CACHE_WORDS:
         _HASHES.clear()
     found = list(map(_HASHES.get, terms))
-    for i, h in enumerate(found):
-        if h is None:
-            found[i] = _HASHES[terms[i]] = xxhash.xxh3_64_intdigest(terms[i])
+    if None in found:
+        found = [_HASHES.setdefault(t, xxhash.xxh3_64_intdigest(t)) if h is None else h for t, h in zip(terms, found, strict=True)]
     return np.array(found, np.uint64)
 
 
@@ -73,17 +75,29 @@ class Lexicon:
 def _parts(hashes: np.ndarray) -> list[str]:
     """A hash for each cell of each level, "-" where it holds no term; levels without any behind the first LEVELS are left out."""
     key = hashes >> np.uint64(32)
-    cell = key & np.uint64(CELLS - 1)
+    cell = (key & np.uint64(CELLS - 1)).astype(np.uint8)
+    # Of the cells of a level only the first CELLS are subsets in use, so a term is held up to the level of its lowest bit above the cell's.
+    above = key // np.uint64(CELLS)
+    depth = np.bitwise_count(~above & (above - np.uint64(1)))
     order = np.argsort(cell, kind="stable")
-    hashes, key, cell = hashes[order], key[order], cell[order]
-    parts = []
-    for level in range(DEEPEST):
-        held = (key & np.uint64(CELLS * 2**level - 1)) < CELLS  # only the first cells are subsets in use; each holds its next level's
-        hashes, key, cell = hashes[held], key[held], cell[held]
-        if not len(hashes):
-            break
-        cut = np.searchsorted(cell, np.arange(CELLS + 1, dtype=np.uint64)).tolist()
-        parts += [xxhash.xxh32_hexdigest(hashes[a:b].tobytes(), level)[:6] if b > a else "-" for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    hashes, cell, depth = hashes[order], cell[order], depth[order]
+    parts: list[str] = []
+    digest, level = xxhash.xxh32_hexdigest, 0
+    while level < DEEPEST and len(hashes) > FEW:
+        data, cut = hashes.tobytes(), (8 * np.searchsorted(cell, _EDGES)).tolist()
+        parts += [digest(data[a:b], level)[:6] if b > a else "-" for a, b in zip(cut, cut[1:])]
+        level += 1
+        held = depth >= level
+        hashes, cell, depth = hashes[held], cell[held], depth[held]
+    data = hashes.tobytes()
+    left = [(c, d, data[8 * k : 8 * k + 8]) for k, (c, d) in enumerate(zip(cell.tolist(), depth.tolist(), strict=True))]
+    while level < DEEPEST and left:
+        cells = [b""] * CELLS
+        for c, _, h in left:
+            cells[c] += h
+        parts += [digest(x, level)[:6] if x else "-" for x in cells]
+        level += 1
+        left = [x for x in left if x[1] >= level]
     return parts + ["-"] * (CELLS * LEVELS - len(parts))
 
 
@@ -129,7 +143,7 @@ def lexicon(docs: DataFrame) -> Lexicon:
 
         for batch in batches:
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                held.append(np.unique(term_hashes(list(set(text.lower().split())))))
+                held.append(term_hashes(list(set(text.lower().split()))))
                 n += len(held[-1])
                 if n > COUNTED:
                     yield counts()
