@@ -5,8 +5,10 @@ segment, or of some segments taken together. Each goes out once for every bit of
 that bit ignored; equal variants meet by a shuffle and are verified over all bits.
 
 Rules: EXACT is op9's (64 bits, 4-word shingles, links at 4 or fewer differing bits); its segments
-miss no link. SIMILAR is for texts that share about 0.8 or more of their 5-word shingles: 128 bits,
-of which such texts differ in about 19, so links need another kind of segments, see Rule.
+miss no link. SIMILAR is for texts that share 0.8 or more of their distinct 5-word shingles (their
+Jaccard similarity): 128 bits, of which such texts differ in about 19, so candidates need another kind
+of segments, see Rule. They are pairs of up to 29 bits, and link if their sets of shingles, compared
+whole, are that similar. Of the candidates under one key a spanning forest of the nearest is kept.
 
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint and so a component; rows with a null doc_id get a component but never name one,
@@ -47,7 +49,8 @@ class Rule:
     Without a recall, segments are such that no link is missed. With one, a segment is a random
     choice of bits, and there are so many of them that two fingerprints differing in an expected
     share of error of their bits meet in some segment with that probability (by simulation), at every
-    length of keys.
+    length of keys. With a similarity, distinct shingles vote, and what lies within so many bits is a
+    candidate, which links if the sets of shingles are at least that similar.
     """
 
     shingle: int
@@ -56,10 +59,13 @@ class Rule:
     recall: float | None = None
     error: float = 0.0
     longest_key: int = 36
+    similarity: float | None = None
+    least_key: int | None = None
+    shared: int = 1
 
     def segments(self, n: int) -> list[tuple[int, ...]]:
-        """Bits of each segment, for n fingerprints: keys are long enough that about one fingerprint in all shares each."""
-        want, size = min(self.longest_key, max(LEAST_KEY, math.ceil(math.log2(max(2, n))))), 64 * self.words
+        """Bits of each segment, for n fingerprints: keys are long enough that about `shared` of them share each by chance."""
+        want, size = min(self.longest_key, max(self.least_key or LEAST_KEY, math.ceil(math.log2(max(2, n / self.shared))))), 64 * self.words
         if self.recall is None:
             # Of `parts` segments the best `taken` together differ in one bit at most.
             for taken in range(1, size):
@@ -89,8 +95,11 @@ class Rule:
 
 
 EXACT = Rule(shingle=4, bits=4, words=1)
-#: Texts that share 0.8 of their shingles have cosine 0.89, an angle of 0.15 of a half turn: 19 of 128 bits.
-SIMILAR = Rule(shingle=5, bits=19, words=2, recall=0.8, error=0.1515, longest_key=26)
+#: Its keys are short: comparing a fingerprint with 64 others costs less than sending the rows that longer keys take.
+#: Texts that share 0.8 of their shingles have cosine 0.89, an angle of 0.15 of a half turn: 19 of 128 bits, over 29 in one of 150 cases.
+SIMILAR = Rule(shingle=5, bits=29, words=2, recall=0.95, error=0.1515, longest_key=20, similarity=0.8, least_key=13, shared=64)
+#: Times that each component's nearest candidate is verified, before all that are left between components are.
+NEAREST_ROUNDS = 2
 
 
 def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
@@ -113,21 +122,39 @@ def _digests_128(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<u8")
 
 
-def fingerprint(text: str | None, rule: Rule = EXACT) -> tuple[int, ...]:
-    """Majority bits of the hashes (XXH64 for one word) of all word shingles, repeats included; a number for each word of 64 bits."""
+def _hashes(text: str | None, rule: Rule) -> Iterator[np.ndarray]:
+    """The hashes (XXH64 for one word) of all shingles, repeats included, a block at a time: a row of words each."""
     joined, first, last = _shingles(text, rule.shingle)
-    n, votes, hashes = len(first), np.zeros(64 * rule.words, np.int64), _digests_64 if rule.words == 1 else _digests_128
-    if not n:
-        return (0,) * rule.words
-    for i in range(0, n, BLOCK):
-        h = hashes([joined[s:e] for s, e in zip(first[i : i + BLOCK], last[i : i + BLOCK], strict=True)])
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8 * rule.words), axis=1, bitorder="little")
+    digests = _digests_64 if rule.words == 1 else _digests_128
+    for i in range(0, len(first), BLOCK):
+        yield digests([joined[s:e] for s, e in zip(first[i : i + BLOCK], last[i : i + BLOCK], strict=True)]).reshape(-1, rule.words)
+
+
+def distinct(text: str | None, rule: Rule) -> np.ndarray:
+    """The hashes of the distinct shingles, told apart and ordered by their first word."""
+    found = np.concatenate([np.empty((0, rule.words), "<u8"), *_hashes(text, rule)])
+    return found[np.unique(found[:, 0], return_index=True)[1]]
+
+
+def _majority(blocks: Iterator[np.ndarray], rule: Rule) -> tuple[int, ...]:
+    n, votes = 0, np.zeros(64 * rule.words, np.int64)
+    for h in blocks:
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8 * rule.words), axis=1, bitorder="little")
         whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
         votes += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
         votes += bits[whole:].sum(0, dtype=np.uint8)
+        n += len(h)
     return tuple(np.packbits(votes * 2 > n, bitorder="little").view("<u8").tolist())
 
 
+def fingerprint(text: str | None, rule: Rule = EXACT) -> tuple[int, ...]:
+    """Majority bits of the hashes of all word shingles, repeats included but for a rule of similarity; a number for each word of 64 bits."""
+    if rule.similarity is None:
+        return _majority(_hashes(text, rule), rule)
+    found = distinct(text, rule)
+    return _majority((found[i : i + BLOCK] for i in range(0, len(found), BLOCK)), rule)
+
+
 def _names(rule: Rule) -> list[str]:
     return [f"w{k}" for k in range(rule.words)]
 
@@ -141,37 +168,86 @@ def _fingerprints(rule: Rule) -> Column:
     return F.pandas_udf(run, ", ".join(f"{c} long" for c in _names(rule)))("text")
 
 
-def _close_pairs(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (positions in fp) that connect what lies within so many bits inside each run of equal group numbers."""
-    out_a, out_b, held = [], [], 0
+def _described(rule: Rule) -> Column:
+    """A struct of the words of the fingerprint of the column text, and a hash of its set of shingles."""
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            found = distinct(text, rule)
+            blocks = (found[i : i + BLOCK] for i in range(0, len(found), BLOCK))
+            rows.append((*_majority(blocks, rule), xxhash.xxh3_64_intdigest(found[:, 0].tobytes())))
+        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, rule.words + 1).view(np.int64), columns=[*_names(rule), "terms"])
+
+    return F.pandas_udf(run, ", ".join(f"{c} long" for c in (*_names(rule), "terms")))("text")
+
+
+def _sets(rule: Rule) -> Column:
+    """The distinct shingles of the column text, as hashes."""
+    return F.pandas_udf(lambda texts: texts.map(lambda x: distinct(x, rule)[:, 0].view(np.int64)), "array<long>")("text")
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Numbers of edges that connect all that the edges connect, the nearest ones wherever there is a choice."""
+    order = np.lexsort((b, a, far))
+    ids, inv = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    root, left, right, kept = np.arange(len(ids)), inv[: len(a)], inv[len(a) :], [order[:0]]
+    while True:
+        u, v = root[left], root[right]
+        open_ = u != v
+        if not open_.any():
+            return np.concatenate(kept)
+        order, left, right, u, v = order[open_], left[open_], right[open_], u[open_], v[open_]
+        first, at = np.full(len(ids), len(u)), np.arange(len(u))
+        np.minimum.at(first, u, at)
+        np.minimum.at(first, v, at)
+        best = np.unique(first[first < len(u)])
+        kept.append(order[best])
+        moved, to = star_edges(u[best], v[best])
+        into = np.arange(len(ids))
+        into[moved] = to
+        root = into[root]
+
+
+def _close_pairs(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest (positions in fp, and the bits they differ in) that connects what lies within so many bits inside each run of equal group numbers."""
+    none = np.array([], np.int64)
+    found, held = [(none, none, none)], 0
     left, lag = np.nonzero(group[:-1] == group[1:])[0], 1
+
+    def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edges = tuple(map(np.concatenate, zip(*found, strict=True)))
+        kept = spanning_forest(*edges)
+        return tuple(x[kept] for x in edges)
+
     while left.size:
-        near = np.bitwise_count((fp[left] ^ fp[left + lag]).view(np.uint64)).sum(1, dtype=np.int32) <= bits
-        out_a.append(left[near])
-        out_b.append(left[near] + lag)
+        far = np.bitwise_count((fp[left] ^ fp[left + lag]).view(np.uint64)).sum(1, dtype=np.int64)
+        near = far <= bits
+        found.append((left[near], left[near] + lag, far[near]))
         held += int(near.sum())
         if held > 1_000_000:
-            out_a, out_b = map(lambda x: [x], star_edges(np.concatenate(out_a), np.concatenate(out_b)))
-            held = 0
+            found, held = [reduced()], 0
         lag += 1
         left = left[left + lag < len(fp)]
         left = left[group[left] == group[left + lag]]
-    if not out_a:
-        return np.array([], np.int64), np.array([], np.int64)
-    return star_edges(np.concatenate(out_a), np.concatenate(out_b))
+    return reduced()
 
 
 def _link(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by key: verify all pairs of a key, keep a spanning star of the links of a batch."""
+    """Rows sorted by key: compare all pairs of a key, keep a spanning forest of those near enough.
+
+    Where the bits decide alone, one forest is kept of a whole batch of keys; else one of each key, as
+    a candidate that isn't similar is no link, and another key may hold another way.
+    """
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = _close_pairs(key, fp, rule.bits)
+        a, b, far = _close_pairs(key, fp, rule.bits)
         node = fp[:, 0] if rule.words == 1 else fp[:, 0] * np.int64(-7046029288634856825) + fp[:, 1] * np.int64(-4417276706812531889)
-        at, where = np.unique(node[np.concatenate([a, b])], return_index=True)  # a fingerprint may be there under several keys
-        u, v = star_edges(node[a], node[b]) if len(a) else (a, b)
-        rows = np.concatenate([a, b])[where]
-        pick = lambda x: fp[rows[np.searchsorted(at, x)]] if len(x) else fp[:0]
-        ends = [pick(u), pick(v)]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, k])) for e in ends for k in range(rule.words)], [f"{e}{k}" for e in "ab" for k in range(rule.words)])
+        if rule.similarity is None:
+            kept = spanning_forest(node[a], node[b], far)
+        else:  # a pair may be there under several keys
+            kept = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0, return_index=True)[1]
+        ends = [fp[a[kept]], fp[b[kept]]]
+        columns = [np.ascontiguousarray(e[:, k]) for e in ends for k in range(rule.words)] + [far[kept].astype(np.int32)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [*(f"{e}{k}" for e in "ab" for k in range(rule.words)), "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, np.ndarray] | None = None
@@ -193,7 +269,7 @@ def _link(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct fingerprints (node, words) to edges (a, b) between nodes.
+    """Distinct fingerprints (words) to edges (a, b, far) between their nodes.
 
     Rows are (key, words), key a hash of the variant and the fingerprint's bits under it; what shares a
     key by chance is told apart by verification. A key that very many fingerprints share is dealt into
@@ -217,9 +293,9 @@ def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
         rows = rows.withColumn("mine", mine).withColumn("other", other)
         split = F.when(F.col("pieces") > 1, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("key"))
         rows = rows.select(split.alias("key"), *names)
-    schema = ", ".join(f"{e}{k} long" for e in "ab" for k in range(rule.words))
+    schema = ", ".join(f"{e}{k} long" for e in "ab" for k in range(rule.words)) + ", far int"
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link(rule), schema)
-    return found.select(*[_node([F.col(f"{e}{k}") for k in range(rule.words)]).alias(e) for e in "ab"])
+    return found.select(*[_node([F.col(f"{e}{k}") for k in range(rule.words)]).alias(e) for e in "ab"], "far")
 
 
 def _node(words: list[Column]) -> Column:
@@ -253,28 +329,80 @@ def near_dups(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
     return components(fps, rule).select("doc_id", F.concat(*digits).alias("fingerprint"), "component_id")
 
 
+def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Candidate edges (a, b, far) and sets (node, terms) to the edges (a, b) whose sets are similar, but for some between nodes that others connect.
+
+    First the nearest candidate of each component is verified, some times over, so that groups of near
+    copies grow together by few comparisons; then every one that is left between two components.
+    """
+    def verified(picked: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("node").alias(e), F.col("terms").alias(f"terms_{e}")) for e in "ab")
+        both = picked.select("a", "b").join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("terms_a", "terms_b")))
+        close = F.col("shared") / (F.size("terms_a") + F.size("terms_b") - F.col("shared")) >= least
+        return materialise(both.where(close).select("a", "b"), "simhash-links")
+
+    def between(left: DataFrame, comp: DataFrame) -> DataFrame:
+        for e in "ab":
+            named = comp.select(F.col("node").alias(e), F.col("component").alias(f"comp_{e}"))
+            left = left.drop(f"comp_{e}").join(named, e, "left").withColumn(f"comp_{e}", F.coalesce(f"comp_{e}", e))
+        return left.where("comp_a <> comp_b")
+
+    left, links = edges.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")}), None
+    for _ in range(NEAREST_ROUNDS):
+        first = F.min(F.struct("far", "a", "b")).alias("e")
+        picked = left.select("comp_a", "far", "a", "b").union(left.select("comp_b", "far", "a", "b")).groupBy("comp_a").agg(first)
+        picked = materialise(picked.select("e.a", "e.b").distinct(), "simhash-picked")
+        links = verified(picked) if links is None else links.union(verified(picked))
+        left = materialise(between(left.join(picked, ["a", "b"], "left_anti"), connected_components(links)), "simhash-left")
+        if left.isEmpty():
+            return links
+    return links.union(verified(left))
+
+
+def _matched(docs: DataFrame, key: dict[str, Column], wanted: DataFrame) -> DataFrame:
+    """(row, text, name) of the rows that wanted (k_id, k_digest, k_rest, k_n, name) names, one of those equal in everything."""
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & (F.col("rest") == F.col("k_rest"))
+    keyed = docs.select(F.struct("*").alias("row"), "text", *[c.alias(k) for k, c in key.items()])
+    once = keyed.join(wanted.where("k_n = 1"), same).select("row", "text", "name")
+    repeated = wanted.where("k_n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.union(keyed.join(repeated, same).dropDuplicates(list(key)).select("row", "text", "name"))
+
+
 def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (null last), then by hash of text and of the rest.
 
     Rows are told apart by doc_id, text and their other columns, so that rows without a doc_id or
     with a repeated one are groups of their own if their texts are unlike. Of rows equal in
-    everything one stays. Texts are shuffled once, to meet what is kept.
+    everything one stays. Rows of equal sets of shingles (told by a hash) are a node; sets that differ
+    but share a fingerprint are candidates like any other. Texts are shuffled to meet what is kept, and
+    those of one row a node that has candidates to be verified.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     key = {"id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "rest": F.xxhash64(F.col("text").isNull(), *others)}
-    rows = docs.select(*[c.alias(k) for k, c in key.items()], _fingerprints(rule).alias("f")).select(*key, "f.*")
-    rows = materialise(rows.groupBy(*key, *_names(rule)).agg(F.count(F.lit(1)).alias("n")), "simhash")
-    comp = _components(rows.withColumnRenamed("id", "doc_id"), rule).select(*_names(rule), "comp")
-    first = F.struct(F.col("id").isNull().alias("unnamed"), *key, "n")
-    kept = rows.join(comp, _names(rule)).groupBy("comp").agg(F.min(first).alias("k")).select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in (*key, "n")])
-    kept = materialise(kept, "simhash-kept")
-    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & (F.col("rest") == F.col("k_rest"))
-    keyed = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in key.items()])
-    once = keyed.join(kept.where("k_n = 1"), same, "left_semi").select("row.*")
-    repeated = kept.where("k_n > 1")
-    if repeated.isEmpty():
-        return once
-    return once.union(keyed.join(repeated, same, "left_semi").dropDuplicates(list(key)).select("row.*"))
+    words, of_key = _names(rule), ["id", "digest", "rest", "n"]
+    rows = docs.select(*[c.alias(k) for k, c in key.items()], _described(rule).alias("f")).select(*key, "f.*")
+    rows = rows.groupBy(*key, *words, "terms").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), *of_key)
+    sets = materialise(rows.groupBy(*words, "terms").agg(F.min(first).alias("k")), "simhash")
+    prints = materialise(sets.groupBy(*words).agg(F.min("terms").alias("lead")), "simhash-nodes")
+    own, lead = _node([F.col(c) for c in words]), F.col("terms") == F.col("lead")
+    named = sets.join(prints, words).select("k", own.alias("lead_name"), F.when(lead, own).otherwise(F.xxhash64(*words, "terms")).alias("name"))
+    named = materialise(named, "simhash-named")
+
+    twins = named.where("name <> lead_name").select(F.col("lead_name").alias("a"), F.col("name").alias("b"), F.lit(0).alias("far"))
+    edges = _edges(prints, rule).union(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far")
+    if rule.similarity is not None:
+        edges = materialise(edges.distinct(), "simhash-candidates")
+        ends = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
+        chosen = materialise(named.join(ends, "name").select("name", *[F.col(f"k.{c}").alias(f"k_{c}") for c in of_key]), "simhash-chosen")
+        held = materialise(_matched(docs, key, chosen).select(F.col("name").alias("node"), _sets(rule).alias("terms")), "simhash-sets")
+        edges = _similar(edges, held, rule.similarity)
+
+    comp = named.join(connected_components(edges), F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
+    kept = comp.groupBy("comp").agg(F.min("k").alias("k")).select(F.col("comp").alias("name"), *[F.col(f"k.{c}").alias(f"k_{c}") for c in of_key])
+    return _matched(docs, key, materialise(kept, "simhash-kept")).select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

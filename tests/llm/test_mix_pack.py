@@ -1,6 +1,7 @@
 """Mixing, packing and the pipeline."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -181,16 +182,15 @@ def test_crossover_keeps_every_piece_once():
 
 
 def plain_near_dups(texts):
-    """Groups (lists of positions) of fingerprints that are near and meet in a segment, by all pairs."""
-    rule = simhash.SIMILAR
-    fps = [simhash.fingerprint(t, rule) for t in texts]
-    segments = [sum(1 << b for b in s) for s in rule.segments(len(set(fps)))]
-    whole = [a | b << 64 for a, b in fps]
+    """Groups (a number for each text) of those that share 0.8 of their 5-word shingles, by all pairs."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
     group = list(range(len(texts)))
-    for i, x in enumerate(whole):
+    for i, x in enumerate(sets):
         for j in range(i):
-            differ = x ^ whole[j]
-            if group[i] != group[j] and differ.bit_count() <= rule.bits and any((differ & s).bit_count() <= 1 for s in segments):
+            if group[i] != group[j] and (x == sets[j] or len(x & sets[j]) / len(x | sets[j]) >= 0.8):
                 group = [group[j] if g == group[i] else g for g in group]
     return group
 

@@ -139,6 +139,44 @@ def test_keep_one_takes_what_shares_most_shingles(spark):
     assert sum(2 * g + 1 not in kept for g, near in groups.items() if near) >= 0.9 * 60
 
 
+def test_keep_one_against_all_pairs(spark):
+    """Families of edited copies, similar, nearly similar and unlike: nothing but similar ones go, and nearly all of these."""
+    rng, docs = np.random.default_rng(6), []
+    for g in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 150)]
+        for edits in (0, 1, 2, 3, 4, 5, 8):  # 3 words of 150 take 15 shingles of 146, a similarity of 0.81
+            near = list(words)
+            for at in rng.choice(150, edits, replace=False):
+                near[at] = f"n{g}{edits}{at}"
+            docs.append(" ".join(near))
+    docs += [docs[0] + " " + docs[0], "", None, "one two", "One  two", "two one"]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], SCHEMA)).collect()}
+    sets = []
+    for text in docs:
+        words = (text or "").lower().split()
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    close = np.array([[x == y or len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets])
+    want = {i for i, c in enumerate(smallest_reachable(close, list(range(len(docs))))) if c == i}
+    assert want <= kept and len(kept - want) <= 0.05 * (len(docs) - len(want))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20), st.integers(0, 5)), max_size=60))
+def test_spanning_forest(edges):
+    a, b, far = np.array(edges, np.int64).reshape(-1, 3).T
+    kept = simhash.spanning_forest(a, b, far)
+    for limit in range(6):  # whatever is connected by near edges stays so
+        groups = []
+        for some in (range(len(a)), kept):
+            close = np.eye(21, dtype=bool)
+            for k in some:
+                if far[k] <= limit:
+                    close[a[k], b[k]] = close[b[k], a[k]] = True
+            groups.append(smallest_reachable(close, list(range(21))))
+        assert groups[0] == groups[1]
+    assert len(kept) == 21 - len(set(groups[0]))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
 def test_star_edges(pairs):
