@@ -330,7 +330,7 @@ def near_dups(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
 
 
 def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Candidate edges (a, b, far) and sets (node, terms) to the edges (a, b) whose sets are similar, but for some between nodes that others connect.
+    """Candidate edges (a, b, far) and sets (node, terms) to (node, component) by the edges whose sets are similar.
 
     First the nearest candidate of each component is verified, some times over, so that groups of near
     copies grow together by few comparisons; then every one that is left between two components.
@@ -347,16 +347,20 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             left = left.drop(f"comp_{e}").join(named, e, "left").withColumn(f"comp_{e}", F.coalesce(f"comp_{e}", e))
         return left.where("comp_a <> comp_b")
 
-    left, links = edges.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")}), None
+    left, links, comp = edges.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")}), None, None
     for _ in range(NEAREST_ROUNDS):
         first = F.min(F.struct("far", "a", "b")).alias("e")
         picked = left.select("comp_a", "far", "a", "b").union(left.select("comp_b", "far", "a", "b")).groupBy("comp_a").agg(first)
         picked = materialise(picked.select("e.a", "e.b").distinct(), "simhash-picked")
-        links = verified(picked) if links is None else links.union(verified(picked))
-        left = materialise(between(left.join(picked, ["a", "b"], "left_anti"), connected_components(links)), "simhash-left")
+        new = verified(picked)
+        if comp is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comp = connected_components(links)
+        left = materialise(between(left.join(picked, ["a", "b"], "left_anti"), comp), "simhash-left")
         if left.isEmpty():
-            return links
-    return links.union(verified(left))
+            return comp
+    new = verified(left)
+    return comp if new.isEmpty() else connected_components(links.union(new))
 
 
 def _matched(docs: DataFrame, key: dict[str, Column], wanted: DataFrame) -> DataFrame:
@@ -398,9 +402,10 @@ def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
         ends = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
         chosen = materialise(named.join(ends, "name").select("name", *[F.col(f"k.{c}").alias(f"k_{c}") for c in of_key]), "simhash-chosen")
         held = materialise(_matched(docs, key, chosen).select(F.col("name").alias("node"), _sets(rule).alias("terms")), "simhash-sets")
-        edges = _similar(edges, held, rule.similarity)
-
-    comp = named.join(connected_components(edges), F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
+        comp = _similar(edges, held, rule.similarity)
+    else:
+        comp = connected_components(edges)
+    comp = named.join(comp, F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
     kept = comp.groupBy("comp").agg(F.min("k").alias("k")).select(F.col("comp").alias("name"), *[F.col(f"k.{c}").alias(f"k_{c}") for c in of_key])
     return _matched(docs, key, materialise(kept, "simhash-kept")).select("row.*")
 
