@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, embeddings, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
+from fieldloom.llm import chat, embeddings, filter_audit, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
 from fieldloom.sources.package import ship
 
 
@@ -31,9 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op2_embeddings": embeddings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_embeddings": embeddings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
