@@ -139,20 +139,20 @@ class Words:
         """The ids of parts in a row, and where each part's end."""
         return gather(self.flat, self.start[numbers], self.start[numbers + 1])
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, END_ID last: those of the tokenizer's encode(text, add_special_tokens=False)."""
+    def encode(self, texts: pa.Array, end: int = END_ID) -> Iterator[np.ndarray]:
+        """The ids of each text, the end id last: those of the tokenizer's encode(text, add_special_tokens=False)."""
         texts = pc.fill_null(texts, "")
         whole = np.full(len(texts), not self.by_word)
         for token in self.special if self.by_word else ():
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if not whole.any():
-            yield from self._encode_words(texts)
+            yield from self._encode_words(texts, end)
             return
-        parts = self._encode_words(texts.filter(pa.array(~whole))) if not whole.all() else iter(())
+        parts = self._encode_words(texts.filter(pa.array(~whole)), end) if not whole.all() else iter(())
         for text, at_once in zip(texts, whole, strict=True):
-            yield np.array([*self.whole.encode(text.as_py(), add_special_tokens=False).ids, END_ID], np.uint32) if at_once else next(parts)
+            yield np.array([*self.whole.encode(text.as_py(), add_special_tokens=False).ids, end], np.uint32) if at_once else next(parts)
 
-    def _encode_words(self, texts: pa.Array) -> Iterator[np.ndarray]:
+    def _encode_words(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.flatten().dictionary_encode()
         if len(self.number) > CACHE_WORDS:
@@ -172,7 +172,7 @@ class Words:
         index, offsets = coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
         for s, e in zip(offsets[:-1], offsets[1:], strict=True):
             which = index[s:e]
-            yield np.append(gather(flat, starts[which], ends[which])[0], np.uint32(END_ID))
+            yield np.append(gather(flat, starts[which], ends[which])[0], np.uint32(end))
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +185,19 @@ def gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 _WORDS: dict[str, Words] = {}
 
 
+def words_of(vocabulary: str) -> Words:
+    """The vocabulary's, made once a worker."""
+    return _WORDS.get(vocabulary) or _WORDS.setdefault(vocabulary, Words(vocabulary))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (with a column text) of about BLOCK bytes of text."""
+    size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+    step = max(1, batch.num_rows * BLOCK // max(BLOCK, size))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def pieces(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
     """documents to (uid, doc_id, piece, start, length, ids_crc32), and ids if asked for, as a table.
 
@@ -194,14 +207,12 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = Fals
     schema = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.get(vocabulary) or _WORDS.setdefault(vocabulary, Words(vocabulary))
+        words = words_of(vocabulary)
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            text, size = batch.column("text"), pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-            step = max(1, batch.num_rows * BLOCK // max(BLOCK, size))
-            for i in range(0, batch.num_rows, step):
+            for few in slices(batch):
                 rows = []
-                for doc_id, ids in zip(batch.column("doc_id").slice(i, step).to_pylist(), words.encode(text.slice(i, step)), strict=True):
+                for doc_id, ids in zip(few.column("doc_id").to_pylist(), words.encode(few.column("text")), strict=True):
                     for k in range(0, len(ids), CAPACITY):
                         part = ids[k : k + CAPACITY]
                         rows.append((uid, doc_id, k // CAPACITY, k, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.tolist() if keep_ids else None))
@@ -317,8 +328,10 @@ def _pack_groups(items: DataFrame, level: int) -> DataFrame:
         work = state.join(groups.select("grp", "sizes"), "grp").withColumn("epoch", F.lit(k))
         work = work.repartition("grp", "island")
         best = materialise(work.mapInPandas(epoch, "grp long, island int, elite array<int>, n_bins int, uneven double"), "pack-epoch")
-        moved = best.union(best.select("grp", (F.col("island") + 1) % ISLANDS, "elite", "n_bins", "uneven").toDF(*best.columns))
-        state = moved.groupBy("grp", "island").agg(F.collect_list("elite").alias("elites"))  # two each
+        own = F.struct("island", "elite")
+        moved = best.select("grp", "island", own.alias("parent")).union(best.select("grp", (F.col("island") + 1) % ISLANDS, own))
+        parents = F.sort_array(F.collect_list("parent"))  # two each, in order of the islands they are from
+        state = moved.groupBy("grp", "island").agg(F.transform(parents, lambda p: p["elite"]).alias("elites"))
     chosen = best.groupBy("grp").agg(F.min_by("elite", F.struct("n_bins", "uneven", "island")).alias("elite"))
 
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
