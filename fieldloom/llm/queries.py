@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, embeddings, filter_audit, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
+from fieldloom.llm import chat, curve_packing, embeddings, filter_audit, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
 from fieldloom.sources.package import ship
 
 
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_curve_packing": curve_packing.op13_curve_packing,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
