@@ -46,8 +46,12 @@ BATCHES = 4
 HOT_ROWS, HOT_IDS = 10_000, 10_000
 #: Texts that a task joins at a time.
 JOINED = 1 << 18
-#: Keeps the stream's state on the executors' disks; what is committed is in the shared folder.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keeps the stream's state on the executors' disks, without space set aside for each of many small stores; batches commit their changes to the shared folder.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 COUNTER = ["part", "mask", "good", "toxic"]
 
 
@@ -178,14 +182,15 @@ def count_masks(spark: SparkSession, folder: str, labels: DataFrame, files_per_b
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy(*COUNTER).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{at}/changes/batch={number}")
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         run = changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     if not n:
         return spark.createDataFrame([], kinds)
     return spark.read.schema(kinds).parquet(f"{at}/changes").groupBy(*COUNTER).agg(F.sum("n").alias("n"))
