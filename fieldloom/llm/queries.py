@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, curve_packing, embeddings, filter_audit, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
+from fieldloom.llm import chat, curve_packing, divergence, embeddings, filter_audit, html_text, imatch, language_id, mixing, packing, quality, simhash, warc
 from fieldloom.sources.package import ship
 
 
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
+        "op11_divergence": divergence.op11_divergence,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_curve_packing": curve_packing.op13_curve_packing,
     }
@@ -38,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op2_embeddings": embeddings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_embeddings": embeddings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op11_divergence": divergence.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
