@@ -8,7 +8,10 @@ Rules: EXACT is op9's (64 bits, 4-word shingles, links at 4 or fewer differing b
 miss no link. SIMILAR is for texts that share 0.8 or more of their distinct 5-word shingles (their
 Jaccard similarity): 128 bits, of which such texts differ in about 19, so candidates need another kind
 of segments, see Rule. They are pairs of up to 29 bits, and link if their sets of shingles, compared
-whole, are that similar. Of the candidates under one key a spanning forest of the nearest is kept.
+whole, are that similar. Under each key a text's candidates are its nearest ones and its hub, the one that
+most others there are near to: a family of copies of one text, each edited elsewhere, is similar to
+that text and not to each other, and the nearest by chance are others. Hubs are compared first; what a failed comparison
+leaves apart is compared with the best linked text of the other's component, until that links nothing more.
 
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint and so a component; rows with a null doc_id get a component but never name one,
@@ -98,8 +101,14 @@ EXACT = Rule(shingle=4, bits=4, words=1)
 #: Its keys are short: comparing a fingerprint with 64 others costs less than sending the rows that longer keys take.
 #: Texts that share 0.8 of their shingles have cosine 0.89, an angle of 0.15 of a half turn: 19 of 128 bits, over 29 in one of 150 cases.
 SIMILAR = Rule(shingle=5, bits=29, words=2, recall=0.95, error=0.1515, longest_key=20, similarity=0.8, least_key=13, shared=64)
-#: Times that each component's nearest candidate is verified, before all that are left between components are.
-NEAREST_ROUNDS = 2
+#: Candidates that each text keeps under a key: its nearest ones, and those that most others are near to.
+NEAREST, HUBS = 2, 1
+#: Pairs of a batch of keys held at a time.
+PAIRS_HELD = 1 << 20
+#: A set meets so many others in one task, about.
+MOST_PAIRS = 1024
+#: Times at most that failed candidates are compared with the leaders of components.
+LEADER_ROUNDS = 4
 
 
 def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
@@ -169,16 +178,16 @@ def _fingerprints(rule: Rule) -> Column:
 
 
 def _described(rule: Rule) -> Column:
-    """A struct of the words of the fingerprint of the column text, and a hash of its set of shingles."""
+    """A struct of the words of the fingerprint of the column text, a hash of its set of shingles, and their number."""
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             found = distinct(text, rule)
             blocks = (found[i : i + BLOCK] for i in range(0, len(found), BLOCK))
-            rows.append((*_majority(blocks, rule), xxhash.xxh3_64_intdigest(found[:, 0].tobytes())))
-        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, rule.words + 1).view(np.int64), columns=[*_names(rule), "terms"])
+            rows.append((*_majority(blocks, rule), xxhash.xxh3_64_intdigest(found[:, 0].tobytes()), len(found)))
+        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, rule.words + 2).view(np.int64), columns=[*_names(rule), "terms", "size"])
 
-    return F.pandas_udf(run, ", ".join(f"{c} long" for c in (*_names(rule), "terms")))("text")
+    return F.pandas_udf(run, ", ".join(f"{c} long" for c in (*_names(rule), "terms", "size")))("text")
 
 
 def _sets(rule: Rule) -> Column:
@@ -232,46 +241,105 @@ def _close_pairs(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
     return reduced()
 
 
-def _link(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by key: compare all pairs of a key, keep a spanning forest of those near enough.
-
-    Where the bits decide alone, one forest is kept of a whole batch of keys; else one of each key, as
-    a candidate that isn't similar is no link, and another key may hold another way.
-    """
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b, far = _close_pairs(key, fp, rule.bits)
-        node = fp[:, 0] if rule.words == 1 else fp[:, 0] * np.int64(-7046029288634856825) + fp[:, 1] * np.int64(-4417276706812531889)
-        if rule.similarity is None:
-            kept = spanning_forest(node[a], node[b], far)
-        else:  # a pair may be there under several keys
-            kept = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0, return_index=True)[1]
-        ends = [fp[a[kept]], fp[b[kept]]]
-        columns = [np.ascontiguousarray(e[:, k]) for e in ends for k in range(rule.words)] + [far[kept].astype(np.int32)]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [*(f"{e}{k}" for e in "ab" for k in range(rule.words)), "far"])
-
+def _by_key(compare: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by key, in batches, to what compare() makes of whole keys: their numbers, and so many further columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(rule.words)], 1)
+            held = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(columns)], 1)
             if rest is not None:
-                key, fp = np.concatenate([rest[0], key]), np.concatenate([rest[1], fp])
+                key, held = np.concatenate([rest[0], key]), np.concatenate([rest[1], held])
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            rest = key[cut:], fp[cut:]
+            rest = key[cut:], held[cut:]
             if cut:
-                yield links(key[:cut], fp[:cut])
+                yield compare(key[:cut], held[:cut])
         if rest is not None and len(rest[0]):
-            yield links(*rest)
+            yield compare(*rest)
 
     return run
 
 
-def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct fingerprints (words) to edges (a, b, far) between their nodes.
+def _link(rule: Rule) -> Callable[[np.ndarray, np.ndarray], pa.RecordBatch]:
+    """Compare all pairs of a key; of a batch of keys keep a spanning forest of those near enough."""
+    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b, far = _close_pairs(key, fp, rule.bits)
+        node = fp[:, 0] if rule.words == 1 else fp[:, 0] * np.int64(-7046029288634856825) + fp[:, 1] * np.int64(-4417276706812531889)
+        kept = spanning_forest(node[a], node[b], far)
+        columns = [np.ascontiguousarray(fp[at[kept], k]) for at in (a, b) for k in range(rule.words)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [f"{e}{k}" for e in "ab" for k in range(rule.words)])
+
+    return links
+
+
+def _pairs_of_keys(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions inside each run of equal group numbers, by their distance."""
+    left, lag = np.nonzero(group[:-1] == group[1:])[0], 1
+    while left.size:
+        yield left, left + lag
+        lag += 1
+        left = left[left + lag < len(group)]
+        left = left[group[left] == group[left + lag]]
+
 
-    Rows are (key, words), key a hash of the variant and the fingerprint's bits under it; what shares a
+def _best(src: np.ndarray, order: tuple[np.ndarray, ...], most: int) -> np.ndarray:
+    """Positions of the first rows, so many, of each src by the order (its first array counts most)."""
+    at = np.lexsort((*order[::-1], src))
+    starts = np.nonzero(np.r_[True, np.diff(src[at]) != 0])[0] if len(at) else at
+    rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+    return at[rank < most]
+
+
+def _candidates(rule: Rule) -> Callable[[np.ndarray, np.ndarray], pa.RecordBatch]:
+    """Compare all pairs of a key by their bits and sizes; each text keeps its nearest ones, and its hub, with the number of texts near to that."""
+    expected = round(rule.error * 64 * rule.words)
+
+    def near(held: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = held[:, rule.words]
+        left, right = (x[np.minimum(size[left], size[right]) >= rule.similarity * np.maximum(size[left], size[right])] for x in (left, right))
+        far = np.bitwise_count((held[left, : rule.words] ^ held[right, : rule.words]).view(np.uint64)).sum(1, dtype=np.int64)
+        close = far <= rule.bits
+        return left[close], right[close], far[close]
+
+    def chosen(src: np.ndarray, dst: np.ndarray, far: np.ndarray, degree: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([_best(src, (far, -degree[dst], dst), NEAREST), _best(src, (-degree[dst], far, dst), HUBS)]))
+
+    def compare(key: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        degree, found, n = np.zeros(len(key), np.int64), [], 0
+        for left, right in _pairs_of_keys(key):  # degrees first: they choose what is kept where pairs are very many
+            a, b, far = near(held, left, right)
+            degree += np.bincount(np.concatenate([a[far <= expected], b[far <= expected]]), minlength=len(key))
+            n += len(a)
+            if n <= PAIRS_HELD:
+                found.append((a, b, far))
+        src = dst = apart = np.array([], np.int64)
+        parts, waiting = [], 0
+
+        def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b, far = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (src, src, src)
+            both = np.concatenate([src, a, b]), np.concatenate([dst, b, a]), np.concatenate([apart, far, far])
+            kept = chosen(*both, degree)
+            return tuple(x[kept] for x in both)
+
+        for part in found if n <= PAIRS_HELD else (near(held, *pair) for pair in _pairs_of_keys(key)):
+            parts.append(part)
+            waiting += len(part[0])
+            if waiting > PAIRS_HELD:
+                src, dst, apart = reduced()
+                parts, waiting = [], 0
+        src, dst, apart = reduced()
+        columns = [np.ascontiguousarray(held[at, k]) for at in (src, dst) for k in range(rule.words)] + [apart.astype(np.int32), degree[dst].astype(np.int32)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [*(f"{e}{k}" for e in "ab" for k in range(rule.words)), "far", "degree"])
+
+    return compare
+
+
+def _meeting(nodes: DataFrame, rule: Rule, columns: list[str]) -> DataFrame:
+    """Distinct fingerprints to rows (key, columns), sorted by key: those that share a variant share a key.
+
+    A key is a hash of the variant and the fingerprint's bits under it; what shares a
     key by chance is told apart by verification. A key that very many fingerprints share is dealt into
     pieces, and each two pieces are compared under a key of their own, so that no task holds more than two.
     """
@@ -279,8 +347,8 @@ def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
     table = F.array(*[F.struct(F.lit(v).alias("v"), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(mask)]) for v, mask in enumerate(masks)])
 
     def variants(of: DataFrame) -> DataFrame:
-        out = of.select(*names, F.explode(table).alias("x"))
-        return out.select(F.xxhash64("x.v", *[F.col(c).bitwiseAND(F.col(f"x.m{k}")) for k, c in enumerate(names)]).alias("key"), *names)
+        out = of.select(*columns, F.explode(table).alias("x"))
+        return out.select(F.xxhash64("x.v", *[F.col(c).bitwiseAND(F.col(f"x.m{k}")) for k, c in enumerate(names)]).alias("key"), *columns)
 
     counted = variants(nodes.where(F.pmod(F.xxhash64(*names, F.lit("count")), F.lit(COUNTED)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     heavy = counted.where(F.col("n") * COUNTED > PIECE).select(F.col("key").alias("heavy"), F.ceil(F.col("n") * COUNTED / PIECE).cast("int").alias("pieces"))
@@ -292,10 +360,31 @@ def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
         other = F.explode(F.when(F.col("pieces") > 1, F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), mine)).otherwise(F.array(F.lit(0))))
         rows = rows.withColumn("mine", mine).withColumn("other", other)
         split = F.when(F.col("pieces") > 1, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("key"))
-        rows = rows.select(split.alias("key"), *names)
-    schema = ", ".join(f"{e}{k} long" for e in "ab" for k in range(rule.words)) + ", far int"
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link(rule), schema)
-    return found.select(*[_node([F.col(f"{e}{k}") for k in range(rule.words)]).alias(e) for e in "ab"], "far")
+        rows = rows.select(split.alias("key"), *columns)
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def _ends(rule: Rule) -> list[str]:
+    return [f"{e}{k}" for e in "ab" for k in range(rule.words)]
+
+
+def _named_ends(found: DataFrame, rule: Rule) -> DataFrame:
+    """(words of a, words of b, more) to (a, b, more), nodes by name."""
+    more = [c for c in found.columns if c not in _ends(rule)]
+    return found.select(*[_node([F.col(f"{e}{k}") for k in range(rule.words)]).alias(e) for e in "ab"], *more)
+
+
+def _edges(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct fingerprints (words) to edges (a, b) between the nodes of those near enough: forests that connect them all."""
+    found = _meeting(nodes, rule, _names(rule)).mapInArrow(_by_key(_link(rule), rule.words), ", ".join(f"{c} long" for c in _ends(rule)))
+    return _named_ends(found, rule)
+
+
+def _candidate_edges(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct fingerprints (words, size) to (a, b, far, degree): for a node a some candidates b, and how many are near to these."""
+    schema = ", ".join(f"{c} long" for c in _ends(rule)) + ", far int, degree int"
+    found = _meeting(nodes, rule, [*_names(rule), "size"]).mapInArrow(_by_key(_candidates(rule), rule.words + 1), schema)
+    return _named_ends(found, rule).groupBy("a", "b").agg(F.min("far").alias("far"), F.max("degree").alias("degree"))
 
 
 def _node(words: list[Column]) -> Column:
@@ -329,85 +418,104 @@ def near_dups(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
     return components(fps, rule).select("doc_id", F.concat(*digits).alias("fingerprint"), "component_id")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, terms, size) are similar, as a table. The set of a node in very many pairs goes to several tasks."""
+    sizes = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
+    pairs = materialise(sizes.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")).select("a", "b"), "simhash-sized")
+    both = pairs
+    for e, other in ("ab", "ba"):
+        heavy = pairs.groupBy(e).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PAIRS).select(F.col(e).alias("heavy"), F.ceil(F.col("n") / MOST_PAIRS).cast("int").alias("pieces"))
+        heavy = materialise(heavy, "simhash-heavy-ends")  # a table of known size, so that Spark broadcasts it or not by that
+        pieces = F.coalesce("pieces", F.lit(1))
+        dealt = sets.join(heavy, F.col("node") == F.col("heavy"), "left").select(F.col("node").alias(e), F.col("terms").alias(f"terms_{e}"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+        both = both.join(heavy, F.col(e) == F.col("heavy"), "left").withColumn("piece", F.pmod(F.xxhash64(other), pieces).cast("int")).drop("heavy", "pieces")
+        both = both.join(dealt, [e, "piece"]).drop("piece")
+    shared = F.size(F.array_intersect("terms_a", "terms_b"))
+    close = shared / (F.size("terms_a") + F.size("terms_b") - shared) >= least
+    return materialise(both.where(close).select("a", "b"), "simhash-links")
+
+
 def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Candidate edges (a, b, far) and sets (node, terms) to (node, component) by the edges whose sets are similar.
+    """Candidates (a, b, far, degree) of nodes and sets (node, terms, size) to (node, component) by those whose sets are similar.
 
-    First the nearest candidate of each component is verified, some times over, so that groups of near
-    copies grow together by few comparisons; then every one that is left between two components.
+    First each component's greatest hub is verified, then its nearest candidate, so that groups of near
+    copies grow together by few comparisons, then every candidate that is left between two components.
+    What failed is then compared with the best linked node of the other's component.
     """
-    def verified(picked: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(e), F.col("terms").alias(f"terms_{e}")) for e in "ab")
-        both = picked.select("a", "b").join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("terms_a", "terms_b")))
-        close = F.col("shared") / (F.size("terms_a") + F.size("terms_b") - F.col("shared")) >= least
-        return materialise(both.where(close).select("a", "b"), "simhash-links")
-
     def between(left: DataFrame, comp: DataFrame) -> DataFrame:
         for e in "ab":
             named = comp.select(F.col("node").alias(e), F.col("component").alias(f"comp_{e}"))
             left = left.drop(f"comp_{e}").join(named, e, "left").withColumn(f"comp_{e}", F.coalesce(f"comp_{e}", e))
         return left.where("comp_a <> comp_b")
 
-    left, links, comp = edges.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")}), None, None
-    for _ in range(NEAREST_ROUNDS):
-        first = F.min(F.struct("far", "a", "b")).alias("e")
-        picked = left.select("comp_a", "far", "a", "b").union(left.select("comp_b", "far", "a", "b")).groupBy("comp_a").agg(first)
-        picked = materialise(picked.select("e.a", "e.b").distinct(), "simhash-picked")
-        new = verified(picked)
+    def sorted_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    links = comp = tested = None
+    left = edges.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")})
+    for order in (["minus", "far"], ["far", "minus"], None):
+        picked = left
+        if order:
+            first = F.min(F.struct(*order, "a", "b")).alias("e")
+            picked = left.withColumn("minus", -F.col("degree")).groupBy("comp_a").agg(first).select("e.a", "e.b")
+        picked = materialise(sorted_ends(picked), "simhash-picked")
+        new = _verified(picked, sets, least)
+        tested = picked if tested is None else tested.union(picked)
         if comp is None or not new.isEmpty():
             links = new if links is None else links.union(new)
             comp = connected_components(links)
-        left = materialise(between(left.join(picked, ["a", "b"], "left_anti"), comp), "simhash-left")
+        left = materialise(between(edges.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti"), comp), "simhash-left")
         if left.isEmpty():
-            return comp
-    new = verified(left)
-    return comp if new.isEmpty() else connected_components(links.union(new))
-
-
-def _matched(docs: DataFrame, key: dict[str, Column], wanted: DataFrame) -> DataFrame:
-    """(row, text, name) of the rows that wanted (k_id, k_digest, k_rest, k_n, name) names, one of those equal in everything."""
-    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")) & (F.col("rest") == F.col("k_rest"))
-    keyed = docs.select(F.struct("*").alias("row"), "text", *[c.alias(k) for k, c in key.items()])
-    once = keyed.join(wanted.where("k_n = 1"), same).select("row", "text", "name")
-    repeated = wanted.where("k_n > 1")
-    if repeated.isEmpty():
-        return once
-    return once.union(keyed.join(repeated, same).dropDuplicates(list(key)).select("row", "text", "name"))
+            break
+    for _ in range(LEADER_ROUNDS):
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        leaders = ends.join(comp, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("leader"))
+        failed = between(tested, comp)
+        known = materialise(failed.select("a", "comp_b").union(failed.select("b", "comp_a")).toDF("a", "component").distinct().join(leaders, "component").select("a", F.col("leader").alias("b")), "simhash-led")
+        picked = materialise(sorted_ends(known).join(tested, ["a", "b"], "left_anti"), "simhash-picked")
+        new = _verified(picked, sets, least)
+        if new.isEmpty():
+            break
+        tested, links = tested.union(picked), links.union(new)
+        comp = connected_components(links)
+    return comp
 
 
 def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (null last), then by hash of text and of the rest.
 
-    Rows are told apart by doc_id, text and their other columns, so that rows without a doc_id or
-    with a repeated one are groups of their own if their texts are unlike. Of rows equal in
-    everything one stays. Rows of equal sets of shingles (told by a hash) are a node; sets that differ
-    but share a fingerprint are candidates like any other. Texts are shuffled to meet what is kept, and
-    those of one row a node that has candidates to be verified.
+    Rows are numbered in a table, so that rows without a doc_id or with a repeated one are documents of their own if
+    their texts are unlike; of rows equal in everything one stays. Rows of equal sets of shingles (told by
+    a hash) are a node; sets that differ but share a fingerprint are candidates like any other. Numbers are
+    joined, not texts: rows leave by the numbers of those that go, and the texts of one row a node are read
+    again where it has candidates to be verified.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     key = {"id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "rest": F.xxhash64(F.col("text").isNull(), *others)}
-    words, of_key = _names(rule), ["id", "digest", "rest", "n"]
-    rows = docs.select(*[c.alias(k) for k, c in key.items()], _described(rule).alias("f")).select(*key, "f.*")
-    rows = rows.groupBy(*key, *words, "terms").agg(F.count(F.lit(1)).alias("n"))
-    first = F.struct(F.col("id").isNull().alias("unnamed"), *of_key)
-    sets = materialise(rows.groupBy(*words, "terms").agg(F.min(first).alias("k")), "simhash")
-    prints = materialise(sets.groupBy(*words).agg(F.min("terms").alias("lead")), "simhash-nodes")
+    words = _names(rule)
+    described = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"), *[c.alias(k) for k, c in key.items()], _described(rule).alias("f"))
+    rows = materialise(described.select("row", "number", *key, "f.*"), "simhash-rows")
+    first = F.struct(F.col("id").isNull().alias("unnamed"), *key, "number")
+    nodes = materialise(rows.groupBy(*words, "terms", "size").agg(F.min(first).alias("k")), "simhash")
+    prints = materialise(nodes.groupBy(*words).agg(F.min(F.struct("terms", "size")).alias("lead")).select(*words, F.col("lead.terms").alias("lead"), "lead.size"), "simhash-nodes")
     own, lead = _node([F.col(c) for c in words]), F.col("terms") == F.col("lead")
-    named = sets.join(prints, words).select("k", own.alias("lead_name"), F.when(lead, own).otherwise(F.xxhash64(*words, "terms")).alias("name"))
+    named = nodes.join(prints.drop("size"), words).select("k", *words, "terms", "size", own.alias("lead_name"), F.when(lead, own).otherwise(F.xxhash64(*words, "terms")).alias("name"))
     named = materialise(named, "simhash-named")
 
-    twins = named.where("name <> lead_name").select(F.col("lead_name").alias("a"), F.col("name").alias("b"), F.lit(0).alias("far"))
-    edges = _edges(prints, rule).union(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far")
-    if rule.similarity is not None:
-        edges = materialise(edges.distinct(), "simhash-candidates")
-        ends = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
-        chosen = materialise(named.join(ends, "name").select("name", *[F.col(f"k.{c}").alias(f"k_{c}") for c in of_key]), "simhash-chosen")
-        held = materialise(_matched(docs, key, chosen).select(F.col("name").alias("node"), _sets(rule).alias("terms")), "simhash-sets")
-        comp = _similar(edges, held, rule.similarity)
-    else:
-        comp = connected_components(edges)
+    twins = named.where("name <> lead_name").select(F.col("name").alias("a"), F.col("lead_name").alias("b"), F.lit(0).alias("far"), F.lit(0).alias("degree"))
+    edges = materialise(_candidate_edges(prints, rule).union(twins), "simhash-candidates")
+    ends = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
+    chosen = materialise(named.join(ends, "name").select(F.col("name").alias("node"), "size", F.col("k.number").alias("number")), "simhash-chosen")
+    texts = rows.select("number", F.col("row.text").alias("text")).join(chosen, "number")
+    comp = _similar(edges, materialise(texts.select("node", "size", _sets(rule).alias("terms")), "simhash-sets"), rule.similarity)
     comp = named.join(comp, F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
-    kept = comp.groupBy("comp").agg(F.min("k").alias("k")).select(F.col("comp").alias("name"), *[F.col(f"k.{c}").alias(f"k_{c}") for c in of_key])
-    return _matched(docs, key, materialise(kept, "simhash-kept")).select("row.*")
+    comp = materialise(comp.select(*words, "terms", "size", "comp", "k"), "simhash-components")
+    kept = comp.groupBy("comp").agg(F.min("k").alias("k")).select("comp", F.col("k.number").alias("kept"))
+    # most nodes are alone with one row; only rows of the others can go
+    several = rows.groupBy(*words, "terms", "size").agg(F.count(F.lit(1)).alias("n")).join(comp, [*words, "terms", "size"]).join(kept, "comp")
+    several = several.where((F.col("n") > 1) | (F.col("k.number") != F.col("kept"))).select(*words, "terms", "size", "kept")
+    gone = rows.select("number", *words, "terms", "size").join(several, [*words, "terms", "size"]).where("number <> kept").select("number")
+    return rows.join(materialise(gone, "simhash-gone"), "number", "left_anti").select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

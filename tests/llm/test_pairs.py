@@ -160,6 +160,61 @@ def test_keep_one_against_all_pairs(spark):
     assert want <= kept and len(kept - want) <= 0.05 * (len(docs) - len(want))
 
 
+def test_keep_one_in_families_of_any_size(spark):
+    """Copies of one text, each with 3 words of 150 changed elsewhere: all are similar to it, hardly any to each other."""
+    rng, docs, families = np.random.default_rng(11), [], {}
+    for size in (30, 300, 3000):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 150)]
+        families[size] = range(len(docs), len(docs) + size + 1)
+        docs.append(words)
+        for c in range(size):
+            near = list(words)
+            for at in rng.choice(150, 3, replace=False):
+                near[at] = f"n{size}x{c}x{at}"
+            docs.append(near)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([(i, " ".join(t), "x", 1) for i, t in enumerate(docs)], SCHEMA)).collect()}
+    for size, ids in families.items():
+        sets = [{tuple(docs[i][k : k + 5]) for k in range(146)} for i in ids]
+        seen = {}
+        for x in sets:
+            for shingle in x:
+                seen[shingle] = seen.get(shingle, 0) + 1
+        number = {s: k for k, s in enumerate(s for s, n in seen.items() if n > 1)}  # what one text alone has is shared with none
+        held = np.zeros((len(sets), len(number)), np.float32)
+        for i, x in enumerate(sets):
+            held[i, [number[s] for s in x if s in number]] = 1
+        n, shared = np.array(list(map(len, sets))), held @ held.T
+        close = shared / (n[:, None] + n[None] - shared) >= 0.8
+        np.fill_diagonal(close, True)
+        want = {i for i, c in zip(ids, smallest_reachable(close, list(ids))) if c == i}
+        left = kept & set(ids)
+        assert want <= left and len(left - want) <= 0.05 * (len(ids) - len(want)), size
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**20 - 1), st.integers(1, 30)), max_size=40), st.integers(1, 60))
+def test_candidates_of_a_key_against_all_pairs(rows, held):
+    rule = simhash.Rule(shingle=5, bits=8, words=1, recall=0.9, error=0.1, similarity=0.8)
+    rows = sorted(set(rows))
+    key, table = np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
+    before, simhash.PAIRS_HELD = simhash.PAIRS_HELD, held
+    try:
+        got = simhash._candidates(rule)(key, table).to_pylist() if len(rows) else []
+    finally:
+        simhash.PAIRS_HELD = before
+    close = {}
+    for i, (k, f, n) in enumerate(rows):
+        for j, (k2, f2, n2) in enumerate(rows):
+            far = (f ^ f2).bit_count()
+            if i != j and k == k2 and far <= 8 and min(n, n2) >= 0.8 * max(n, n2):
+                close.setdefault(i, {})[j] = far
+    degree = {i: sum(far <= 6 for far in js.values()) for i, js in close.items()}
+    want = set()
+    for i, js in close.items():
+        want |= {(i, j) for j in sorted(js, key=lambda j: (js[j], -degree[j], j))[:2]} | {(i, j) for j in sorted(js, key=lambda j: (-degree[j], js[j], j))[:1]}
+    assert sorted((r["a0"], r["b0"], r["far"], r["degree"]) for r in got) == sorted((rows[i][1], rows[j][1], close[i][j], degree[j]) for i, j in want)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20), st.integers(0, 5)), max_size=60))
 def test_spanning_forest(edges):
