@@ -3,10 +3,11 @@
 A page is a run of words and tags. Words score positive and tags negative, by weights learned
 from labelled pages (those with one <article>); words in elements that hold no content score
 negative. What holds none is told by the kind of element, or by the words of its class and id, whose
-weights are learned too (words of MARKED begin as if seen a few times outside articles); what holds most
-of the page's words, its only article included, is a wrapper and never left out. Where a page marks an
-article, tags in it cost nothing and words outside it score negative too. One linear scan finds the
-contiguous run with the highest sum.
+weights are learned too (words of MARKED begin as if seen a few times outside articles). A wrapper is never left
+out for its name: what holds most of the page's words and its only article, or, on a page without one, what holds a
+block of content for most of its words and leaves hardly any words outside that are in no such element, however
+long it is. Where a page marks an article, tags in it cost nothing and words outside it score negative
+too. One linear scan finds the contiguous run with the highest sum.
 
 Cases: null and empty pages have an empty text; without labelled pages plain weights hold; broken
 markup (open elements, stray ends, a script that never ends) is read to the end of the page, in time
@@ -31,14 +32,15 @@ from fieldloom.llm.common import hash_below
 
 #: Labelled pages to learn from, about: drawn by hash of url, whole pages.
 TRAIN_PAGES = 2000
-#: Tags and words of classes with a weight of their own, the most frequent ones; other tags share one.
-TAGS = 3000
+#: Tags and words of classes have a weight of their own if the labelled pages hold so many (words under a class); other tags share one.
+SEEN = 5
 RAREST, MILDEST = -4.0, -0.02
 
 # Names in HTML, and words in classes and ids.
 SKIPPED = frozenset("nav footer aside form head dialog".split())
 NO_TEXT = frozenset("button select textarea iframe noscript svg template object canvas".split())
 CONTAINERS = frozenset("article aside details div dl fieldset figure form header footer main nav ol section span table ul".split())
+BLOCK_OF_CONTENT = frozenset("article div main section table td ul ol dl".split())
 RAW = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
@@ -59,6 +61,9 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PART = re.compile(r"[a-z]+", re.IGNORECASE)
 #: An element is left out if the words of its class weigh this little on average, one of a paragraph's kind if they weigh less still.
 LEFT_OUT, LEFT_OUT_BLOCK = -0.75, -1.5
+#: Words outside a wrapper, at most, that are in no element left out: those of a page's own frame. Of an element that
+#: has another name too, so many for each two words in it.
+FRAME, FRAME_SHARE = 20, 0.5
 #: Words (of a thousand outside articles) that those of MARKED count as seen with.
 PRIOR = 10.0
 #: Words of a class that say nothing inside an article.
@@ -174,25 +179,49 @@ class Weights:
         means = [sum(say) / len(say)] if say else [sum(0 if in_article and p in IN_ARTICLE else self.names.get(p, 0) for p in parts) / len(parts) for parts in e.names]
         return min(means) <= (LEFT_OUT if e.tag in CONTAINERS else LEFT_OUT_BLOCK)
 
+    def marked_only(self, e: Element) -> bool:
+        """Whether all words of the element's class and id say that it holds no content."""
+        return bool(e.names) and all(self.names.get(p, 0) < 0 for parts in e.names for p in parts)
+
     def left_out(self, tokens: list[tuple[str, str, int]], elements: list[Element]) -> tuple[list[bool], list[bool]]:
         """For each element whether it is left out, and whether it is in an article."""
-        words, articles = [0] * len(elements), [0] * len(elements)
+        n = len(elements)
+        words, articles = [0] * n, [0] * n
         for tag, text, e in tokens:
             if not tag:
                 words[e] += len(text.split())
-        inside = [False] * len(elements)
-        none = [False] * len(elements)
+        plain = list(words)  # words in no element below that is left out, and in no link
+        inside, none, block = [False] * n, [False] * n, [0] * n
         for k, e in enumerate(elements[1:], 1):
             none[k] = e.tag in SKIPPED or (e.tag == "header" and not inside[e.parent]) or self.names_none(e, inside[e.parent])
             inside[k] = inside[e.parent] or (e.tag == "article" and not none[k])
             articles[k] = int(e.tag == "article" and not none[k])
-        for k in range(len(elements) - 1, 0, -1):
-            words[elements[k].parent] += words[k]
-            articles[elements[k].parent] += articles[k]
-        out = [False] * len(elements)
+        for k in range(n - 1, 0, -1):
+            e = elements[k]
+            words[e.parent] += words[k]
+            articles[e.parent] += articles[k]
+            if not none[k] and e.tag not in NO_TEXT and e.tag != "a":
+                plain[e.parent] += plain[k]
+            # the most words that one block of content below holds
+            block[e.parent] = max(block[e.parent], block[k], words[k] if e.tag in BLOCK_OF_CONTENT and not none[k] else 0)
+
+        def wrapper(k: int, outside: int) -> bool:
+            e = elements[k]
+            if articles[0]:
+                return 2 * words[k] > words[0] and articles[k] == articles[0]
+            if e.tag in ("html", "body", "main"):
+                return outside <= FRAME
+            if e.named or (e.tag in SKIPPED and e.tag != "form") or 2 * block[k] <= plain[k]:
+                return False
+            return outside <= (FRAME if e.tag != "form" and self.marked_only(e) else max(FRAME, FRAME_SHARE * words[k]))
+
+        out, around = [False] * n, [plain[0]] * n  # around: the words in no element left out, wrappers around this one opened
         for k, e in enumerate(elements[1:], 1):
-            wrapper = 2 * words[k] > words[0] and articles[k] == articles[0]
-            out[k] = out[e.parent] or e.tag in NO_TEXT or (none[k] and not wrapper)
+            around[k] = around[e.parent]
+            out[k] = out[e.parent] or e.tag in NO_TEXT
+            if none[k] and not out[k]:
+                out[k] = not wrapper(k, around[k])
+                around[k] += 0 if out[k] else plain[k]
             inside[k] = inside[e.parent] or (e.tag == "article" and not out[k])
         return out, inside
 
@@ -264,12 +293,12 @@ def train(pages: DataFrame) -> Weights:
 
     counts = labelled.where(near).select("html").mapInPandas(count, "tag string, inside long, outside long")
     total = counts.groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    return Weights(total.orderBy(F.desc(F.col("inside") + F.col("outside")), "tag").limit(TAGS).toPandas())
+    return Weights(total.where(F.col("inside") + F.col("outside") >= SEEN).toPandas())  # of the sample's pages, whatever the table
 
 
 def extract(pages: DataFrame, weights: Weights, name: str = "text") -> DataFrame:
     """pages with the text of each whole page's content."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights)  # TAGS numbers at most
+    shared = pages.sparkSession.sparkContext.broadcast(weights)  # of what TRAIN_PAGES pages hold
 
     def run(found: pd.Series) -> pd.Series:
         return found.map(shared.value.text)

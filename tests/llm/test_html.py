@@ -3,6 +3,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 
 from fieldloom.llm import html_text
@@ -45,6 +46,53 @@ def test_names_of_wrappers_and_parts_of_articles_remove_nothing():
     assert PLAIN.text(f"<article>{ARTICLE}</article><aside><article><p>A teaser</p></article></aside><div class='related'><article><p>More</p></article></div>") == READ
 
 
+def block(word, n):
+    return f"<p>{' '.join([word] * n)}</p>"
+
+
+def test_what_holds_most_words_is_not_the_text_for_that():
+    main = f"<div>{block('text', 30) * 2}</div>"
+    want = "\n".join([" ".join(["text"] * 30)] * 2)
+    for other in (f"<nav>{block('menu', 120)}</nav>", f"<nav><div>{block('menu', 1200)}</div></nav>", f"<header>{block('menu', 120)}</header>"):
+        assert PLAIN.text(f"<body>{other}{main}</body>") == want
+    for other in (
+        f"<footer><div>{block('foot', 100)}</div></footer>", f"<div class='sidebar'><div>{block('side', 100)}</div></div>", f"<aside>{block('side', 400)}</aside>",
+        f"<div id='comments'><div>{block('said', 50) * 2}</div></div>", f"<div class='comment-list'>{block('said', 50) * 40}</div>", f"<div role='search'>{block('find', 100)}</div>",
+    ):
+        assert PLAIN.text(f"<body><div class='page'>{main}{other}</div></body>") == want
+        assert PLAIN.text(f"<body>{other}{main}</body>") == want
+    comments = f"<div class='comments'>{block('said', 40)}</div>"
+    assert PLAIN.text(f"<body><div>{block('text', 100)}</div>{comments}</body>") == " ".join(["text"] * 100)
+
+
+def test_wrappers_without_an_article():
+    main, side = f"<div class='content'>{block('text', 30) * 2}</div>", f"<div class='sidebar'>{block('side', 100)}</div>"
+    want = "\n".join([" ".join(["text"] * 30)] * 2)
+    for start, end in (('<div class="page has-sidebar">', "</div>"), ('<form id="search">', "</form>"), ('<div class="ad-layout"><div class="wrap has-comments">', "</div></div>"), ('<div class="banner">', "</div>")):
+        assert PLAIN.text(f"<body><nav>{block('menu', 50)}</nav>{start}{main}{end}<div>The end of it</div></body>").startswith(want)
+    assert PLAIN.text(f'<body><div class="page has-sidebar">{main}{side}</div></body>') == want
+    assert PLAIN.text(f"<body hidden>{main}</body>") == want
+    assert PLAIN.text(f"<body><div class='sidebar'>{block('side', 100)}</div></body>") == ""
+
+
+def test_scan_is_the_best_of_all_runs():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        parts = rng.choice(["<p>one two", "</p>", "<a>x</a>", "three ", "<nav>menu here</nav>", "<div class=ad>buy this", "</div>", "<td>", "<b>four</b>", "<article>five", "</article>"], rng.integers(1, 14))
+        page = "".join(parts)
+        tokens, elements = html_text.parse(page)
+        out, inside = PLAIN.left_out(tokens, elements)
+        article = any(inside[e] and not out[e] and text.strip() for _, text, e in tokens)
+        score = []
+        for tag, text, e in tokens:
+            off, within = out[e] or (article and not inside[e]), article and inside[e]
+            score.append((0 if within else PLAIN.tags.get(tag, PLAIN.other)) if tag else 0 if off and within else len(text.split()) * (-PLAIN.word if off else PLAIN.word))
+        best = max([0.0, *(sum(score[i : j + 1]) for i in range(len(score)) for j in range(i, len(score)))])
+        kept = PLAIN.scan(page)
+        runs = [(i, j) for i in range(len(tokens) + 1) for j in range(i, len(tokens) + 1) if [t[:2] for t in tokens[i:j]] == [k[:2] for k in kept] and abs(sum(score[i:j]) - best) < 1e-9]
+        assert runs, page
+
+
 def test_words_of_classes_are_learned():
     pages = [f'<body><div class="zork">Much to buy here {i}</div><article><div class="share">{ARTICLE}</div></article></body>' for i in range(5)]
     counts = [html_text.features(p) for p in pages]
