@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match over randomised subsets of a lexicon.
 
 The lexicon holds the terms whose inverse document frequency lies in a band. For each of several
-random subsets of it, a document's distinct terms in the subset are sorted and hashed. Subsets
+random subsets of it, a document's distinct terms in the subset are sorted (by their hashes) and hashed. Subsets
 come in sizes that go on halving until one holds none of a document's terms, so that short and
 long documents alike have some that hold few of them.
 
@@ -10,10 +10,11 @@ terms of a text that fills much of the table are too common for it. Two texts ar
 by the same kind of parts; where either has little in the lexicon, all terms count accordingly.
 
 Cases: null and empty texts have the fingerprint of no terms; a text without a term in the lexicon
-is compared over all its terms; equal texts have equal fingerprints; of rows with equal doc_id the
-smaller text comes first; rows with null doc_id come first and are nobody's last neighbour; a
-table of one row is its own next document; other columns are not read. Rows of one doc_id, and those
-without any, lie in one range of doc_id and are compared in one task, a row at a time.
+is compared over all its terms; equal texts have equal fingerprints; rows with equal doc_id follow
+by a hash of the text; rows with null doc_id come first, and the last row's next is the first that has
+one (the first of all if none has); a table of one row is its own next document; other columns are not read. A
+doc_id of very many rows, and the rows without one, are dealt to several tasks by that hash, and equal rows
+of a batch go as one with their number.
 """
 
 from __future__ import annotations
@@ -47,17 +48,24 @@ CACHE_WORDS = 1_000_000
 #: Terms to count before a batch of counts is sent on, and characters of text to hold before one of results is.
 COUNTED, FLUSH = 1 << 22, 1 << 21
 
-_HASHES: dict[str, int] = {}
+class Hashes(dict):
+    """Terms and their hashes of 64 bits, as far as they were asked for."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = found = xxhash.xxh3_64_intdigest(term)
+        return found
+
+
+_HASHES = Hashes()
 _EDGES = np.arange(CELLS + 1, dtype=np.uint8)
 
 
-def term_hashes(terms: list[str]) -> np.ndarray:
+def term_hashes(text: str) -> np.ndarray:
+    """The hashes of the text's distinct terms."""
     if len(_HASHES) > CACHE_WORDS:
         _HASHES.clear()
-    found = list(map(_HASHES.get, terms))
-    if None in found:
-        found = [_HASHES.setdefault(t, xxhash.xxh3_64_intdigest(t)) if h is None else h for t, h in zip(terms, found, strict=True)]
-    return np.array(found, np.uint64)
+    terms = set(text.lower().split())
+    return np.fromiter(map(_HASHES.__getitem__, terms), np.uint64, len(terms))
 
 
 class Lexicon:
@@ -103,10 +111,9 @@ def _parts(hashes: np.ndarray) -> list[str]:
 
 def fingerprint(text: str, lexicon: Lexicon) -> list[str]:
     """The parts of the text's terms in the lexicon, "/" and the lexicon's weight in hex, the parts of all terms."""
-    terms = sorted(set(text.lower().split()))
-    hashes = term_hashes(terms)
+    hashes = np.sort(term_hashes(text))
     inside = lexicon.holds(hashes)
-    weight = min(STEPS, int(STEPS * inside.mean() / ENOUGH)) if terms else STEPS
+    weight = min(STEPS, int(STEPS * np.count_nonzero(inside) / len(hashes) / ENOUGH)) if len(hashes) else STEPS
     return [*_parts(hashes[inside]), f"/{weight:02x}", *_parts(hashes)]
 
 
@@ -143,7 +150,7 @@ def lexicon(docs: DataFrame) -> Lexicon:
 
         for batch in batches:
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                held.append(term_hashes(list(set(text.lower().split()))))
+                held.append(term_hashes(text))
                 n += len(held[-1])
                 if n > COUNTED:
                     yield counts()
@@ -157,24 +164,71 @@ def lexicon(docs: DataFrame) -> Lexicon:
     return Lexicon(np.sort(kept["term"].to_numpy().view(np.uint64)))
 
 
+class Ranges:
+    """Which part a row belongs to: parts are ranges of (doc_id is null first, doc_id, hash of the text).
+
+    cuts are doc_ids between parts, in order; a doc_id that is m cuts fills as many parts of its own, by even
+    ranges of the hash, and so do the rows without a doc_id.
+    """
+
+    def __init__(self, cuts: np.ndarray, unnamed: int):
+        self.cuts, self.unnamed = cuts, unnamed
+        self.hot = bool(unnamed) or len(np.unique(cuts)) < len(cuts)
+
+    def part(self, named: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """hashes: 0 to 2 ** 63 - 1; not looked at where nothing is hot."""
+        low, high = np.searchsorted(self.cuts, ids, "left"), np.searchsorted(self.cuts, ids, "right")
+        share = hashes / 2.0**63
+        own = np.where(high > low, low + 1 + np.minimum(share * (high - low), high - low - 1).astype(np.int64), low)
+        return np.where(named, self.unnamed + own, np.minimum(share * self.unnamed, self.unnamed - 1).astype(np.int64)).astype(np.int32)
+
+
+def _rows(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """(named, id, hash, text) without nulls."""
+    text = F.coalesce("text", F.lit(""))
+    order = F.shiftrightunsigned(F.xxhash64(text), 1) if hashed else F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), order.alias("hash"), text.alias("text"))
+    return rows if hashed else rows.drop("text")
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
-    """(part, guest, doc_id, text) in order: parts are ranges of doc_id, each ends with the next part's first row as a guest."""
+    """(part, guest, named, id, hash, text, n) in order, n equal rows as one: each part ends with the next part's first row as a guest."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = np.iinfo(np.int64).min
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     cuts = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) or []
-    bounds = np.array([min(max(int(c), least), np.iinfo(np.int64).max) for c in cuts], np.int64)
-    known = F.coalesce("doc_id", F.lit(least))  # without nulls, pandas keeps ids as integers
-    part = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right").astype(np.int32)), "int")
-    firsts = sorted((r["part"], r["doc_id"]) for r in docs.where("doc_id IS NOT NULL").select(part(known).alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect())  # a row a part
-    before = {doc_id: firsts[k - 1][0] for k, (_, doc_id) in enumerate(firsts)}  # the last part's guest is the very first document
-
-    def places(ids: pd.Series, unnamed: pd.Series) -> pd.Series:
-        mine = np.searchsorted(bounds, ids.to_numpy(np.int64), "right").tolist()
-        return pd.Series([[p] if none or i not in before else [p, before[i]] for i, none, p in zip(ids.tolist(), unnamed, mine, strict=True)])
-
-    placed = F.posexplode(F.pandas_udf(places, "array<int>")(known, F.col("doc_id").isNull())).alias("guest", "part")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), placed)
-    return rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text").select("part", "guest", "doc_id", "text")
+    ranges = Ranges(np.array([min(max(int(c), least), most) for c in cuts], np.int64), -(-(known[0] - known[1]) * parts // max(1, known[0])))
+
+    def place(named: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.part(named.to_numpy(bool), ids.to_numpy(np.int64), hashes.to_numpy(np.int64)))
+
+    placed = _rows(docs, ranges.hot).withColumn("part", F.pandas_udf(place, "int")("named", "id", "hash"))
+    found = placed.groupBy("part").agg(F.min(F.struct("named", "id", "hash")).alias("first")).collect()  # a row a part
+    firsts = sorted((r["part"], tuple(r["first"])) for r in found)
+    guests: dict[tuple, list[int]] = {}  # the first row of a part is a guest of the part before; the first of all with a doc_id is one of the last part
+    for (before, _), (_, first) in zip(firsts, firsts[1:]):
+        guests.setdefault(first, []).append(before)
+    if firsts:
+        guests.setdefault(next((first for _, first in firsts if first[0]), firsts[0][1]), []).append(firsts[-1][0])
+    ids_of_guests = np.array(sorted({i for _, i, _ in guests}), np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named, ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("named", "id", "hash"))
+            order = np.lexsort((hashes, ids, named))
+            new = np.r_[True, (np.diff(named[order].astype(np.int8)) != 0) | (np.diff(ids[order]) != 0) | (np.diff(hashes[order]) != 0)][: len(order)]
+            at, n = order[new], np.diff(np.r_[np.nonzero(new)[0], len(order)])
+            named, ids, hashes = named[at], ids[at], hashes[at]
+            part, row, guest = ranges.part(named, ids, hashes), np.arange(len(at)), np.zeros(len(at), np.int32)
+            for k in np.nonzero(np.isin(ids, ids_of_guests))[0].tolist():
+                for to in guests.get((bool(named[k]), int(ids[k]), int(hashes[k]) if ranges.hot else 0), ()):
+                    part, row, guest = np.append(part, np.int32(to)), np.append(row, k), np.append(guest, np.int32(1))
+            columns = [pa.array(part), pa.array(guest), *(pa.array(x[row]) for x in (named, ids, hashes)), batch.column("text").take(pa.array(at[row])), pa.array(n[row])]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "guest", "named", "id", "hash", "text", "n"])
+
+    schema = "part int, guest int, named boolean, id long, hash long, text string, n long"
+    rows = _rows(docs).mapInArrow(deal, schema)
+    return rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", "named", "id", "hash", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -195,27 +249,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         def compare(doc_id, text, mine, after, its) -> tuple:
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
-            changed = fingerprint(edited, words)
+            changed = mine if edited == text else fingerprint(edited, words)
             return doc_id, len(text), sha256(edited.encode()).hexdigest(), "".join(mine), "".join(changed), likeness(mine, changed), likeness(mine, its)
 
-        last = None  # the row that waits for its next one: part, doc_id, text, fingerprint
+        last, many = None, 0  # the row that waits for its next one (part, key, doc_id, text, fingerprint), and as many more of it
         for batch in batches:
-            for part, guest, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if last and last[0] != part:
-                    out.append(compare(*last[1:], *last[2:]))  # only where no row has a doc_id
-                    last = None
+            for part, guest, named, i, digest, text, n in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                key = named, i, digest, text
+                if last and last[0] == part and last[1] == key and not guest:
+                    many += n
+                    continue
                 if last or not guest:
-                    mine = fingerprint(text, words)
+                    mine = last[4] if last and last[3] == text else fingerprint(text, words)
                     if last:
-                        out.append(compare(*last[1:], text, mine))
-                    last = None if guest else (part, doc_id, text, mine)
-                    held += len(text)
+                        same = compare(*last[2:], *last[3:]) if many else None
+                        out += [same] * many
+                        held += len(text) + many * len(last[3])
+                        out.append(compare(*last[2:], text, mine))
+                    last, many = (None, 0) if guest else ((part, key, i if named else None, text, mine), n - 1)
                 if held > FLUSH:
                     if out:
                         yield batch_of(out)
                     out, held = [], 0
-        if last:
-            out.append(compare(*last[1:], *last[2:]))
         if out:
             yield batch_of(out)
 
