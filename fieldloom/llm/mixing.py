@@ -1,7 +1,7 @@
 """Mixing sources to target weights: repeat documents so that each source's words come near its share.
 
 Cases: a null text has no words; a null source is a source of its own, sorted last; rows that
-repeat a doc_id draw alike; an empty table gives an empty mix; sources without words get target 0.
+repeat a doc_id draw by their texts, and alike if these are equal too; an empty table gives an empty mix; sources without words get target 0.
 Columns of other names, whatever they are, are carried by mix() and not read otherwise. Sources are
 ranked in one task, a row each.
 """
@@ -28,8 +28,8 @@ def size() -> Column:
 
 
 def draw() -> Column:
-    """The document's hash-seeded draw: one of BINS equal parts of the unit interval."""
-    seed = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    """The document's draw, seeded by a hash of doc_id and text: one of BINS equal parts of the unit interval."""
+    seed = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.md5(F.coalesce("text", F.lit("")))).cast("binary"))
     return (F.conv(F.substring(seed, 1, 8), 16, 10).cast("long") % BINS).cast("int")
 
 
@@ -112,7 +112,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-           (('0x' || substr(md5('mix-' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 4096)::INT AS draw
+           (('0x' || substr(md5('mix-' || coalesce(doc_id::VARCHAR, '') || '-' || md5(coalesce(text, ''))), 1, 8))::BIGINT % 4096)::INT AS draw
     FROM documents
 ), ranked AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM sized GROUP BY source

@@ -76,6 +76,19 @@ def test_mix_rows_and_odd_cases(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix_report(df.limit(0)).count() == 0
 
 
+def test_sources_of_repeated_ids_and_very_long_texts_meet_their_targets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(7, " ".join(["w"] * int(n)) + f" {k}", "a", "x", "y") for k, n in enumerate(rng.integers(5, 15, 600))] + [(None, f"{k} " * 9, "a", "x", "y") for k in range(400)]
+    rows += [(k, "some words here " * 4, "b", "x", "y") for k in range(2000)] + [(9000, "w " * 200_000, "c", "x", "y"), (9001, "w " * 90_000, "c", "x", "y")]
+    report = mixing.mix_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    by_source = defaultdict(list)
+    for r in report:
+        by_source[r["source_size"]].append(r)
+    for size, mine in by_source.items():
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) + size // 1000
+        assert all(r["taken"] <= 2 * r["size"] for r in mine)
+
+
 def check_packing(rows, texts):
     """rows as returned for texts by doc_id; ids against the tokenizer's own."""
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
@@ -223,7 +236,7 @@ def test_pipeline_against_brute_force(spark, sf):
 
     by_source, size = defaultdict(list), {d["doc_id"]: len((d["text"] or "").split()) for d in alone}
     for d in alone:
-        draw = int(hashlib.md5(f"mix-{d['doc_id']}".encode()).hexdigest()[:8], 16) % 4096
+        draw = int(hashlib.md5(f"mix-{d['doc_id']}-{hashlib.md5((d['text'] or '').encode()).hexdigest()}".encode()).hexdigest()[:8], 16) % 4096
         by_source[d["source"]].append((draw, size[d["doc_id"]], d))
     goals, mixed = plain_targets({s: sum(n for _, n, _ in rows) for s, rows in by_source.items()}), []
     for s, rows in by_source.items():

@@ -39,7 +39,7 @@ def plain_parts(terms):
 
 
 def plain_fingerprint(text, in_band):
-    terms = sorted(set(text.lower().split()))
+    terms = sorted(set(text.lower().split()), key=lambda t: xxhash.xxh3_64_intdigest(t.encode()))
     inside = [t for t in terms if t in in_band]
     weight = min(255, int(255 * (len(inside) / len(terms)) / 0.25)) if terms else 255
     return plain_parts(inside), weight, plain_parts(terms)
@@ -91,6 +91,32 @@ def test_imatch_next_of_large_ids_beside_nulls(spark):
     assert got[None] == sha256(edited("no id here", order[0][1]).encode()).hexdigest()
 
 
+def in_order(row):
+    """Rows without a doc_id first, then by doc_id, those of one by a hash of the text."""
+    return row[0] is not None, row[0] or 0, xxhash.xxh64_intdigest((row[1] or "").encode(), 42) >> 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_imatch_next_of_hot_ids_nulls_and_repeated_rows(spark, seed):
+    rng = np.random.default_rng(seed)
+    ids = [[1, None, 5, -3], [None], [7, 7, None]][seed]
+    rows = [(ids[rng.integers(len(ids))], f"text {rng.integers(20)} of many words") for _ in range(150)] + [(int(k), f"other {k}") for k in range(20, 50)] * (seed < 2) + [(1, "the same")] * 60
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in imatch.fingerprints(table(spark, [(*r, None) for r in rows]).repartition(4)).collect())
+    order = sorted(rows, key=in_order)
+    first = next((r for r in order if r[0] is not None), order[0])
+    want = Counter((i, sha256(edited(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(order, [*order[1:], first], strict=True))
+    assert got == want
+
+
+def test_hot_ids_fill_parts_of_their_own():
+    ranges = imatch.Ranges(np.array([3, 7, 7, 7, 9]), 2)
+    share = np.array([(2**63 - 1) * k // 8 for k in range(9)])
+    part = lambda named, i: ranges.part(np.full(9, named), np.full(9, i), share).tolist()
+    assert part(False, 0) == [0] * 4 + [1] * 5 and part(True, 7) == [4] * 3 + [5] * 3 + [6] * 3
+    assert part(True, 2) == [2] * 9 and part(True, 3) == part(True, 6) == [3] * 9 and part(True, 8) == [6] * 9 and part(True, 9) == [7] * 9
+    assert ranges.hot and not imatch.Ranges(np.array([1, 2]), 0).hot
+
+
 def test_imatch_very_long_text(spark):
     long = " ".join(f"w{k}" for k in range(300_000))
     rows = {r["doc_id"]: r for r in imatch.fingerprints(table(spark, [(1, long, None), (2, "short", None), (3, long, None)])).collect()}
@@ -101,9 +127,9 @@ def test_imatch_very_long_text(spark):
 def test_imatch_odd_rows(spark):
     rows = [(5, "b c d", None), (1, None, None), (3, "xéy \U0001f600 z", None), (3, "a", None), (None, "n", None), (9, "b c d", None)]
     got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in imatch.fingerprints(table(spark, rows)).collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
-    order = [(None, "n"), (1, ""), (3, "a"), (3, "xéy \U0001f600 z"), (5, "b c d"), (9, "b c d")]
+    order = sorted([(None, "n"), (1, ""), (3, "a"), (3, "xéy \U0001f600 z"), (5, "b c d"), (9, "b c d")], key=in_order)
     want = [(i, len(t), sha256(edited(t, a).encode()).hexdigest()) for (i, t), (_, a) in zip(order, [*order[1:], order[1]], strict=True)]
-    assert [g[:3] for g in got] == want
+    assert sorted(map(str, (g[:3] for g in got))) == sorted(map(str, want))
     assert got[4][3] == got[5][3]
     one = imatch.fingerprints(table(spark, [(1, "abcd", None)])).first()
     assert one["edited_sha256"] == sha256(b"abab").hexdigest()
@@ -192,16 +218,34 @@ def test_language_whole_table_against_brute_force(spark, sf):
 
 
 def test_rare_labels_are_not_learned(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "RAREST", 0.3)
     rows = [(k, t, lang) for lang, t, n in (("en", "the cat", 3), ("fr", "été", 2), ("dirty", "zz", 1)) for k in range(n)]
     assert language_id.train(table(spark, rows)).languages == ["en", "fr"]
 
 
-def test_codewords_are_distinct_and_apart():
-    for n in (2, 3, 4, 5, 6, 12, 40):
-        code = language_id.codewords(n)
-        apart = (code[:, None] != code[None]).sum(2)[np.triu_indices(n, 1)].min()
-        assert apart >= (1 if n < 3 else 2 if n == 3 else 4 if n == 4 else 5)
+def test_three_hundred_languages_are_learned(spark, monkeypatch):
+    """Languages of words of their own letters; each is named for its documents, whatever the blocks of languages it is learned in."""
+    rng = np.random.default_rng(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rng.choice(list(rng.permutation(list(letters))[:9]), 5)) for _ in range(12)] for k in range(300)}
+    rows = [(100 * k + j, " ".join(rng.choice(words[lang], 60)), lang) for k, lang in enumerate(words) for j in range(4)]
+    model = language_id.train(table(spark, rows))
+    assert model.languages == sorted(words)
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 37)
+    again = language_id.train(table(spark, rows))
+    assert again.languages == model.languages and np.allclose(again.weights, model.weights, atol=1e-5)
+    asked = [(k, " ".join(rng.choice(words[lang], 60)), None) for k, lang in enumerate(words)]
+    got = {r["doc_id"]: r for r in language_id.identify(table(spark, asked), model).collect()}
+    assert np.mean([got[k]["lang_pred"] == lang for k, lang in enumerate(words)]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 12, 40, 300, 3000])
+def test_codewords_are_distinct_and_apart(n):
+    code = language_id.codewords(n)
+    signs = 2.0 * code - 1
+    apart = ((code.shape[1] - signs @ signs.T) / 2)[np.triu_indices(n, 1)].min()
+    assert apart >= (1 if n < 3 else 2 if n == 3 else 4 if n == 4 else 5) and code.shape[1] <= max(16, 10 * math.log2(n) + 1)
 
 
 def test_language_held_out_accuracy(spark):
