@@ -108,7 +108,7 @@ PAIRS_HELD = 1 << 20
 #: A set meets so many others in one task, about.
 MOST_PAIRS = 1024
 #: Times at most that failed candidates are compared with the leaders of components.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 
 
 def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
@@ -419,65 +419,62 @@ def near_dups(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, terms, size) are similar, as a table. The set of a node in very many pairs goes to several tasks."""
-    sizes = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-    pairs = materialise(sizes.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")).select("a", "b"), "simhash-sized")
-    both = pairs
-    for e, other in ("ab", "ba"):
-        heavy = pairs.groupBy(e).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PAIRS).select(F.col(e).alias("heavy"), F.ceil(F.col("n") / MOST_PAIRS).cast("int").alias("pieces"))
-        heavy = materialise(heavy, "simhash-heavy-ends")  # a table of known size, so that Spark broadcasts it or not by that
-        pieces = F.coalesce("pieces", F.lit(1))
-        dealt = sets.join(heavy, F.col("node") == F.col("heavy"), "left").select(F.col("node").alias(e), F.col("terms").alias(f"terms_{e}"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-        both = both.join(heavy, F.col(e) == F.col("heavy"), "left").withColumn("piece", F.pmod(F.xxhash64(other), pieces).cast("int")).drop("heavy", "pieces")
-        both = both.join(dealt, [e, "piece"]).drop("piece")
+    """The pairs (a, b), a table, whose sets (node, terms, size) are similar, as a table. The set of a node in very many pairs goes to several tasks."""
+    ends = pairs.select(F.col("a").alias("heavy")).union(pairs.select("b")).groupBy("heavy").agg(F.count(F.lit(1)).alias("n"))
+    heavy = ends.where(F.col("n") > MOST_PAIRS).select("heavy", F.ceil(F.col("n") / MOST_PAIRS).cast("int").alias("pieces"))
+    heavy = materialise(heavy, "simhash-heavy-ends")  # a table of known size, so that Spark broadcasts it or not by that
+    pieces = F.coalesce("pieces", F.lit(1))
+    dealt, both = sets.withColumn("piece", F.lit(0)), pairs.withColumns({"piece_a": F.lit(0), "piece_b": F.lit(0)})
+    if not heavy.isEmpty():
+        dealt = sets.join(heavy, F.col("node") == F.col("heavy"), "left").select("node", "terms", "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+        for e, other in ("ab", "ba"):
+            both = both.join(heavy, F.col(e) == F.col("heavy"), "left").withColumn(f"piece_{e}", F.pmod(F.xxhash64(other), pieces).cast("int")).drop("heavy", "pieces")
+    for e in "ab":
+        mine = dealt.select(F.col("node").alias(e), F.col("piece").alias(f"piece_{e}"), F.col("terms").alias(f"terms_{e}"), F.col("size").alias(f"size_{e}"))
+        both = both.join(mine, [e, f"piece_{e}"])
+        if e == "b":
+            both = both.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
     shared = F.size(F.array_intersect("terms_a", "terms_b"))
-    close = shared / (F.size("terms_a") + F.size("terms_b") - shared) >= least
-    return materialise(both.where(close).select("a", "b"), "simhash-links")
+    return materialise(both.where(shared / (F.col("size_a") + F.col("size_b") - shared) >= least).select("a", "b"), "simhash-links")
 
 
 def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Candidates (a, b, far, degree) of nodes and sets (node, terms, size) to (node, component) by those whose sets are similar.
 
-    First each component's greatest hub is verified, then its nearest candidate, so that groups of near
+    First each node's greatest hub and its nearest candidate are verified, so that groups of near
     copies grow together by few comparisons, then every candidate that is left between two components.
     What failed is then compared with the best linked node of the other's component.
     """
     def between(left: DataFrame, comp: DataFrame) -> DataFrame:
         for e in "ab":
             named = comp.select(F.col("node").alias(e), F.col("component").alias(f"comp_{e}"))
-            left = left.drop(f"comp_{e}").join(named, e, "left").withColumn(f"comp_{e}", F.coalesce(f"comp_{e}", e))
+            left = left.join(named, e, "left").withColumn(f"comp_{e}", F.coalesce(f"comp_{e}", e))
         return left.where("comp_a <> comp_b")
 
     def sorted_ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    links = comp = tested = None
-    left = edges.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")})
-    for order in (["minus", "far"], ["far", "minus"], None):
-        picked = left
-        if order:
-            first = F.min(F.struct(*order, "a", "b")).alias("e")
-            picked = left.withColumn("minus", -F.col("degree")).groupBy("comp_a").agg(first).select("e.a", "e.b")
-        picked = materialise(sorted_ends(picked), "simhash-picked")
-        new = _verified(picked, sets, least)
-        tested = picked if tested is None else tested.union(picked)
-        if comp is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
+    hub, near = F.struct((-F.col("degree")).alias("minus"), "far", "b"), F.struct("far", (-F.col("degree")).alias("minus"), "b")
+    first = edges.groupBy("a").agg(F.min(hub).alias("hub"), F.min(near).alias("near"))
+    tested = materialise(sorted_ends(first.select("a", F.explode(F.array("hub.b", "near.b")).alias("b"))), "simhash-picked")
+    links = _verified(tested, sets, least)
+    comp = connected_components(links)
+    rest = sorted_ends(edges.select("a", "b")).join(tested, ["a", "b"], "left_anti")
+    for _ in range(1 + LEADER_ROUNDS):
+        picked = materialise(between(rest, comp).select("a", "b"), "simhash-picked")
+        new = _verified(picked, sets, least) if not picked.isEmpty() else picked
+        tested = tested.union(picked)
+        if not new.isEmpty():
+            links = links.union(new)
             comp = connected_components(links)
-        left = materialise(between(edges.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti"), comp), "simhash-left")
-        if left.isEmpty():
-            break
-    for _ in range(LEADER_ROUNDS):
-        ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        leaders = ends.join(comp, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("leader"))
+        # what failed meets the leader of the other's component
+        linked = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        leaders = linked.join(comp, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("b"))
         failed = between(tested, comp)
-        known = materialise(failed.select("a", "comp_b").union(failed.select("b", "comp_a")).toDF("a", "component").distinct().join(leaders, "component").select("a", F.col("leader").alias("b")), "simhash-led")
-        picked = materialise(sorted_ends(known).join(tested, ["a", "b"], "left_anti"), "simhash-picked")
-        new = _verified(picked, sets, least)
-        if new.isEmpty():
+        led = failed.select("a", "comp_b").union(failed.select("b", "comp_a")).toDF("a", "component").distinct().join(leaders, "component")
+        rest = materialise(sorted_ends(led).join(tested, ["a", "b"], "left_anti"), "simhash-led")
+        if rest.isEmpty():
             break
-        tested, links = tested.union(picked), links.union(new)
-        comp = connected_components(links)
     return comp
 
 
