@@ -11,6 +11,15 @@ FIELDS = {
     "token": "[0-9a-f]{40}",
 }
 RULES = {"r_with": "with", "r_avec": "avec", "r_shall": "shall", "r_at": "@"}
+#: What a request for proposals is read for: obligations, dates, amounts, submission and evaluation.
+PROCUREMENT = {
+    "obligation": "(^|[^A-Za-z])([Ss]hall|[Mm]ust|[Ii]s required to)([^A-Za-z]|$)",
+    "deadline": "(^|[^A-Za-z])([Dd]eadline|[Dd]ue (date|by|on)|[Nn]o later than|[Cc]losing date)([^A-Za-z]|$)",
+    "date": "(^|[^0-9])[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])([^0-9]|$)",
+    "amount": "([$]|USD |EUR |GBP )[0-9]{1,3}(,?[0-9]{3})*([.][0-9]{2})?([^0-9]|$)",
+    "submission": "(^|[^A-Za-z])([Ss]ubmit|[Ss]ubmission|[Ss]ealed bids?)([^A-Za-z]|$)",
+    "evaluation": "([Ee]valuation criteria|[Aa]ward criteria|[Ss]cored? (on|by)|[Ww]eight(ing|ed))",
+}
 PARTS = {"title": "<title>([^<]*)</title>", "link": '<a href="([^"]*)"', "paragraph": "<p>([^<]*)"}
 
 #: Equal patterns that Java matches in time linear in the text: a local part is tried only where its run of

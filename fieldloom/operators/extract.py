@@ -44,6 +44,16 @@ def rules_of(table: DataFrame) -> dict[str, str]:
     return {r["rule_id"]: r["pat"] for r in rows}
 
 
+def passage_rules(items: DataFrame, words: int = 6) -> DataFrame:
+    """(item_id, text) to a table of rules (rule_id, pat): the first words of each text, as they stand; shorter texts give none.
+
+    Marks of regular expressions are taken literally.
+    """
+    start = F.regexp_extract("text", "^[^ ]+" + "( [^ ]+)" * (words - 1), 0)
+    plain = F.regexp_replace(start, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    return items.where(start != "").select(F.col("item_id").cast("string").alias("rule_id"), plain.alias("pat"))
+
+
 def match_rules(segments: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """(rule_id, n_segs, n_docs): the segments each rule matches and the documents they are of; rules without one are left out.
 

@@ -1,7 +1,7 @@
 """The extraction over files as they arrive: the batch operators unchanged, and a report by window.
 
 Nulls, empty and very long texts, repeated rows and other columns count as in the batch operators; a
-file is read once, whatever arrives later. Events without a time are let go; values that are null
+file is read once, whatever arrives later. Records are kept up over batches, also of documents without a doc_id (as one). Events without a time are let go; values that are null
 or not finite count as events and add nothing; an empty folder gives no rows.
 """
 
@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from fieldloom.functions.patterns import FIELDS
 from fieldloom.operators import extract
 from fieldloom.sources.tables import TEXT_SCHEMA, stream
 
@@ -46,9 +48,35 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -
     return sums.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
-def upsert_records(found: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Resolve each micro-batch to records and hand them to an idempotent sink with the batch's number."""
-    def one(batch: DataFrame, number: int) -> None:
-        write(extract.record(extract.resolve(batch)), number)
+def live_records(found: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """A record a document as record(resolve()) makes it, as one aggregate by doc_id: over a stream, its state is each document's best match of each field so far."""
+    fields = list(FIELDS) if fields is None else fields
+    best = [F.min(F.when(F.col("field") == f, F.struct("n", "value"))).alias(f) for f in fields]
+    return found.where(F.col("field").isin(fields)).groupBy("doc_id").agg(*best).select("doc_id", *[F.col(f"{f}.value").alias(f) for f in fields])
 
-    return found.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def upsert_records(found: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, fields: list[str] | None = None) -> StreamingQuery:
+    """Hand the whole records of the documents that each micro-batch touches to an idempotent sink, with the batch's number.
+
+    What earlier batches held of a document is in the stream's state, so that a record is the same
+    whether its document comes in one batch or in many. State grows with the documents that have
+    a field; it is kept as the session's state store keeps it.
+    """
+    return live_records(found, fields).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def records_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, files_per_batch: int = 1000, fields: dict[str, str] | None = None) -> DataFrame:
+    """Records of the documents files of a folder, upserted into path; returns each document's last version.
+
+    A batch's records are a folder of their own, written over if the batch is run again.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    found = extract.candidates(stream(spark, folder, "documents*.parquet", TEXT_SCHEMA, files_per_batch), fields)
+    upsert_records(found, write, checkpoint, fields and list(fields)).awaitTermination()
+    names = list(FIELDS if fields is None else fields)
+    schema = ", ".join(["doc_id long", *[f"{f} string" for f in names], "batch long"])
+    versions = spark.read.schema(schema).parquet(path)
+    last = versions.groupBy("doc_id").agg(F.max_by(F.struct(*names), "batch").alias("r"))
+    return last.select("doc_id", *[F.col(f"r.{f}").alias(f) for f in names])

@@ -116,3 +116,55 @@ def test_empty_tables(spark):
     found = extract.candidates(d)
     for df in (extract.segment(d), found, extract.resolve(found), extract.record(extract.resolve(found)), extract.gaps(d, found)):
         assert df.count() == 0
+
+
+def test_fuzzy_matches_are_all_within_the_edits(spark):
+    import random
+
+    from fieldloom.operators import fuzzy
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(150)})
+    terms = ["abcabc", "", "a", "bbbb", "caba", "abcabc", None]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *following(row, i, x, b)]
+        return row[-1]
+
+    def following(row, i, x, b):
+        out, left = [], i
+        for j, y in enumerate(b, 1):
+            left = min(row[j] + 1, left + 1, row[j - 1] + (x != y))
+            out.append(left)
+        return out
+
+    found = spark.createDataFrame([(w, k, "x") for k, w in enumerate(words)], "word string, n_docs long, common string")
+    table = spark.createDataFrame([(t, "y") for t in terms], "term string, common string")
+    for k in (0, 1, 2):
+        got = sorted(map(tuple, fuzzy.fuzzy_matches(found, table, k).collect()))
+        assert got == sorted((t, w, edits(t, w), n) for t in set(terms) - {None} for n, w in enumerate(words) if edits(t, w) <= k)
+    assert fuzzy.fuzzy_matches(found.limit(0), table).count() == fuzzy.fuzzy_matches(found, table.limit(0)).count() == 0
+    rows = fuzzy.words(spark.createDataFrame([(None,), ("",), ("Letters LETTERS letters, short KurzK",), ("letters",)], "text string"))
+    assert {tuple(r) for r in rows.collect()} == {("letters", 2)}
+
+
+def test_rules_of_a_table_take_marks_as_they_are(spark):
+    items = spark.createDataFrame([(1, "one (two) three. four [5] six* seven"), (2, "too short"), (3, None), (4, "a b c d e f")], "item_id long, text string")
+    rules = extract.rules_of(extract.passage_rules(items))
+    assert set(rules) == {"1", "4"}
+    segments = spark.createDataFrame([(1, "x one (two) three. four [5] six* y"), (1, "one (two) three! four [5] six*"), (2, "a b c d e f")], "doc_id long, seg string")
+    assert {tuple(r) for r in extract.match_rules(segments, rules).collect()} == {("1", 1, 1), ("4", 1, 1)}
+
+
+def test_procurement_rules_on_hand_written_documents(spark):
+    from fieldloom.functions.patterns import PROCUREMENT
+
+    lines = [
+        "The Contractor shall deliver all reports.", "Bidders must sign.", "A marshal and a mustard seed.", "Proposals are due by noon, no later than 2025-03-31.",
+        "The ceiling is USD 1,250,000.00 in total.", "It costs $5 a day.", "Order 2025-13-41 is no date.", "Submit two sealed bids.", "Award criteria are weighted.", "",
+    ]
+    docs = spark.createDataFrame([(1, "\n".join(lines[:5])), (2, "\n".join(lines[5:])), (3, None)], "doc_id long, text string")
+    got = {r["rule_id"]: (r["n_segs"], r["n_docs"]) for r in extract.match_rules(extract.segment(docs), PROCUREMENT).collect()}
+    assert got == {"obligation": (2, 1), "deadline": (1, 1), "date": (1, 1), "amount": (2, 2), "submission": (1, 1), "evaluation": (1, 1)}

@@ -24,16 +24,31 @@ def test_windows_of_odd_values(spark):
     assert got == [("a", 4, 1.5)]
 
 
-def test_records_are_upserted_by_batch(spark, sf, tmp_path):
+def test_records_of_a_document_that_comes_in_several_batches(spark, tmp_path):
+    rows = [
+        [(1, "call +1 (555) 123-4567 now"), (2, "mail b@x.org"), (None, "10.0.0.2")],
+        [(1, "mail me a@x.org, a0@x.org; +1 (555) 000-0000"), (3, "nothing"), (2, "mail a@x.org")],
+        [(2, "10.0.0.1"), (None, "c@x.org 10.0.0.1"), (1, "")],
+    ]  # each a file, and a batch
+    for k, part in enumerate(rows):
+        spark.createDataFrame([(i, t, "en", "s", 0) for i, t in part], TEXT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    got = streaming.records_stream(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "state"), 1)
+    whole = table(spark, str(tmp_path), "documents")
+    want = extract.record(extract.resolve(extract.candidates(whole)))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r["doc_id"]: (r["email"], r["phone"], r["ip"]) for r in got.collect()} == {1: ("a@x.org", "+1 (555) 000-0000", None), 2: ("a@x.org", None, "10.0.0.1"), None: ("c@x.org", None, "10.0.0.1")}
+
+
+def test_upserted_records_end_as_those_of_the_table(spark, sf, tmp_path):
     seen = {}
 
     def write(records, number):
-        seen.setdefault(number, []).extend(records.collect())
+        seen.update({r["doc_id"]: r for r in records.collect()})
 
     found = extract.candidates(stream(spark, sf, "documents*.parquet", TEXT_SCHEMA))
     streaming.upsert_records(found, write, str(tmp_path / "state")).awaitTermination()
     batch = extract.record(extract.resolve(extract.candidates(table(spark, sf, "documents")))).collect()
-    assert sorted(map(tuple, [r for rows in seen.values() for r in rows]), key=str) == sorted(map(tuple, batch), key=str)
+    assert sorted(map(tuple, seen.values()), key=str) == sorted(map(tuple, batch), key=str)
 
 
 def test_segments_of_a_stream(spark, sf, tmp_path):
