@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from fieldloom.sources.shared import shared_path
 LEAST_HUB, HUBS = 1000, 50_000
 
 
+#: Edges that a task makes stars of at a time.
+EDGES_HELD = 1 << 21
 #: Where materialise() put its tables.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -70,20 +74,41 @@ def _to_lowest(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
     return marked.where("hub IS NOT NULL").select("v", F.col("hub_w").alias("w")).union(rest.select("v", "w"))
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v), some at a time, to stars that connect the same nodes."""
+    parts, held = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return star_edges(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    for batch in batches:
+        parts.append(tuple(batch.column(k).to_numpy() for k in range(2)))
+        held += batch.num_rows
+        if held > EDGES_HELD:
+            parts = [joined()]
+            held = len(parts[0][0])
+            if held > EDGES_HELD // 2:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, parts[0])), ["u", "v"])
+                parts, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, joined())), ["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs to (node, component): component is the smallest node that can be reached.
 
-    Alternating large-star and small-star rounds. Neighbourhoods are never collected: each
-    round takes minima by key, which combine before the shuffle, and joins them back. Every round is
+    Alternating large-star and small-star rounds, behind each of which tasks make stars of the edges they
+    hold. Neighbourhoods are never collected: each round takes minima by key, which combine before the shuffle, and joins
+    them back. Every round is
     a table in the shared folder, deleted once the next one is there; rounds grow with the logarithm
     of the nodes. Nodes without an edge to another node are not in the result.
     """
     def table(df: DataFrame) -> tuple[DataFrame, tuple]:
-        out = materialise(df.distinct(), "components")
+        out = materialise(df.distinct().mapInArrow(_stars, "u long, v long"), "components")
         mark = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return out, tuple(mark)
 
-    now, mark = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
+    now, mark = table(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v"))
     while mark[0]:
         limit = max(LEAST_HUB, 2 * mark[0] // HUBS)
         both = now.union(now.select("v", "u"))
