@@ -5,7 +5,8 @@ went and whether the template rewrote what it had rendered before; two probes of
 in the turn's place show where its text lies between the marks around it.
 
 Every prefix is rendered and compared, however long the conversation; its cost grows with the square
-of a conversation's length. A caller who knows that a template looks no further back than some turns
+of a conversation's length. Prefixes don't need each other: a conversation of more than PART turns is dealt to
+several tasks, each of which has the turns up to the end of a part and renders the prefixes of its own part's turns. A caller who knows that a template looks no further back than some turns
 may give that number as `window`: later turns are then rendered behind so many only, and the joined
 output is compared with the whole where turns have doubled and at the end. What a template does to
 older turns in between, and undoes, is not seen then.
@@ -13,8 +14,8 @@ older turns in between, and undoes, is not seen then.
 Cases: null texts and roles are empty; turns of equal number follow by role, then text; null turns
 come first; rows with a null conv_id form one conversation; repeated rows are turns of their own;
 an empty table gives no conversations; columns of other names are not read. A conversation that
-the template rewrites is flagged, and has no spans and no loss. All turns of one conversation are
-held in one task, as its output is one string; conversations are held one at a time.
+the template rewrites is flagged, and has no spans and no loss. A task holds the turns of one conversation at
+a time, as its output is one string.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from functools import lru_cache
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import materialise
+
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
 Span = tuple[int, int, int]
@@ -36,6 +39,8 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[END]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _MARK = re.compile(r"<s>(\[INST\]) |\[ROLE\](.*?)\[/ROLE\] | ", re.DOTALL)
+#: Turns of a long conversation that one task renders the prefixes of.
+PART = 256
 #: Turns of which the default template remembers the rendering.
 REMEMBERED = 1 << 14
 #: Characters of output to hold before a batch is sent on.
@@ -105,36 +110,44 @@ def _locate_far(render: Render, turns: list[Turn], now: str, spans: list[Span],
     return parts[0], spans
 
 
-def locate(render: Render, turns: list[Turn], window: int | None = None) -> tuple[str, list[Span] | None]:
-    """The output, and for each turn (start, text start, text end) in it; None if history was rewritten."""
+def locate(render: Render, turns: list[Turn], window: int | None = None, first: int = 0) -> tuple[str, list[Span] | None]:
+    """The output, and for each turn from the first one on (start, text start, text end) in it; None if history was rewritten."""
     spans: list[Span] = []
-    now = render([])
-    for k, turn in enumerate(turns):
+    now, safe = render(turns[:first]), 0
+    if first:  # where the turn before ends, nothing may change
+        found = _step(render, render(turns[: first - 1]), turns[: first - 1], *turns[first - 1], 0)
+        if not found:
+            return render(turns), None
+        safe = found[1][2]
+    for k, turn in enumerate(turns[first:], first):
         if k == window and (far := _locate_far(render, turns, now, spans, window)):
             return far
-        found = _step(render, now, turns[:k], *turn, spans[-1][2] if spans else 0)
+        found = _step(render, now, turns[:k], *turn, safe)
         if not found:
             return render(turns), None
         now, span = found
+        safe = span[2]
         spans.append(span)
     return now, spans
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[Turn]]]:
-    """Turns in order of conversation, to whole conversations; one may go on in the next batch."""
-    open_, turns = False, []
-    key = None
+def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], list[Turn]]]:
+    """Turns in order of conversation and part, to those of each; one may go on in the next batch."""
+    key, turns = None, []
     for batch in batches:
-        for conv, role, text in zip(batch["conv"], batch["role"], batch["text"], strict=True):
-            if open_ and conv != key:
+        for conv, part, role, text in zip(batch["conv"], batch["part"], batch["role"], batch["text"], strict=True):
+            if key is not None and (conv, part) != key:
                 yield key, turns
                 turns = []
-            open_, key = True, conv
+            key = conv, part
             turns.append((role, text))
-    if open_:
+    if key is not None:
         yield key, turns
 
 
+SPANS = "spans array<struct<start: int, text_start: int, text_end: int, loss: boolean>>"
+
+
 def format_conversations(conversations: DataFrame, render: Render = instruct, loss_role: str = "assistant", window: int | None = None) -> DataFrame:
     """(conv_id, turn, role, text) to (conv_id, formatted, spans, rewritten).
 
@@ -142,24 +155,45 @@ def format_conversations(conversations: DataFrame, render: Render = instruct, lo
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
-        for conv, turns in _conversations(batches):
-            out, spans = locate(render, turns, window)
-            marked = [{"start": s, "text_start": a, "text_end": b, "loss": role == loss_role} for (s, a, b), (role, _) in zip(spans or [], turns, strict=False)]
-            rows.append((conv or None, out, marked, spans is None))
+        columns = ["conv", "part", "formatted", "spans", "rewritten"]
+        for (conv, part), turns in _conversations(batches):
+            first = max(0, part) * PART
+            out, spans = locate(render, turns, window, first)
+            marked = [{"start": s, "text_start": a, "text_end": b, "loss": role == loss_role} for (s, a, b), (role, _) in zip(spans or [], turns[first:], strict=False)]
+            rows.append((conv, part, out, marked, spans is None))
             held += len(out)
             if held > FLUSH:
-                yield pd.DataFrame(rows, columns=["conv", "formatted", "spans", "rewritten"])
+                yield pd.DataFrame(rows, columns=columns)
                 rows, held = [], 0
-        yield pd.DataFrame(rows, columns=["conv", "formatted", "spans", "rewritten"])
+        yield pd.DataFrame(rows, columns=columns)
 
     key, text = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.coalesce("text", F.lit("")).alias("text")
-    ordered = (
-        conversations.select(key, "turn", F.coalesce("role", F.lit("")).alias("role"), text)
-        .repartition("conv")
-        .sortWithinPartitions("conv", "turn", "role", "text")
-    )
-    schema = "conv string, formatted string, spans array<struct<start: int, text_start: int, text_end: int, loss: boolean>>, rewritten boolean"
-    return ordered.mapInPandas(run, schema).select(F.col("conv").cast("long").alias("conv_id"), "formatted", "spans", "rewritten")
+    turns = conversations.select(key, "turn", F.coalesce("role", F.lit("")).alias("role"), text)
+    rows = turns.withColumn("part", F.lit(-1))
+    many = None
+    if window is None:
+        many = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
+        many = materialise(many.select("conv", F.floor((F.col("n") - 1) / PART).cast("int").alias("last")), "chat-long")
+    if many is not None and not many.isEmpty():
+        short = rows.join(many, "conv", "left_anti")
+        number = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")) - 1
+        long = turns.join(many, "conv").withColumn("own", F.floor(number / PART).cast("int"))
+        rows = short.union(long.select("conv", "turn", "role", "text", F.explode(F.sequence("own", "last")).alias("part")))
+    else:
+        many = None
+    ordered = rows.repartition("conv", "part").sortWithinPartitions("conv", "part", "turn", "role", "text")
+    found = ordered.mapInPandas(run, f"conv string, part int, formatted string, {SPANS}, rewritten boolean")
+    if many is not None:
+        found = materialise(found, "chat-parts")
+        whole = found.where("part >= 0").groupBy("conv").agg(
+            F.max_by("formatted", "part").alias("formatted"),  # the last part renders the whole
+            F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "spans"))), lambda p: p["spans"])).alias("spans"),
+            F.max("rewritten").alias("rewritten"),
+        )
+        whole = whole.withColumn("spans", F.when(F.col("rewritten"), F.array().cast(found.schema["spans"].dataType)).otherwise(F.col("spans")))
+        found = found.where("part < 0").select("conv", "formatted", "spans", "rewritten").union(whole)
+    conv_id = F.when(F.col("conv") != "", F.col("conv")).cast("long").alias("conv_id")
+    return found.select(conv_id, "formatted", "spans", "rewritten")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -110,3 +110,22 @@ def test_loss_spans_and_rewritten_flag(spark):
     assert [chat.unescape(row["formatted"][s["text_start"] : s["text_end"]]) for s in row["spans"] if s["loss"]] == ["</s>"] and not row["rewritten"]
     row = chat.format_conversations(df, lambda ts: f"{len(ts)}{ts}").first()
     assert row["rewritten"] and row["spans"] == []
+
+
+def test_parts_of_long_conversations_join_to_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 16)
+    talks = {k: [(("user", "assistant", "tool")[i * k % 3], f"turn {i} [INST] \\ é") for i in range(n)] for k, n in enumerate((1, 16, 17, 33, 130), 1)}
+    rows = [(k, i, r, t) for k, talk in talks.items() for i, (r, t) in enumerate(talk)] + [(None, i % 7, "user", f"n{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    talks[None] = [("user", f"n{i}") for i in sorted(range(40), key=lambda i: (i % 7, f"n{i}"))]
+
+    def check(render, broken):
+        for r in chat.format_conversations(df, render).collect():
+            talk = talks[r["conv_id"]]
+            out, spans = chat.locate(render, talk)
+            assert r["formatted"] == out and r["rewritten"] == (spans is None) == broken(talk)
+            assert [(s["start"], s["text_start"], s["text_end"], s["loss"]) for s in r["spans"]] == [(*s, role == "assistant") for s, (role, _) in zip(spans or [], talk)]
+
+    check(chat.instruct, lambda talk: False)
+    check(lambda ts: ("late" if len(ts) == 100 else "") + "".join(f"<{r}>{t}" for r, t in ts), lambda talk: len(talk) >= 100)
+    check(lambda ts: "".join(f"<{r}>{t if len(ts) - i < 30 else ''}" for i, (r, t) in enumerate(ts)), lambda talk: len(talk) > 30)
