@@ -25,3 +25,6 @@ PARTS = {"title": "<title>([^<]*)</title>", "link": '<a href="([^"]*)"', "paragr
 #: Equal patterns that Java matches in time linear in the text: a local part is tried only where its run of
 #: characters (or what the last match left of it) begins, and never given back. Other engines lack these forms.
 LINEAR = {FIELDS["email"]: "(?:\\G|(?<![A-Za-z0-9._+-]))[A-Za-z0-9._+-]++@[A-Za-z0-9-]++[.][A-Za-z0-9.]*[A-Za-z0-9]"}
+
+#: A character that each match of a pattern holds; texts without it aren't searched.
+NEEDED = {FIELDS["email"]: "@", FIELDS["phone"]: "+"}

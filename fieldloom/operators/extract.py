@@ -9,10 +9,10 @@ results; columns of other names are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.patterns import FIELDS, LINEAR, PARTS, RULES
+from fieldloom.functions.patterns import FIELDS, LINEAR, NEEDED, PARTS, RULES
 
 #: A table of rules holds at most so many: they become part of the plan.
 RULE_ROWS = 1000
@@ -30,7 +30,12 @@ def candidates(docs: DataFrame, fields: dict[str, str] | None = None) -> DataFra
     All patterns are matched in one pass over the texts.
     """
     fields = FIELDS if fields is None else fields
-    found = [F.struct(F.lit(name).alias("field"), F.regexp_extract_all("text", F.lit(LINEAR.get(p, p)), F.lit(0)).alias("values")) for name, p in fields.items()]
+
+    def values_of(pattern: str) -> Column:
+        values = F.regexp_extract_all("text", F.lit(LINEAR.get(pattern, pattern)), F.lit(0))
+        return F.when(F.contains(F.col("text"), F.lit(NEEDED[pattern])), values) if pattern in NEEDED else values
+
+    found = [F.struct(F.lit(name).alias("field"), values_of(p).alias("values")) for name, p in fields.items()]
     by_field = docs.select("doc_id", F.explode(F.array(*found)).alias("f")).where(F.size("f.values") > 0)
     values = by_field.select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.values").alias("at", "value"))
     return values.select("doc_id", "field", (F.col("at") + 1).cast("long").alias("n"), "value")
