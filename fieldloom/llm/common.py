@@ -18,7 +18,7 @@ LEAST_HUB, HUBS = 1000, 50_000
 
 
 #: Edges that a task makes stars of at a time.
-EDGES_HELD = 1 << 21
+EDGES_HELD = 1 << 19
 #: Where materialise() put its tables.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 

@@ -104,7 +104,9 @@ SIMILAR = Rule(shingle=5, bits=29, words=2, recall=0.95, error=0.1515, longest_k
 #: Candidates that each text keeps under a key: its nearest ones, and those that most others are near to.
 NEAREST, HUBS = 2, 1
 #: Pairs of a batch of keys held at a time.
-PAIRS_HELD = 1 << 20
+PAIRS_HELD = 1 << 18
+#: Tables of up to so many numbers of rows are broadcast, so that texts stay where they are; longer ones are joined by shuffle.
+BROADCAST_ROWS = 4_000_000
 #: A set meets so many others in one task, about.
 MOST_PAIRS = 1024
 #: Times at most that failed candidates are compared with the leaders of components.
@@ -478,6 +480,11 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return comp
 
 
+def _few(numbers: DataFrame) -> DataFrame:
+    """A table of numbers of rows, to be broadcast if it is short."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
+
+
 def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (null last), then by hash of text and of the rest.
 
@@ -503,7 +510,7 @@ def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     edges = materialise(_candidate_edges(prints, rule).union(twins), "simhash-candidates")
     ends = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
     chosen = materialise(named.join(ends, "name").select(F.col("name").alias("node"), "size", F.col("k.number").alias("number")), "simhash-chosen")
-    texts = rows.select("number", F.col("row.text").alias("text")).join(chosen, "number")
+    texts = rows.select("number", F.col("row.text").alias("text")).join(_few(chosen), "number")
     comp = _similar(edges, materialise(texts.select("node", "size", _sets(rule).alias("terms")), "simhash-sets"), rule.similarity)
     comp = named.join(comp, F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
     comp = materialise(comp.select(*words, "terms", "size", "comp", "k"), "simhash-components")
@@ -512,7 +519,7 @@ def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     several = rows.groupBy(*words, "terms", "size").agg(F.count(F.lit(1)).alias("n")).join(comp, [*words, "terms", "size"]).join(kept, "comp")
     several = several.where((F.col("n") > 1) | (F.col("k.number") != F.col("kept"))).select(*words, "terms", "size", "kept")
     gone = rows.select("number", *words, "terms", "size").join(several, [*words, "terms", "size"]).where("number <> kept").select("number")
-    return rows.join(materialise(gone, "simhash-gone"), "number", "left_anti").select("row.*")
+    return rows.join(_few(materialise(gone, "simhash-gone")), "number", "left_anti").select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
