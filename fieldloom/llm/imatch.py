@@ -228,7 +228,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
 
     schema = "part int, guest int, named boolean, id long, hash long, text string, n long"
     rows = _rows(docs).mapInArrow(deal, schema)
-    return rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", "named", "id", "hash", "text")
+    return rows.repartitionById(ranges.unnamed + len(ranges.cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", "named", "id", "hash", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
