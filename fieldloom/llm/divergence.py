@@ -22,13 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import materialise
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of UTF-8 to those of terms: A-Z to a-z, other ASCII but a-z to a space.
+IN_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIN_DF, LARGEST = 30, 2**31 - 1
 #: Shares are of so many parts, and each term counts so much more than it occurs.
 WHOLE, MORE = 1_000_000_000, 5
@@ -36,48 +40,148 @@ WHOLE, MORE = 1_000_000_000, 5
 TOP = 50
 #: Kept terms that one vocabulary holds, about, and the part of all terms that is counted to estimate how many there are.
 SHARD, COUNTED = 1_000_000, 64
+#: Entries of sparse vectors that a task holds, and numbers of terms whose sums are sent together.
+ENTRIES, STRETCH_BITS = 1 << 22, 12
+STRETCH = 1 << STRETCH_BITS
 #: Sources, and terms, that a task compares at a time.
 TILE, BLOCK = 128, 2048
 #: Tables of up to so many groups are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text looked at a time.
+CHARACTERS = 1 << 22
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): terms with their language in front, lower-cased in A-Z only. No term holds a space, so the last one parts them."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0))
-    lang, source = (F.coalesce(c, F.lit("")) for c in ("lang", "source"))
-
-    def lower(term: Column) -> Column:
-        return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(term, UPPER, UPPER.lower()))
+def _plain(text: pa.Array) -> pa.Array:
+    """The texts, without nulls, with IN_TERMS in place of their bytes: none changes its length."""
+    text = text.cast(pa.string())
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    held = text.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    return pa.StringArray.from_buffers(len(text), pa.py_buffer(ends - ends[0]), pa.py_buffer(held.translate(IN_TERMS)))
 
-    return docs.select(lang.alias("lang"), source.alias("source"), F.transform(found, lambda t: F.concat(lang, F.lit(" "), lower(t))).alias("terms"))
 
+def named(docs: DataFrame) -> DataFrame:
+    """(lang, source, terms, counted), as a table: terms lower-cased in A-Z only, with their language in front, and those of them in one of COUNTED parts.
 
-def _dealt_to(term: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(term, F.lit("shard")), F.lit(shards))
+    No term holds a space, so the last one parts a term from its language.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            step = max(1, batch.num_rows * CHARACTERS // max(CHARACTERS, size))
+            for i in range(0, batch.num_rows, step):
+                lang, source, text = (batch.slice(i, step).column(c) for c in ("lang", "source", "text"))
+                found = pc.ascii_split_whitespace(_plain(text))
+                offsets, terms = found.offsets.to_numpy().astype(np.int64) - found.offsets[0].as_py(), found.flatten()
+                full = pc.not_equal(pc.binary_length(terms), 0).to_numpy(zero_copy_only=False)  # texts may begin or end between terms
+                offsets = np.r_[0, np.cumsum(full)][offsets]
+                langs = lang.take(pa.array(np.repeat(np.arange(len(lang)), np.diff(offsets))))
+                terms = pc.binary_join_element_wise(langs, terms.filter(pa.array(full)), " ")
+                coded = terms.dictionary_encode()
+                chosen = np.fromiter((xxhash.xxh3_64_intdigest(t) % COUNTED == 0 for t in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+                chosen = chosen[coded.indices.to_numpy()] if len(chosen) else np.zeros(0, bool)
+                counted = terms.filter(pa.array(chosen))
+                columns = [lang, source, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), terms), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(chosen)][offsets], pa.int32()), counted)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "terms", "counted"])
+
+    rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    return materialise(rows.mapInArrow(run, "lang string, source string, terms array<string>, counted array<string>"), "divergence-terms")
 
 
 def shards_of(rows: DataFrame) -> int:
     """How many vocabularies the kept terms take, from the exact number of those in one of COUNTED parts of all terms."""
-    part = F.array_distinct(F.filter("terms", lambda t: _dealt_to(t, COUNTED) == 0))
-    kept = rows.select(F.explode(part).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DF)
+    kept = rows.select(F.explode(F.array_distinct("counted")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DF)
     return max(1, -(-kept.count() * COUNTED // SHARD))
 
 
+def group_sums(vectors: DataFrame) -> DataFrame:
+    """Sparse vectors (source, at, n) to their sums by source, a row (source, at, n) for each entry.
+
+    A task adds up what it reads and sends, for each source, its entries in stretches of STRETCH numbers.
+    """
+    def add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        return key[first], np.add.reduceat(n, first)
+
+    def sent(names: list[str], key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        group = key // STRETCH
+        first = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0]
+        offsets = pa.array(np.r_[first, len(key)], pa.int32())
+        source = pa.array(names, pa.string()).take(pa.array(group[first] // (1 << 32 - STRETCH_BITS)))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((key % (1 << 32)).astype(np.int32), n)]
+        return pa.RecordBatch.from_arrays([source, pa.array((group[first] % (1 << 32 - STRETCH_BITS)).astype(np.int32)), *lists], ["source", "stretch", "at", "n"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            found, times = batch.column("at"), batch.column("n").flatten().to_numpy()
+            mine = np.array([numbers.setdefault(x, len(numbers)) for x in batch.column("source").to_pylist()], np.int64)
+            keys.append(np.repeat(mine << 32, np.diff(found.offsets.to_numpy())) + found.flatten().to_numpy())
+            counts.append(times.astype(np.int64))
+            held += len(times)
+            if held > ENTRIES:
+                key, n = add(keys, counts)
+                keys, counts, held = [key], [n], len(key)
+                if held > ENTRIES // 2:
+                    yield sent(list(numbers), key, n)
+                    keys, counts, held = [], [], 0
+        if held:
+            yield sent(list(numbers), *add(keys, counts))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of source and stretch; of a stretch one sum at a time is held."""
+        open_: tuple | None = None
+        held, done, size = np.zeros(STRETCH, np.int64), [], 0
+
+        def close() -> None:
+            at = held.nonzero()[0]
+            done.append((open_[0], at + open_[1] * STRETCH, held[at]))
+            held[:] = 0
+
+        def batch_of() -> pa.RecordBatch:
+            source = pa.array([s for s, _, _ in done], pa.string()).take(pa.array(np.repeat(np.arange(len(done)), [len(at) for _, at, _ in done])))
+            return pa.RecordBatch.from_arrays([source, pa.array(np.concatenate([at for _, at, _ in done]).astype(np.int32)), pa.array(np.concatenate([n for _, _, n in done]))], ["source", "at", "n"])
+
+        for batch in batches:
+            at, n = batch.column("at"), batch.column("n")
+            offsets = (at.offsets.to_numpy() - at.offsets[0].as_py()).tolist()
+            at, n = at.flatten().to_numpy(), n.flatten().to_numpy()
+            for source, stretch, a, b in zip(batch.column("source").to_pylist(), batch.column("stretch").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                if open_ != (source, stretch):
+                    if open_:
+                        close()
+                    open_ = source, stretch
+                held[at[a:b] - stretch * STRETCH] += n[a:b]  # a row has each number once
+                size += b - a
+            if size > ENTRIES and done:
+                yield batch_of()
+                done, size = [], 0
+        if open_:
+            close()
+            yield batch_of()
+
+    parts = vectors.where(F.size("at") > 0).mapInArrow(partial, "source string, stretch int, at array<int>, n array<long>")
+    ordered = parts.repartition("source", "stretch").sortWithinPartitions("source", "stretch")
+    return ordered.mapInArrow(total, "source string, at int, n long")
+
+
 def group_counts(rows: DataFrame, shards: int) -> DataFrame:
     """(lang, source, term, n): the occurrences of each kept term in each group that has any, as a table."""
     found = None
     for k in range(shards):
-        mine = rows if shards == 1 else rows.withColumn("terms", F.filter("terms", lambda t: _dealt_to(t, shards) == k))  # noqa: B023
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=MIN_DF, vocabSize=LARGEST).fit(mine)
+        mine = rows if shards == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k))  # noqa: B023
+        # a vocabulary depends on documents only, not on how often they repeat a term
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=MIN_DF, vocabSize=LARGEST).fit(mine.select(F.array_distinct("terms").alias("terms")))
         spark, vocabulary = rows.sparkSession, model.vocabulary
         if not vocabulary:
             continue
         words = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(vocabulary), dtype=np.int32), "named": vocabulary}))
         vector = F.unwrap_udt("vector")
-        entries = model.transform(mine).select("source", F.inline(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("n"))))
-        sums = entries.groupBy("source", "at").agg(F.sum(F.col("n").cast("long")).alias("n"))  # a term's number tells its language
+        vectors = model.transform(mine).select("source", vector["indices"].alias("at"), vector["values"].alias("n"))
+        sums = group_sums(vectors)  # a term's number tells its language
         last = F.length("named") - F.instr(F.reverse("named"), " ") + 1
         words = words.select("at", F.substring("named", F.lit(1), last - 1).alias("lang"), F.substring("named", last + 1, F.length("named")).alias("term"))
         part = materialise(sums.join(words, "at").select("lang", "source", "term", "n"), "divergence-counts")
@@ -144,7 +248,7 @@ def divergences(docs: DataFrame) -> DataFrame:
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     kept = materialise(kept.withColumn("slot", F.monotonically_increasing_id()), "divergence-terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("lang_n").alias("lang_total"))
-    groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = rows.select("lang", "source").distinct()
     zero, total, n_terms = F.lit(0).cast("long"), F.col("total"), F.col("n_terms")
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "n_terms", "lang_total"])
     groups = materialise(groups.withColumn("none", F.when(n_terms > 0, share(zero, total, n_terms)).otherwise(zero)), "divergence-groups")
