@@ -40,8 +40,8 @@ INJECTED, EMPTIEST = (0.02, 0.1), 0.02
 NOISE = (0.0, 0.0, 64.0, 512.0)
 #: Bins less full than this are opened again in the last round.
 FULL = 0.97
-#: Distinct parts of words that a worker remembers the ids of.
-CACHE_WORDS = 1_000_000
+#: Distinct parts of words that a worker remembers the ids of, about; what a worker holds grows by some 700 bytes with each.
+CACHE_WORDS = 200_000
 #: Characters tokenized at a time.
 BLOCK = 1 << 22
 
@@ -83,8 +83,9 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.full, self.plain = (Tokenizer.from_file(path) for _ in range(3))
-        settings = json.loads(self.whole.to_str())
+        self.path, self._whole = path, None
+        self.full = Tokenizer.from_file(path)
+        settings = json.loads(self.full.to_str())
         model = {k: v for k, v in settings["model"].items() if k not in ("vocab", "merges")}
         added = settings["added_tokens"]
         self.special = [t["content"] for t in added]
@@ -94,7 +95,8 @@ class Words:
         if not self.by_word:
             return
         # Texts that hold an added token are encoded whole; in words of all others it is ordinary text.
-        self.full.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.full.encode_special_tokens = True
+        self.plain = Tokenizer(self.full.model)  # the same merges, held once
         # Normalising leaves lower-case letters of Latin-1 as they are, and they are never parted.
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -103,6 +105,15 @@ class Words:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
+    @property
+    def whole(self):
+        """The tokenizer as it stands, loaded when the first text needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _forget(self) -> None:
         self.number = {"": 0}
         self.flat, self.start = np.zeros(1 << 20, np.uint32), np.zeros((1 << 20) + 1, np.int64)

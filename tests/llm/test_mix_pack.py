@@ -173,6 +173,17 @@ def test_ids_word_by_word_are_the_tokenizers(texts):
     assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_remembered_words_are_bounded():
+    words = packing.Words(packing.default_vocabulary())
+    for k in range(4):
+        texts = [" ".join(f"w{k}x{i}y" for i in range(a, a + 1000)) for a in range(0, 120_000, 1000)]
+        for text, ids in zip(texts, words.encode(pa.array(texts)), strict=True):
+            last = text, ids.tolist()
+        assert last[1] == [*WORDS.whole.encode(last[0], add_special_tokens=False).ids, 0]
+        assert len(words.number) <= 340_000  # a worker's memory grows with them
+
+
+
 def test_any_other_tokenizer_is_asked_for_whole_texts():
     import public_tokenizers
 
