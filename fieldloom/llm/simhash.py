@@ -11,7 +11,9 @@ of segments, see Rule. They are pairs of up to 29 bits, and link if their sets o
 whole, are that similar. Under each key a text's candidates are its nearest ones and its hub, the one that
 most others there are near to: a family of copies of one text, each edited elsewhere, is similar to
 that text and not to each other, and the nearest by chance are others. Hubs are compared first; what a failed comparison
-leaves apart is compared with the best linked text of the other's component, until that links nothing more.
+leaves apart is compared with the best linked text of the other's component, a few times. What that leaves between components
+is found exactly: two sets so similar share one of their rarest shingles (a prefix filter), and all pairs of
+different components that do are compared, so keep_one misses no link, whatever the fingerprints missed.
 
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint and so a component; rows with a null doc_id get a component but never name one,
@@ -109,8 +111,12 @@ PAIRS_HELD = 1 << 18
 BROADCAST_ROWS = 4_000_000
 #: A set meets so many others in one task, about.
 MOST_PAIRS = 1024
-#: Times at most that failed candidates are compared with the leaders of components.
+#: Times at most that failed candidates are compared with the leaders of components, before all that is left is.
 LEADER_ROUNDS = 2
+#: Shingles known to be common (most often in one of COUNTED texts) come last where rare ones are wanted; any number of them gives the same links.
+COMMON = 1 << 18
+#: Texts of a shingle that meet so many others in one task, about.
+MET = 4096
 
 
 def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
@@ -480,6 +486,62 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return comp
 
 
+def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The rarest of a set's shingles, rarest first, so many that any set as similar shares one of them; common is sorted pairs (shingle, place)."""
+    if not len(found):
+        return found
+    at = np.minimum(np.searchsorted(common[:, 0], found), max(0, len(common) - 1))
+    place = np.where(common[at, 0] == found, common[at, 1], -1) if len(common) else np.zeros(len(found), np.int64)
+    return found[np.lexsort((found, place))][: len(found) - math.ceil(least * len(found) - 1e-6) + 1]
+
+
+def _left_apart(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, comp, size, text) to all pairs (a, b) of nodes in different components that may be similar, as a table.
+
+    Sets of sizes m and n as similar share at least least / (1 + least) (m + n) shingles, so the first of these, in an order
+    that all sets have in common, has as many from it on in both. Pairs inside the component that holds most
+    of a shingle's texts are never made.
+    """
+    least = rule.similarity
+    part = texts.where(F.pmod(F.xxhash64("node", F.lit("common")), F.lit(COUNTED)) == 0).select(F.explode(_sets(rule)).alias("token"))
+    often = part.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    common = np.stack([often.column("token").to_numpy(), np.arange(often.num_rows)[::-1]], 1)
+    common = common[np.argsort(common[:, 0])]
+    rarest = F.pandas_udf(lambda x: x.map(lambda t: prefix(np.sort(distinct(t, rule)[:, 0].view(np.int64)), common, least)), "array<long>")
+    rows = materialise(texts.select("node", "comp", "size", rarest("text").alias("tokens")), "simhash-prefixes")
+    rows = rows.select("node", "comp", "size", F.posexplode("tokens").alias("at", "token"))
+    shared = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    met = materialise(rows.join(_few(materialise(shared, "simhash-shared")), "token"), "simhash-met")
+    held = met.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    heads = held.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("head"), F.ceil(F.sum("n") / MET).cast("int").alias("pieces"))
+    met = met.join(materialise(heads, "simhash-heads"), "token")
+    piece, every = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+
+    def side(e: str, other: str) -> DataFrame:
+        return met.select("token", piece.alias(f"piece_{e}"), every.alias(f"piece_{other}"), *[F.col(c).alias(f"{c}_{e}") for c in ("node", "comp", "size", "at", "head")])
+
+    both = side("a", "b").where("comp_a <> head_a").join(side("b", "a"), ["token", "piece_a", "piece_b"]).where("comp_a <> comp_b")
+    enough = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    both = both.where(enough & ((F.col("comp_b") == F.col("head_b")) | (F.col("node_a") < F.col("node_b"))))
+    return materialise(both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "simhash-apart")
+
+
+def _joined(comp: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """comp (words, terms, size, comp, k), a table, with those components made one that any similar sets link."""
+    nodes = comp.where("size > 0").select(F.col("k.number").alias("number"), "comp", "size")
+    texts = rows.select("number", F.col("row.text").alias("text"))
+    pairs = _left_apart(texts.join(_few(nodes), "number").withColumnRenamed("number", "node"), rule)
+    if pairs.isEmpty():
+        return comp
+    ends = materialise(pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct().join(nodes, "number"), "simhash-chosen")
+    sets = materialise(texts.join(_few(ends), "number").select(F.col("number").alias("node"), "size", _sets(rule).alias("terms")), "simhash-sets")
+    links = _verified(pairs, sets, rule.similarity)
+    for e in "ab":
+        links = links.join(ends.select(F.col("number").alias(e), F.col("comp").alias(f"comp_{e}")), e)
+    merged = connected_components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    return materialise(comp.join(merged, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"), "simhash-components")
+
+
 def _few(numbers: DataFrame) -> DataFrame:
     """A table of numbers of rows, to be broadcast if it is short."""
     return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
@@ -513,7 +575,7 @@ def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     texts = rows.select("number", F.col("row.text").alias("text")).join(_few(chosen), "number")
     comp = _similar(edges, materialise(texts.select("node", "size", _sets(rule).alias("terms")), "simhash-sets"), rule.similarity)
     comp = named.join(comp, F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
-    comp = materialise(comp.select(*words, "terms", "size", "comp", "k"), "simhash-components")
+    comp = _joined(materialise(comp.select(*words, "terms", "size", "comp", "k"), "simhash-components"), rows, rule)
     kept = comp.groupBy("comp").agg(F.min("k").alias("k")).select("comp", F.col("k.number").alias("kept"))
     # most nodes are alone with one row; only rows of the others can go
     several = rows.groupBy(*words, "terms", "size").agg(F.count(F.lit(1)).alias("n")).join(comp, [*words, "terms", "size"]).join(kept, "comp")

@@ -191,6 +191,22 @@ def test_keep_one_in_families_of_any_size(spark):
         assert want <= left and len(left - want) <= 0.05 * (len(ids) - len(want)), size
 
 
+def test_keep_one_misses_no_link(spark):
+    """Pairs about as similar as is asked for, and a common passage in many texts: exactly what brute force joins is joined."""
+    rng, docs, want = np.random.default_rng(21), [], set()
+    passage = [f"p{k}" for k in range(40)]
+    for g in range(700):
+        words = [f"{g}w{k}" for k in range(110)] + passage * (g % 2)
+        near = list(words)
+        for at in rng.choice(110, 3, replace=False):
+            near[at] = f"{g}n{at}"
+        x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (words, near))
+        want |= {2 * g} | ({2 * g + 1} if len(x & y) / len(x | y) < 0.8 else set())
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(near))]
+    assert 700 < len(want) < 1200
+    assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)).collect()} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**20 - 1), st.integers(1, 30)), max_size=40), st.integers(1, 60))
 def test_candidates_of_a_key_against_all_pairs(rows, held):
