@@ -49,14 +49,15 @@ def rules_of(table: DataFrame) -> dict[str, str]:
     return {r["rule_id"]: r["pat"] for r in rows}
 
 
-def passage_rules(items: DataFrame, words: int = 6) -> DataFrame:
-    """(item_id, text) to a table of rules (rule_id, pat): the first words of each text, as they stand; shorter texts give none.
-
-    Marks of regular expressions are taken literally.
-    """
+def passage_starts(items: DataFrame, words: int = 6) -> DataFrame:
+    """(item_id, text) to phrases (rule_id, phrase): the first words of each text, as they stand; shorter texts give none."""
     start = F.regexp_extract("text", "^[^ ]+" + "( [^ ]+)" * (words - 1), 0)
-    plain = F.regexp_replace(start, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    return items.where(start != "").select(F.col("item_id").cast("string").alias("rule_id"), plain.alias("pat"))
+    return items.where(start != "").select(F.col("item_id").cast("string").alias("rule_id"), start.alias("phrase"))
+
+
+def passage_rules(items: DataFrame, words: int = 6) -> DataFrame:
+    """passage_starts() as a table of rules (rule_id, pat): marks of regular expressions are taken literally."""
+    return passage_starts(items, words).select("rule_id", F.regexp_replace("phrase", r"([\\.\[\]{}()*+?^$|])", r"\\$1").alias("pat"))
 
 
 def match_rules(segments: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
@@ -71,6 +72,24 @@ def match_rules(segments: DataFrame, rules: dict[str, str] | None = None) -> Dat
     return by_doc.groupBy("rule_id").agg(F.sum("n").alias("n_segs"), F.count("doc_id").alias("n_docs"))
 
 
+def match_phrases(segments: DataFrame, phrases: DataFrame) -> DataFrame:
+    """match_rules() for a table (rule_id, phrase) of any size: the segments that hold each phrase, as it stands; empty ones are left out.
+
+    A phrase of three or more words has its inner ones whole wherever it occurs, so only segments that hold the longest
+    of these are searched for it: each word of a segment is looked up once, however many phrases there are. Shorter
+    phrases are searched for in every segment.
+    """
+    words = F.split("phrase", " ", -1)
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    known = phrases.where("phrase <> ''").select("rule_id", "phrase", longest.alias("word"))
+    rows = segments.select("doc_id", "seg", F.explode(F.array_distinct(F.split("seg", " ", -1))).alias("word"))
+    found = rows.join(known, "word").where(F.contains("seg", "phrase")).select("doc_id", "rule_id")
+    short = segments.join(F.broadcast(known.where("word IS NULL")), F.contains("seg", "phrase")).select("doc_id", "rule_id")
+    by_doc = found.union(short).groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy("rule_id").agg(F.sum("n").alias("n_segs"), F.count("doc_id").alias("n_docs"))
+
+
 def resolve(found: DataFrame) -> DataFrame:
     """(doc_id, field, value): for each document and field the value that comes first, the smaller one at a tie of repeated documents."""
     best = found.groupBy("doc_id", "field").agg(F.min(F.struct("n", "value")).alias("best"))

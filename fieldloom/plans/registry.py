@@ -40,7 +40,7 @@ def queries() -> dict:
         "segment": lambda s, d: e.segment(_docs(s, d)),
         "candidates": lambda s, d: _found(s, d),
         "match_rules": lambda s, d: e.match_rules(e.segment(_docs(s, d)), RULES),
-        "match_rules_table": lambda s, d: e.match_rules(e.segment(_docs(s, d)), e.rules_of(e.passage_rules(table(s, d, "benchmark")))),
+        "match_rules_table": lambda s, d: e.match_phrases(e.segment(_docs(s, d)), e.passage_starts(table(s, d, "benchmark"))),
         "fuzzy_terms": _fuzzy,
         "resolve": lambda s, d: e.resolve(_found(s, d)),
         "resolve_all": lambda s, d: e.resolve_all(_found(s, d), 3),

@@ -168,3 +168,25 @@ def test_procurement_rules_on_hand_written_documents(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines[:5])), (2, "\n".join(lines[5:])), (3, None)], "doc_id long, text string")
     got = {r["rule_id"]: (r["n_segs"], r["n_docs"]) for r in extract.match_rules(extract.segment(docs), PROCUREMENT).collect()}
     assert got == {"obligation": (2, 1), "deadline": (1, 1), "date": (1, 1), "amount": (2, 2), "submission": (1, 1), "evaluation": (1, 1)}
+
+
+def test_rules_table_of_any_size(spark, tmp_path):
+    starts = [f"a{k % 7} b{k} c.{k} (d e{k % 3} f{k % 5}" for k in range(1500)]
+    texts = [f"x{s}z\n{s} {s}\nnone" if k % 3 else s.replace(" e", "  e") for k, s in enumerate(starts)] + [None, "", starts[1]]
+    spark.createDataFrame([(k, f"{s} more") for k, s in enumerate(starts)] + [(2000, "too short"), (2001, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None if k == 4 else k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["match_rules_table"](spark, str(tmp_path)).collect()
+    want = {}
+    for k, t in enumerate(texts):
+        for seg in (t or "").split("\n"):
+            for r, s in enumerate(starts):
+                if s in seg:
+                    want.setdefault(str(r), []).append(None if k == 4 else k // 2)
+    assert {(r["rule_id"], r["n_segs"], r["n_docs"]) for r in got} == {(r, len(d), len(set(d) - {None})) for r, d in want.items()}
+
+
+def test_phrases_short_and_overlapping(spark):
+    segments = spark.createDataFrame([(1, 1, "one two three four"), (1, 2, "xone two threex"), (2, 1, "two  three"), (3, 1, None)], "doc_id long, seg_no long, seg string")
+    phrases = spark.createDataFrame([("a", "one two three"), ("b", "e two"), ("c", "o"), ("d", ""), ("e", "two  three"), ("f", None), ("g", "two three four")], "rule_id string, phrase string")
+    got = {tuple(r) for r in extract.match_phrases(segments, phrases).collect()}
+    assert got == {("a", 2, 1), ("b", 2, 1), ("c", 3, 2), ("e", 1, 1), ("g", 1, 1)}
