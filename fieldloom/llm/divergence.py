@@ -2,8 +2,9 @@
 
 A CountVectorizer over terms with their language in front keeps each language's terms of at least MIN_DF of its documents
 (a term with another language in front is another term, so one fit is one for each language) and makes
-exact sparse vectors of the documents. Their sums by language and source are added up as sparse rows, a
-smoothed share of a whole billion is derived for each, and all pairs of a language's sources are
+exact sparse vectors. A vector is linear in its counts, so what it is made of are not single documents but the terms that a task
+has counted for a source, once for each binary digit of their counts, weighed by the digit. Their sums by language and source are
+added up as sparse rows, a smoothed share of a whole billion is derived for each, and all pairs of a language's sources are
 compared term by term, block by block of the terms.
 
 A CountVectorizer holds its vocabulary whole, in the driver and in each executor. So that this is
@@ -49,6 +50,8 @@ TILE, BLOCK = 128, 2048
 BROADCAST_ROWS = 100_000
 #: Bytes of text looked at a time.
 CHARACTERS = 1 << 22
+#: Counts of terms by source that a task holds, about, and terms in a row of them.
+HELD, ROW = 1 << 19, 1 << 16
 
 
 def _plain(text: pa.Array) -> pa.Array:
@@ -59,12 +62,43 @@ def _plain(text: pa.Array) -> pa.Array:
     return pa.StringArray.from_buffers(len(text), pa.py_buffer(ends - ends[0]), pa.py_buffer(held.translate(IN_TERMS)))
 
 
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
+
+
+def _digits(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Counts (lang, source, term, n) to rows of named() for each source and binary digit, of at most ROW terms."""
+    counts = counts.sort_by([("lang", "ascending"), ("source", "ascending")]).combine_chunks()
+    n = counts.column("n").to_numpy()
+    for digit in range(int(n.max()).bit_length() if len(n) else 0):
+        mine = counts.filter(pa.array((n >> digit & 1).astype(bool)))
+        if not len(mine):
+            continue
+        lang, source, term = (pa.concat_arrays(mine.column(c).chunks) for c in ("lang", "source", "term"))
+        new = [pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False) for x in (lang, source)]
+        starts = np.nonzero(np.r_[True, new[0] | new[1]])[0]
+        sizes = np.diff(np.r_[starts, len(term)])
+        parts = -(-sizes // ROW)
+        starts = np.repeat(starts, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * ROW
+        at = pa.array(starts)
+        none = _lists(pa.array([], pa.string()), np.zeros(len(starts), np.int64))
+        columns = [lang.take(at), source.take(at), _lists(term, np.r_[starts[1:], len(term)]), none, pa.array(np.full(len(starts), 1 << digit, np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "terms", "counted", "weight"])
+
+
 def named(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, counted), as a table: terms lower-cased in A-Z only, with their language in front, and those of them in one of COUNTED parts.
+    """(lang, source, terms, counted, weight), as a table: distinct terms lower-cased in A-Z only, with their language in front, and those of them in one of COUNTED parts.
 
-    No term holds a space, so the last one parts a term from its language.
+    Rows of weight 0 are the documents. The others hold the counts of many: a term occurs in a source as often as the weights of
+    its rows add up to. No term holds a space, so the last one parts a term from its language.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def total() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
+            return found.rename_columns([c.removesuffix("_sum") for c in found.column_names])
+
         for batch in batches:
             size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             step = max(1, batch.num_rows * CHARACTERS // max(CHARACTERS, size))
@@ -77,24 +111,39 @@ def named(docs: DataFrame) -> DataFrame:
                 langs = lang.take(pa.array(np.repeat(np.arange(len(lang)), np.diff(offsets))))
                 terms = pc.binary_join_element_wise(langs, terms.filter(pa.array(full)), " ")
                 coded = terms.dictionary_encode()
-                chosen = np.fromiter((xxhash.xxh3_64_intdigest(t) % COUNTED == 0 for t in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
-                chosen = chosen[coded.indices.to_numpy()] if len(chosen) else np.zeros(0, bool)
-                counted = terms.filter(pa.array(chosen))
-                columns = [lang, source, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), terms), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(chosen)][offsets], pa.int32()), counted)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "terms", "counted"])
+                known, size = coded.dictionary, max(1, len(coded.dictionary))
+                chosen = np.fromiter((xxhash.xxh3_64_intdigest(t) % COUNTED == 0 for t in known.to_pylist()), bool, len(known))
+                pair, n = np.unique(np.repeat(np.arange(len(lang)), np.diff(offsets)) * size + coded.indices.to_numpy(), return_counts=True)
+                row, code = pair // size, pair % size
+                counted = chosen[code] if len(code) else np.zeros(0, bool)
+                lists = [_lists(known.take(pa.array(code[x])), np.cumsum(np.bincount(row[x], minlength=len(lang)))) for x in (slice(None), counted)]
+                yield pa.RecordBatch.from_arrays([lang, source, *lists, pa.array(np.zeros(len(lang), np.int64))], ["lang", "source", "terms", "counted", "weight"])
+                # a language has its own terms, so a source and a term tell the group
+                names = source.dictionary_encode()
+                both, at = np.unique(names.indices.to_numpy()[row] * size + code, return_inverse=True)
+                first = np.zeros(len(both), np.int64)
+                first[at] = row
+                n = np.bincount(at, n, len(both)).astype(np.int64)
+                held.append(pa.table({"lang": lang.take(pa.array(first)), "source": source.take(pa.array(first)), "term": known.take(pa.array(both % size)), "n": n}))
+                if sum(map(len, held)) > HELD:
+                    held = [total()]
+                    if len(held[0]) > HELD // 2:
+                        yield from _digits(held.pop())
+        if held:
+            yield from _digits(total())
 
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return materialise(rows.mapInArrow(run, "lang string, source string, terms array<string>, counted array<string>"), "divergence-terms")
+    return materialise(rows.mapInArrow(run, "lang string, source string, terms array<string>, counted array<string>, weight long"), "divergence-terms")
 
 
 def shards_of(rows: DataFrame) -> int:
     """How many vocabularies the kept terms take, from the exact number of those in one of COUNTED parts of all terms."""
-    kept = rows.select(F.explode(F.array_distinct("counted")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DF)
+    kept = rows.select(F.explode("counted").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DF)
     return max(1, -(-kept.count() * COUNTED // SHARD))
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
-    """Sparse vectors (source, at, n) to their sums by source, a row (source, at, n) for each entry.
+    """Sparse vectors (source, at, n) and their weights to their sums by source, a row (source, at, n) for each entry.
 
     A task adds up what it reads and sends, for each source, its entries in stretches of STRETCH numbers.
     """
@@ -119,8 +168,9 @@ def group_sums(vectors: DataFrame) -> DataFrame:
         for batch in batches:
             found, times = batch.column("at"), batch.column("n").flatten().to_numpy()
             mine = np.array([numbers.setdefault(x, len(numbers)) for x in batch.column("source").to_pylist()], np.int64)
-            keys.append(np.repeat(mine << 32, np.diff(found.offsets.to_numpy())) + found.flatten().to_numpy())
-            counts.append(times.astype(np.int64))
+            sizes = np.diff(found.offsets.to_numpy())
+            keys.append(np.repeat(mine << 32, sizes) + found.flatten().to_numpy())
+            counts.append(times.astype(np.int64) * np.repeat(batch.column("weight").to_numpy(), sizes))
             held += len(times)
             if held > ENTRIES:
                 key, n = add(keys, counts)
@@ -174,13 +224,13 @@ def group_counts(rows: DataFrame, shards: int) -> DataFrame:
     for k in range(shards):
         mine = rows if shards == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k))  # noqa: B023
         # a vocabulary depends on documents only, not on how often they repeat a term
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=MIN_DF, vocabSize=LARGEST).fit(mine.select(F.array_distinct("terms").alias("terms")))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=MIN_DF, vocabSize=LARGEST).fit(mine.where("weight = 0").select("terms"))
         spark, vocabulary = rows.sparkSession, model.vocabulary
         if not vocabulary:
             continue
         words = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(vocabulary), dtype=np.int32), "named": vocabulary}))
         vector = F.unwrap_udt("vector")
-        vectors = model.transform(mine).select("source", vector["indices"].alias("at"), vector["values"].alias("n"))
+        vectors = model.transform(mine.where("weight > 0")).select("source", vector["indices"].alias("at"), vector["values"].alias("n"), "weight")
         sums = group_sums(vectors)  # a term's number tells its language
         last = F.length("named") - F.instr(F.reverse("named"), " ") + 1
         words = words.select("at", F.substring("named", F.lit(1), last - 1).alias("lang"), F.substring("named", last + 1, F.length("named")).alias("term"))

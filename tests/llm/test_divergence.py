@@ -91,3 +91,21 @@ def test_without_rows_or_kept_terms(spark):
     assert divergence.divergences(check(spark, [("x", "en", "s")]).limit(0)).count() == 0
     got = sorted(map(tuple, divergence.divergences(check(spark, [("a b", "en", "s"), (None, "en", "t"), (None, None, None)])).collect()))
     assert got == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
+
+
+def test_counts_leave_tasks_by_binary_digit(spark, monkeypatch):
+    """What is made vectors of grows with the distinct terms of a task's sources, not with their occurrences."""
+    monkeypatch.setattr(divergence, "ROW", 2)
+    texts = [("a", "x", "one two " * 500 + "three"), ("a", "x", "one four"), ("a", "y", "ONE"), ("b", None, "one " * 6), (None, "y", None)]
+    df = spark.createDataFrame([(k, t, lang, source) for k, (lang, source, t) in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1)
+    rows = divergence.named(df).collect()
+    assert sorted(sorted(r["terms"]) for r in rows if not r["weight"]) == [[], ["a four", "a one"], ["a one"], ["a one", "a three", "a two"], ["b one"]]
+    sums, sent = {}, 0
+    for r in rows:
+        if r["weight"]:
+            assert 0 < len(r["terms"]) <= 2
+            sent += len(r["terms"])
+            for t in r["terms"]:
+                sums[r["source"], t] = sums.get((r["source"], t), 0) + r["weight"]
+    assert sums == {("x", "a one"): 501, ("x", "a two"): 500, ("x", "a three"): 1, ("x", "a four"): 1, ("y", "a one"): 1, ("", "b one"): 6}
+    assert sent < 30
