@@ -59,10 +59,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+#: Rows that go to Python at a time: whole texts are held on both sides, once for each task of an executor.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        discard(before)  # a table of an earlier stage; the documents themselves stay
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before_run = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            discard(before)  # a table of an earlier stage; the documents themselves stay
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(BATCH[0], before_run)

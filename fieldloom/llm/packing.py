@@ -103,7 +103,7 @@ class Words:
         vocabulary = self.full.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
+        self.forget()
 
     @property
     def whole(self):
@@ -114,7 +114,7 @@ class Words:
             self._whole = Tokenizer.from_file(self.path)
         return self._whole
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number = {"": 0}
         self.flat, self.start = np.zeros(1 << 20, np.uint32), np.zeros((1 << 20) + 1, np.int64)
 
@@ -167,7 +167,7 @@ class Words:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.flatten().dictionary_encode()
         if len(self.number) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         found = pc.extract_regex(coded.dictionary, self.PLAIN)
         odd = found.is_null()
         parts = np.zeros((len(found), 2), np.int64)
@@ -232,6 +232,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = Fals
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names)
+        words.forget()  # the worker goes on to other stages
 
     return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces")
 

@@ -173,6 +173,19 @@ def test_ids_word_by_word_are_the_tokenizers(texts):
     assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_stages_get_texts_in_small_batches(spark, sf, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(name)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    assert corpus_pipeline.run(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
+
+
 def test_remembered_words_are_bounded():
     words = packing.Words(packing.default_vocabulary())
     for k in range(4):
