@@ -21,22 +21,38 @@ LEAST_HUB, HUBS = 1000, 50_000
 EDGES_HELD = 1 << 19
 #: Where materialise() put its tables.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Spark's settings: files of a query's shuffles go as it ends, not whenever the driver collects its garbage; bytes in a batch that goes to Python.
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Of what it shuffled nothing is read again once the table is there, so these files go. With a number
+    of bytes, batches that go to Python hold about as much, as both sides hold one for each task.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    settings = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that materialise() wrote, once nothing is left to be read from it; others stay as they are."""
-    if path := _PATHS.pop(table, None):
-        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once nothing is left to be read from them; others stay as they are."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def hash_below(key: Column, rate: Column | float) -> Column:

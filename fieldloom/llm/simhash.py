@@ -13,7 +13,8 @@ most others there are near to: a family of copies of one text, each edited elsew
 that text and not to each other, and the nearest by chance are others. Hubs are compared first; what a failed comparison
 leaves apart is compared with the best linked text of the other's component, a few times. What that leaves between components
 is found exactly: two sets so similar share one of their rarest shingles (a prefix filter), and all pairs of
-different components that do are compared, so keep_one misses no link, whatever the fingerprints missed.
+different components that do are compared, so keep_one misses no link, whatever the fingerprints missed. They are compared
+first by bitmaps of their shingles, which bound from above what two sets share; whole sets move for what is left only.
 
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows share
 a fingerprint and so a component; rows with a null doc_id get a component but never name one,
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import connected_components, materialise, star_edges
+from fieldloom.llm.common import connected_components, discard, materialise, star_edges
 
 SEED = 42
 #: Shingles that vote at a time, so that one very long text needs bounded memory.
@@ -117,6 +118,10 @@ LEADER_ROUNDS = 2
 COMMON = 1 << 18
 #: Texts of a shingle that meet so many others in one task, about.
 MET = 4096
+#: Bytes of texts that go to Python at a time.
+TEXTS = 1 << 22
+#: Bits at least of a set's bitmap for each of its shingles (up to twice as many, as it is a power of two).
+BITS = 2
 
 
 def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
@@ -426,24 +431,29 @@ def near_dups(docs: DataFrame, rule: Rule = EXACT) -> DataFrame:
     return components(fps, rule).select("doc_id", F.concat(*digits).alias("fingerprint"), "component_id")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b), a table, whose sets (node, terms, size) are similar, as a table. The set of a node in very many pairs goes to several tasks."""
+def _compared(pairs: DataFrame, sets: DataFrame, least: float, what: str, alike: Column, name: str) -> DataFrame:
+    """The pairs (a, b), a table, that are alike by sizes and what sets (node, what, size) hold, as a table. The set of a node in very many pairs goes to several tasks."""
     ends = pairs.select(F.col("a").alias("heavy")).union(pairs.select("b")).groupBy("heavy").agg(F.count(F.lit(1)).alias("n"))
     heavy = ends.where(F.col("n") > MOST_PAIRS).select("heavy", F.ceil(F.col("n") / MOST_PAIRS).cast("int").alias("pieces"))
     heavy = materialise(heavy, "simhash-heavy-ends")  # a table of known size, so that Spark broadcasts it or not by that
     pieces = F.coalesce("pieces", F.lit(1))
     dealt, both = sets.withColumn("piece", F.lit(0)), pairs.withColumns({"piece_a": F.lit(0), "piece_b": F.lit(0)})
     if not heavy.isEmpty():
-        dealt = sets.join(heavy, F.col("node") == F.col("heavy"), "left").select("node", "terms", "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+        dealt = sets.join(heavy, F.col("node") == F.col("heavy"), "left").select("node", what, "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
         for e, other in ("ab", "ba"):
             both = both.join(heavy, F.col(e) == F.col("heavy"), "left").withColumn(f"piece_{e}", F.pmod(F.xxhash64(other), pieces).cast("int")).drop("heavy", "pieces")
     for e in "ab":
-        mine = dealt.select(F.col("node").alias(e), F.col("piece").alias(f"piece_{e}"), F.col("terms").alias(f"terms_{e}"), F.col("size").alias(f"size_{e}"))
+        mine = dealt.select(F.col("node").alias(e), F.col("piece").alias(f"piece_{e}"), F.col(what).alias(f"{what}_{e}"), F.col("size").alias(f"size_{e}"))
         both = both.join(mine, [e, f"piece_{e}"])
         if e == "b":
             both = both.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    return materialise(both.where(alike).select("a", "b"), name, TEXTS)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), a table, whose sets (node, terms, size) are similar, as a table."""
     shared = F.size(F.array_intersect("terms_a", "terms_b"))
-    return materialise(both.where(shared / (F.col("size_a") + F.col("size_b") - shared) >= least).select("a", "b"), "simhash-links")
+    return _compared(pairs, sets, least, "terms", shared / (F.col("size_a") + F.col("size_b") - shared) >= least, "simhash-links")
 
 
 def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -495,6 +505,26 @@ def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     return found[np.lexsort((found, place))][: len(found) - math.ceil(least * len(found) - 1e-6) + 1]
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """A bit for each shingle of a set; as many bits as a power of two, so that longer ones are folded to the length of shorter ones."""
+    size = max(64, BITS << max(0, len(found) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[found.view(np.uint64) & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(a: bytes, b: bytes, sizes: int) -> float:
+    """No more shingles than this are in both of two sets of so many together: a bit that one bitmap has alone is of a shingle that its set has alone."""
+    one, other = sorted((np.frombuffer(x, np.uint64) for x in (a, b)), key=len)
+    while len(other) > len(one):
+        other = other[: len(other) // 2] | other[len(other) // 2 :]
+    return (sizes - int(np.bitwise_count(one ^ other).sum(dtype=np.int64))) / 2
+
+
+def _may_share(a: pd.Series, b: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([most_shared(*x) for x in zip(a, b, sizes.tolist(), strict=True)], dtype=float)
+
+
 def _left_apart(texts: DataFrame, rule: Rule) -> DataFrame:
     """(node, comp, size, text) to all pairs (a, b) of nodes in different components that may be similar, as a table.
 
@@ -507,14 +537,21 @@ def _left_apart(texts: DataFrame, rule: Rule) -> DataFrame:
     often = part.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     common = np.stack([often.column("token").to_numpy(), np.arange(often.num_rows)[::-1]], 1)
     common = common[np.argsort(common[:, 0])]
-    rarest = F.pandas_udf(lambda x: x.map(lambda t: prefix(np.sort(distinct(t, rule)[:, 0].view(np.int64)), common, least)), "array<long>")
-    rows = materialise(texts.select("node", "comp", "size", rarest("text").alias("tokens")), "simhash-prefixes")
-    rows = rows.select("node", "comp", "size", F.posexplode("tokens").alias("at", "token"))
+
+    def rarest(texts: pd.Series) -> pd.DataFrame:
+        found = [np.sort(distinct(t, rule)[:, 0].view(np.int64)) for t in texts]
+        return pd.DataFrame({"tokens": [prefix(x, common, least) for x in found], "bits": [bitmap(x) for x in found]})
+
+    described = F.pandas_udf(rarest, "tokens array<long>, bits binary")("text")
+    sets = materialise(texts.select("node", "comp", "size", described.alias("f")).select("node", "comp", "size", "f.*"), "simhash-prefixes", TEXTS)
+    rows = sets.select("node", "comp", "size", F.posexplode("tokens").alias("at", "token"))
     shared = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    met = materialise(rows.join(_few(materialise(shared, "simhash-shared")), "token"), "simhash-met")
+    shared = materialise(shared, "simhash-shared")
+    all_met = met = materialise(rows.join(_few(shared), "token"), "simhash-met")
     held = met.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     heads = held.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("head"), F.ceil(F.sum("n") / MET).cast("int").alias("pieces"))
-    met = met.join(materialise(heads, "simhash-heads"), "token")
+    heads = materialise(heads, "simhash-heads")
+    met = met.join(heads, "token")
     piece, every = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
 
     def side(e: str, other: str) -> DataFrame:
@@ -523,7 +560,13 @@ def _left_apart(texts: DataFrame, rule: Rule) -> DataFrame:
     both = side("a", "b").where("comp_a <> head_a").join(side("b", "a"), ["token", "piece_a", "piece_b"]).where("comp_a <> comp_b")
     enough = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
     both = both.where(enough & ((F.col("comp_b") == F.col("head_b")) | (F.col("node_a") < F.col("node_b"))))
-    return materialise(both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "simhash-apart")
+    pairs = materialise(both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "simhash-met-pairs")
+    discard(shared, all_met, heads)
+    sizes = F.col("size_a") + F.col("size_b")
+    may = F.pandas_udf(_may_share, "double")("bits_a", "bits_b", sizes)
+    apart = _compared(pairs, sets.select("node", "bits", "size"), least, "bits", may >= least / (1 + least) * sizes - 1e-6, "simhash-apart")
+    discard(sets, pairs)
+    return apart
 
 
 def _joined(comp: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
@@ -534,12 +577,15 @@ def _joined(comp: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     if pairs.isEmpty():
         return comp
     ends = materialise(pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct().join(nodes, "number"), "simhash-chosen")
-    sets = materialise(texts.join(_few(ends), "number").select(F.col("number").alias("node"), "size", _sets(rule).alias("terms")), "simhash-sets")
+    sets = materialise(texts.join(_few(ends), "number").select(F.col("number").alias("node"), "size", _sets(rule).alias("terms")), "simhash-sets", TEXTS)
     links = _verified(pairs, sets, rule.similarity)
+    discard(sets)
     for e in "ab":
         links = links.join(ends.select(F.col("number").alias(e), F.col("comp").alias(f"comp_{e}")), e)
     merged = connected_components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
-    return materialise(comp.join(merged, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"), "simhash-components")
+    joined = materialise(comp.join(merged, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component"), "simhash-components")
+    discard(comp, ends)
+    return joined
 
 
 def _few(numbers: DataFrame) -> DataFrame:
@@ -560,28 +606,34 @@ def keep_one(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     key = {"id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "rest": F.xxhash64(F.col("text").isNull(), *others)}
     words = _names(rule)
     described = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"), *[c.alias(k) for k, c in key.items()], _described(rule).alias("f"))
-    rows = materialise(described.select("row", "number", *key, "f.*"), "simhash-rows")
+    rows = materialise(described.select("row", "number", *key, "f.*"), "simhash-rows", TEXTS)
     first = F.struct(F.col("id").isNull().alias("unnamed"), *key, "number")
     nodes = materialise(rows.groupBy(*words, "terms", "size").agg(F.min(first).alias("k")), "simhash")
     prints = materialise(nodes.groupBy(*words).agg(F.min(F.struct("terms", "size")).alias("lead")).select(*words, F.col("lead.terms").alias("lead"), "lead.size"), "simhash-nodes")
     own, lead = _node([F.col(c) for c in words]), F.col("terms") == F.col("lead")
     named = nodes.join(prints.drop("size"), words).select("k", *words, "terms", "size", own.alias("lead_name"), F.when(lead, own).otherwise(F.xxhash64(*words, "terms")).alias("name"))
     named = materialise(named, "simhash-named")
+    discard(nodes)
 
     twins = named.where("name <> lead_name").select(F.col("name").alias("a"), F.col("lead_name").alias("b"), F.lit(0).alias("far"), F.lit(0).alias("degree"))
     edges = materialise(_candidate_edges(prints, rule).union(twins), "simhash-candidates")
+    discard(prints)
     ends = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct()
     chosen = materialise(named.join(ends, "name").select(F.col("name").alias("node"), "size", F.col("k.number").alias("number")), "simhash-chosen")
     texts = rows.select("number", F.col("row.text").alias("text")).join(_few(chosen), "number")
-    comp = _similar(edges, materialise(texts.select("node", "size", _sets(rule).alias("terms")), "simhash-sets"), rule.similarity)
-    comp = named.join(comp, F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
-    comp = _joined(materialise(comp.select(*words, "terms", "size", "comp", "k"), "simhash-components"), rows, rule)
+    sets = materialise(texts.select("node", "size", _sets(rule).alias("terms")), "simhash-sets", TEXTS)
+    comp = named.join(_similar(edges, sets, rule.similarity), F.col("name") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "name"))
+    comp = materialise(comp.select(*words, "terms", "size", "comp", "k"), "simhash-components")
+    discard(named, edges, chosen, sets)
+    comp = _joined(comp, rows, rule)
     kept = comp.groupBy("comp").agg(F.min("k").alias("k")).select("comp", F.col("k.number").alias("kept"))
     # most nodes are alone with one row; only rows of the others can go
     several = rows.groupBy(*words, "terms", "size").agg(F.count(F.lit(1)).alias("n")).join(comp, [*words, "terms", "size"]).join(kept, "comp")
     several = several.where((F.col("n") > 1) | (F.col("k.number") != F.col("kept"))).select(*words, "terms", "size", "kept")
     gone = rows.select("number", *words, "terms", "size").join(several, [*words, "terms", "size"]).where("number <> kept").select("number")
-    return rows.join(_few(materialise(gone, "simhash-gone")), "number", "left_anti").select("row.*")
+    gone = materialise(gone, "simhash-gone")
+    discard(comp)
+    return rows.join(_few(gone), "number", "left_anti").select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

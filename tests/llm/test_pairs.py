@@ -1,6 +1,8 @@
 """SimHash and embedding near-dedup against brute force."""
 
 import re
+import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldloom.llm import common, embeddings, simhash
 from fieldloom.llm.common import connected_components, star_edges
@@ -207,6 +210,44 @@ def test_keep_one_misses_no_link(spark):
     assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)).collect()} == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**63 - 1), max_size=300), st.sets(st.integers(0, 2**63 - 1), max_size=300), st.integers(0, 300))
+def test_bitmaps_bound_what_two_sets_share(one, other, common):
+    other = other | set(sorted(one)[:common])
+    a, b = (simhash.bitmap(np.array(sorted(x), np.int64)) for x in (one, other))
+    assert simhash.most_shared(a, b, len(one) + len(other)) == simhash.most_shared(b, a, len(one) + len(other)) >= len(one & other)
+    assert simhash.most_shared(a, a, 2 * len(one)) == len(one)
+
+
+def test_keep_one_leaves_little_behind(spark, monkeypatch):
+    """Texts that share half of their shingles, rare ones, are told apart without their whole sets, and tables and shuffles go once they are read."""
+    seen, shared = [], Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    docs = [(2 * g + e, " ".join(f"{g}{'xy'[e] if k >= 55 else 'w'}{k}" for k in range(110))) for g in range(300) for e in range(2)]
+    docs += [(1000 + k, f"{docs[0][1]} {k}") for k in range(3)]
+    before = set(shared.iterdir())
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)).collect()}
+    assert kept == set(range(600)) and sum(seen) < 40
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert "simhash-rows" in left and not left & {"simhash", "simhash-nodes", "simhash-named", "simhash-candidates", "simhash-sets", "simhash-prefixes", "simhash-met", "simhash-components"}
+
+
+def test_files_of_a_tables_shuffles_go(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    wide = spark.range(20_000).withColumn("key", F.col("id") % 777).repartition(3, "key")
+    table = common.materialise(wide.join(wide.groupBy("key").count(), "key"), "test-shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 20_000 and spark.conf.get(common.CLEANUP) == setting
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**20 - 1), st.integers(1, 30)), max_size=40), st.integers(1, 60))
 def test_candidates_of_a_key_against_all_pairs(rows, held):
