@@ -48,8 +48,8 @@ STRETCH = 1 << STRETCH_BITS
 TILE, BLOCK = 128, 2048
 #: Tables of up to so many groups are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Bytes of text looked at a time.
-CHARACTERS = 1 << 22
+#: Bytes of text looked at a time, and of a batch that goes to Python (the executor and its worker hold one each, for every task).
+CHARACTERS, BATCH = 1 << 20, 1 << 22
 #: Counts of terms by source that a task holds, about, and terms in a row of them.
 HELD, ROW = 1 << 19, 1 << 16
 
@@ -129,11 +129,12 @@ def named(docs: DataFrame) -> DataFrame:
                     held = [total()]
                     if len(held[0]) > HELD // 2:
                         yield from _digits(held.pop())
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _digits(total())
 
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return materialise(rows.mapInArrow(run, "lang string, source string, terms array<string>, counted array<string>, weight long"), "divergence-terms")
+    return materialise(rows.mapInArrow(run, "lang string, source string, terms array<string>, counted array<string>, weight long"), "divergence-terms", BATCH)
 
 
 def shards_of(rows: DataFrame) -> int:

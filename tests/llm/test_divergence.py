@@ -112,3 +112,20 @@ def test_counts_leave_tasks_by_binary_digit(spark, monkeypatch):
     counts = pa.table({"lang": ["a"] * 5, "source": ["x"] * 3 + ["y"] * 2, "term": list("pqrpq"), "n": pa.array([1, 5, 4, 4, 1], pa.int64())})
     got = [(r["source"], r["terms"], r["weight"]) for b in divergence._digits(counts) for r in b.to_pylist()]
     assert got == [("x", ["p", "q"], 1), ("y", ["q"], 1), ("x", ["q", "r"], 4), ("y", ["p"], 4)]
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    """An executor and its worker hold a batch for each task, so texts are cut by their bytes, whatever a batch's number of rows."""
+    asked = []
+    plain_table = divergence.materialise
+    monkeypatch.setattr(divergence, "materialise", lambda df, name, batch=None: asked.append(batch) or plain_table(df, name, batch))
+    texts = spark.range(2000, numPartitions=1).selectExpr("repeat('ab ', 200) text", "'en' lang", "'s' source")
+    divergence.named(texts)
+    assert asked[0] and asked[0] <= 1 << 22
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    sizes = [r["n"] for r in plain_table(texts.mapInArrow(told, "n long"), "test-batches", 1 << 16).collect()]
+    assert len(sizes) > 10 and max(sizes) < 1 << 17
