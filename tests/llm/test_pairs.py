@@ -303,6 +303,20 @@ def test_star_edges(pairs):
     assert got == want
 
 
+@pytest.mark.parametrize("hub", [1000, 1, 20])
+def test_edges_that_one_task_held_need_no_rounds(spark, monkeypatch, hub):
+    """Each round is a query of a dozen exchanges that the driver plans and keeps."""
+    tables, written = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name, batch=None: tables.append(name) or written(df, name, batch))
+    monkeypatch.setattr(common, "LEAST_HUB", hub)
+    monkeypatch.setattr(common, "HUBS", 1000)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1100)] + [(1000, 2000), (7, 7)], "a long, b long")
+    want = {k: 0 for k in range(61)} | {k: 1000 for k in [*range(1000, 1100), 2000]}
+    assert {r["node"]: r["component"] for r in connected_components(edges.coalesce(1)).collect()} == want and len(tables) == 1
+    monkeypatch.setattr(common, "EDGES_HELD", 8)  # it may have sent some before: rounds go on
+    assert {r["node"]: r["component"] for r in connected_components(edges.coalesce(1)).collect()} == want and len(tables) > 2
+
+
 @pytest.mark.parametrize("hub", [1000, 1, 20])
 def test_connected_components_of_a_path_and_a_hub(spark, monkeypatch, hub):
     monkeypatch.setattr(common, "LEAST_HUB", hub)
