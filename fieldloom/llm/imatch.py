@@ -19,8 +19,11 @@ of a batch go as one with their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,35 +40,31 @@ RAREST, COMMONEST = 1e-4, 0.05
 CELLS, LEVELS = 8, 8
 #: Sizes at most, as 32 bits of a term's hash choose its subset; the last holds one term in 2 ** 32 a subset.
 DEEPEST = 30
-#: Terms from which on arrays are quicker than lists.
-FEW = 24
 #: Levels of which more cells than this hold terms say little about texts that are partly alike.
 CROWDED = 6
 #: The share of a text's terms in the lexicon from which on the lexicon alone counts, and the steps of its weight below.
 ENOUGH, STEPS = 0.25, 255
-#: Words that a worker remembers the hashes of.
-CACHE_WORDS = 1_000_000
-#: Terms to count before a batch of counts is sent on, and characters of text to hold before one of results is.
-COUNTED, FLUSH = 1 << 22, 1 << 21
+#: Terms to count before a batch of counts is sent on; characters of text, and texts, to hold before one of results is; rows in such a batch.
+COUNTED, FLUSH, TEXTS, ROWS = 1 << 22, 1 << 20, 1 << 10, 1 << 12
+_HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
-class Hashes(dict):
-    """Terms and their hashes of 64 bits, as far as they were asked for."""
 
-    def __missing__(self, term: str) -> int:
-        self[term] = found = xxhash.xxh3_64_intdigest(term)
-        return found
+def word_hashes(words: Iterable[str]) -> np.ndarray:
+    """The hashes of 64 bits of the words, as they come."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
 
 
-_HASHES = Hashes()
-_EDGES = np.arange(CELLS + 1, dtype=np.uint8)
-
-
-def term_hashes(text: str) -> np.ndarray:
-    """The hashes of the text's distinct terms."""
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    terms = set(text.lower().split())
-    return np.fromiter(map(_HASHES.__getitem__, terms), np.uint64, len(terms))
+def edited_hashes(text: str, mine: np.ndarray, after: str, its: np.ndarray) -> tuple[str, np.ndarray]:
+    """The edited text and the hashes of its words, in any order: those of both texts' words, but for the words at the cuts."""
+    half = len(text) // 2
+    head, tail = text[: len(text) - half], after[:half]
+    one, two = head.split(), tail.split()
+    if one and two and not head[-1].isspace() and not tail[0].isspace():
+        cut = [one[-1] + two[0], *two[1:][-1:]]
+    else:
+        cut = [*one[-1:], *two[:1], *two[-1:]]
+    hashes = mine[: max(0, len(one) - 1)], its[1 : max(1, len(two) - 1)], word_hashes(x.lower() for x in cut)
+    return head + tail, np.concatenate(hashes)
 
 
 class Lexicon:
@@ -80,63 +79,108 @@ class Lexicon:
         return self.terms[np.searchsorted(self.terms, hashes).clip(max=len(self.terms) - 1)] == hashes
 
 
-def _parts(hashes: np.ndarray) -> list[str]:
-    """A hash for each cell of each level, "-" where it holds no term; levels without any behind the first LEVELS are left out."""
+def _parts(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes, in order by the number of their text (of n), to a hash of 24 bits for each text, level and cell, -1 where it holds no term.
+
+    Levels without any behind the first LEVELS are left out.
+    """
     key = hashes >> np.uint64(32)
-    cell = (key & np.uint64(CELLS - 1)).astype(np.uint8)
+    group = text * CELLS + (key & np.uint64(CELLS - 1)).astype(np.int64)
     # Of the cells of a level only the first CELLS are subsets in use, so a term is held up to the level of its lowest bit above the cell's.
     above = key // np.uint64(CELLS)
     depth = np.bitwise_count(~above & (above - np.uint64(1)))
-    order = np.argsort(cell, kind="stable")
-    hashes, cell, depth = hashes[order], cell[order], depth[order]
-    parts: list[str] = []
-    digest, level = xxhash.xxh32_hexdigest, 0
-    while level < DEEPEST and len(hashes) > FEW:
-        data, cut = hashes.tobytes(), (8 * np.searchsorted(cell, _EDGES)).tolist()
-        parts += [digest(data[a:b], level)[:6] if b > a else "-" for a, b in zip(cut, cut[1:])]
-        level += 1
-        held = depth >= level
-        hashes, cell, depth = hashes[held], cell[held], depth[held]
-    data = hashes.tobytes()
-    left = [(c, d, data[8 * k : 8 * k + 8]) for k, (c, d) in enumerate(zip(cell.tolist(), depth.tolist(), strict=True))]
-    while level < DEEPEST and left:
-        cells = [b""] * CELLS
-        for c, _, h in left:
-            cells[c] += h
-        parts += [digest(x, level)[:6] if x else "-" for x in cells]
-        level += 1
-        left = [x for x in left if x[1] >= level]
-    return parts + ["-"] * (CELLS * LEVELS - len(parts))
+    order = np.argsort(group.astype(np.min_scalar_type(max(1, n * CELLS))), kind="stable")
+    hashes, group, depth = hashes[order], group[order], depth[order]
+    digest, levels = xxhash.xxh32_intdigest, []
+    while len(levels) < DEEPEST and len(hashes):
+        data, level = hashes.tobytes(), len(levels)
+        first = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0]
+        cut = (8 * np.r_[first, len(hashes)]).tolist()
+        found = np.full(n * CELLS, -1, np.int32)
+        found[group[first]] = np.fromiter((digest(data[a:b], level) for a, b in zip(cut, cut[1:])), np.uint32, len(first)) >> 8
+        levels.append(found.reshape(n, CELLS))
+        held = depth > level
+        hashes, group, depth = hashes[held], group[held], depth[held]
+    levels += [np.full((n, CELLS), -1, np.int32)] * (LEVELS - len(levels))
+    return np.stack(levels, 1)
+
+
+class Prints(NamedTuple):
+    """Fingerprints of some texts: parts of the terms in the lexicon, the lexicon's weights, parts of all terms."""
+
+    inside: np.ndarray
+    weight: np.ndarray
+    every: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray], lexicon: Lexicon) -> Prints:
+        """words: the hashes of each text's words."""
+        n, ends = len(words), np.cumsum([len(x) for x in words])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *words])
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            hashes[a:b].sort()
+        text = np.repeat(np.arange(n), [len(x) for x in words])
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])][: len(hashes)]
+        hashes, text = hashes[new], text[new]
+        held = lexicon.holds(hashes)
+        some, terms = np.bincount(text[held], minlength=n), np.bincount(text, minlength=n)
+        weight = np.where(terms > 0, np.minimum(STEPS, STEPS * some / np.maximum(terms, 1) / ENOUGH), STEPS).astype(np.int64)
+        return cls(_parts(hashes[held], text[held], n), weight, _parts(hashes, text, n))
+
+    def take(self, at: np.ndarray) -> Prints:
+        return Prints(*(x[at] for x in self))
+
+    def strings(self) -> pa.StringArray:
+        """The parts in hex, "-" for none, with "/" and the weight in hex between the two kinds."""
+        kinds = []
+        for parts in (self.inside, self.every):
+            n, levels = parts.shape[:2]
+            used = (parts >= 0).any(2)
+            mine = np.maximum(LEVELS, (used * np.arange(1, levels + 1)).max(1))
+            parts = parts.reshape(n, -1, 1)
+            digits = np.where(parts >= 0, _HEX[parts >> np.arange(20, -4, -4) & 15], ord("-")).astype(np.uint8)
+            kept = (parts >= 0) | (np.arange(6) == 0)
+            kinds.append((digits.reshape(n, -1), (kept & (np.arange(levels * CELLS) < mine[:, None] * CELLS)[:, :, None]).reshape(n, -1)))
+        weight = np.stack([np.full(len(self.weight), ord("/"), np.uint8), _HEX[self.weight >> 4], _HEX[self.weight & 15]], 1)
+        kinds.insert(1, (weight, np.ones(weight.shape, bool)))
+        kept = np.concatenate([k for _, k in kinds], 1)
+        offsets = np.r_[0, np.cumsum(kept.sum(1))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(kept), pa.py_buffer(offsets), pa.py_buffer(np.concatenate([d for d, _ in kinds], 1)[kept]))
 
 
 def fingerprint(text: str, lexicon: Lexicon) -> list[str]:
     """The parts of the text's terms in the lexicon, "/" and the lexicon's weight in hex, the parts of all terms."""
-    hashes = np.sort(term_hashes(text))
-    inside = lexicon.holds(hashes)
-    weight = min(STEPS, int(STEPS * np.count_nonzero(inside) / len(hashes) / ENOUGH)) if len(hashes) else STEPS
-    return [*_parts(hashes[inside]), f"/{weight:02x}", *_parts(hashes)]
+    return re.findall("/..|-|.{6}", Prints.of([word_hashes(text.lower().split())], lexicon).strings()[0].as_py())
 
 
-def _split(parts: list[str]) -> tuple[list[str], int, list[str]]:
+def _read(parts: list[str]) -> Prints:
     at = next((k for k in range(0, len(parts), CELLS) if parts[k][0] == "/"), None)
-    return (parts, STEPS, parts) if at is None else (parts[:at], int(parts[at][1:], 16), parts[at + 1 :])
+    inside, weight, every = (parts, STEPS, parts) if at is None else (parts[:at], int(parts[at][1:], 16), parts[at + 1 :])
+    return Prints(*(np.array([-1 if x == "-" else int(x, 16) for x in kind], np.int32).reshape(1, -1, CELLS) if kind is not weight else np.array([weight]) for kind in (inside, weight, every)))
 
 
 def likeness(a: list[str], b: list[str]) -> float:
-    """The likeness by the lexicon's parts; so far as it holds too little of either text, by those of all terms."""
-    (lexicon_a, weight_a, all_a), (lexicon_b, weight_b, all_b) = _split(a), _split(b)
-    weight = min(weight_a, weight_b) / STEPS
-    return (weight and weight * _alike(lexicon_a, lexicon_b)) + (weight < 1 and (1 - weight) * _alike(all_a, all_b))
+    """See likenesses()."""
+    return float(likenesses(_read(a), _read(b))[0])
+
+
+def likenesses(a: Prints, b: Prints) -> np.ndarray:
+    """The likeness of each two by the lexicon's parts; so far as it holds too little of either text, by those of all terms."""
+    weight = np.minimum(a.weight, b.weight) / STEPS
+    return np.where(weight > 0, weight * _alike(a.inside, b.inside), 0) + np.where(weight < 1, (1 - weight) * _alike(a.every, b.every), 0)
 
 
-def _alike(a: list[str], b: list[str]) -> float:
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The share of equal parts among those that either has, over the levels that aren't crowded; 1 if neither has any."""
-    none, equal, either = ["-"] * CELLS, 0, 0
-    for k in range(max(len(a), len(b)) - CELLS, -1, -CELLS):  # a level holds the terms of all deeper ones
-        pairs = [(x, y) for x, y in zip(a[k : k + CELLS] or none, b[k : k + CELLS] or none, strict=True) if x != "-" or y != "-"]
-        if len(pairs) <= CROWDED or not either:  # the deepest with terms counts in any case
-            equal, either = equal + sum(x == y for x, y in pairs), either + len(pairs)
-    return equal / either if either else 1.0
+    levels = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, levels - x.shape[1]), (0, 0)), constant_values=-1) for x in (a, b))
+    some = (a >= 0) | (b >= 0)
+    n, same = some.sum(2), (some & (a == b)).sum(2)
+    equal, either = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for k in range(levels - 1, -1, -1):  # a level holds the terms of all deeper ones
+        counts = (n[:, k] <= CROWDED) | (either == 0)  # the deepest with terms counts in any case
+        equal, either = equal + counts * same[:, k], either + counts * n[:, k]
+    return np.where(either > 0, equal / np.maximum(either, 1), 1.0)
 
 
 def lexicon(docs: DataFrame) -> Lexicon:
@@ -150,7 +194,7 @@ def lexicon(docs: DataFrame) -> Lexicon:
 
         for batch in batches:
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                held.append(term_hashes(text))
+                held.append(word_hashes(set(text.lower().split())))
                 n += len(held[-1])
                 if n > COUNTED:
                     yield counts()
@@ -231,6 +275,18 @@ def _dealt(docs: DataFrame) -> DataFrame:
     return rows.repartitionById(ranges.unnamed + len(ranges.cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", "named", "id", "hash", "text")
 
 
+@dataclass
+class Row:
+    """Equal rows, n of them; words: the hashes of their text's words, once they are needed."""
+
+    key: tuple
+    guest: bool
+    doc_id: int | None
+    text: str
+    n: int
+    words: np.ndarray | None = None
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """documents to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -238,41 +294,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(lexicon(docs))  # see RAREST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        out, held = [], 0
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        def compare(doc_id, text, mine, after, its) -> tuple:
-            half = len(text) // 2
-            edited = text[: len(text) - half] + after[:half]
-            changed = mine if edited == text else fingerprint(edited, words)
-            return doc_id, len(text), sha256(edited.encode()).hexdigest(), "".join(mine), "".join(changed), likeness(mine, changed), likeness(mine, its)
-
-        last, many = None, 0  # the row that waits for its next one (part, key, doc_id, text, fingerprint), and as many more of it
+        waiting: list[Row] = []  # in order; each one's next follows it, but for guests, which end a part
+
+        def results() -> Iterator[pa.RecordBatch]:
+            """Of all rows that wait but the last one."""
+            for row in waiting:
+                if row.words is None:
+                    row.words = word_hashes(row.text.lower().split())
+            own = [k for k, row in enumerate(waiting[:-1]) if not row.guest]
+            pairs = [(k, k) for k in own if waiting[k].n > 1] + [(k, k + 1) for k in own]  # of equal rows all but the last are followed by one
+            if not pairs:
+                return
+            times = [waiting[i].n - 1 if i == j else 1 for i, j in pairs]
+            one, two = np.array(pairs).T
+            edits = [edited_hashes(waiting[i].text, waiting[i].words, waiting[j].text, waiting[j].words) for i, j in pairs]
+            prints = Prints.of([row.words for row in waiting] + [words for _, words in edits], shared.value)
+            mine, changed = prints.take(one), prints.take(np.arange(len(waiting), len(waiting) + len(pairs)))
+            columns = {
+                "doc_id": pa.array([waiting[i].doc_id for i in one], pa.int64()),
+                "n_chars": pa.array([len(waiting[i].text) for i in one], pa.int64()),
+                "edited_sha256": pa.array([sha256(text.encode()).hexdigest() for text, _ in edits], pa.string()),
+                "fingerprint": mine.strings(),
+                "edited_fingerprint": changed.strings(),
+                "near_edited": pa.array(likenesses(mine, changed)),
+                "near_next": pa.array(likenesses(mine, prints.take(two))),
+            }
+            found, starts = pa.RecordBatch.from_pydict(columns), np.r_[0, np.cumsum(times)]
+            for i in range(0, int(starts[-1]), ROWS):  # equal rows may be very many
+                yield found.take(pa.array(np.searchsorted(starts, np.arange(i, min(i + ROWS, int(starts[-1]))), "right") - 1))
+
+        held = 0
         for batch in batches:
             for part, guest, named, i, digest, text, n in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                key = named, i, digest, text
-                if last and last[0] == part and last[1] == key and not guest:
-                    many += n
+                last, key = waiting[-1] if waiting else None, (part, named, i, digest, text)
+                if last and last.key == key and not guest and not last.guest:
+                    last.n += n
                     continue
-                if last or not guest:
-                    mine = last[4] if last and last[3] == text else fingerprint(text, words)
-                    if last:
-                        same = compare(*last[2:], *last[3:]) if many else None
-                        out += [same] * many
-                        held += len(text) + many * len(last[3])
-                        out.append(compare(*last[2:], text, mine))
-                    last, many = (None, 0) if guest else ((part, key, i if named else None, text, mine), n - 1)
-                if held > FLUSH:
-                    if out:
-                        yield batch_of(out)
-                    out, held = [], 0
-        if out:
-            yield batch_of(out)
+                if held > FLUSH or len(waiting) > TEXTS:
+                    yield from results()
+                    waiting, held = waiting[-1:], 0
+                waiting.append(Row(key, bool(guest), i if named else None, text, n))
+                held += len(text)
+        if waiting:
+            yield from results()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _dealt(docs).mapInArrow(run, schema)

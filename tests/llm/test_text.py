@@ -136,6 +136,34 @@ def test_imatch_odd_rows(spark):
     assert imatch.fingerprints(table(spark, [])).count() == 0
 
 
+ODD_TEXTS = ["", " ", "a", "ab", "a b", " x", "x ", "ΑΣ ΑΣ. Σ", "İx yİ", "\x1c\x1dq", "abc def ghi", "\xa0É é", "one two  three\tfour " * 9, " ".join(f"w{k}" for k in range(3000)), "b"]
+
+
+def test_imatch_of_many_texts_at_once():
+    """A batch's fingerprints are those of its texts alone, and likeness too, whatever the others' lengths."""
+    for lexicon in (imatch.Lexicon(), imatch.Lexicon(np.sort(imatch.word_hashes(["a", "x", "é", *(f"w{k}" for k in range(0, 3000, 7))])))):
+        prints = imatch.Prints.of([imatch.word_hashes(t.lower().split()) for t in ODD_TEXTS], lexicon)
+        alone = [imatch.fingerprint(t, lexicon) for t in ODD_TEXTS]
+        assert prints.strings().to_pylist() == ["".join(x) for x in alone]
+        at = np.arange(len(ODD_TEXTS))
+        for k in at:
+            both = imatch.likenesses(prints, prints.take(np.full(len(at), k)))
+            assert both.tolist() == [imatch.likeness(x, alone[k]) for x in alone]
+
+
+def test_imatch_edited_text_takes_the_hashes_of_both(monkeypatch):
+    """Only words at the cuts are hashed anew."""
+    words, hashed = imatch.word_hashes, []
+    known = [words(t.lower().split()) for t in ODD_TEXTS]
+    monkeypatch.setattr(imatch, "word_hashes", lambda found: words([hashed.append(w) or w for w in found]))
+    for text, mine in zip(ODD_TEXTS, known):
+        for after, its in zip(ODD_TEXTS, known):
+            change, got = imatch.edited_hashes(text, mine, after, its)
+            assert change == edited(text, after) and set(got.tolist()) == set(words(change.lower().split()).tolist())
+            assert len(hashed) <= 3
+            hashed.clear()
+
+
 def test_likeness_bounds():
     assert imatch.likeness(["-"] * 64, ["-"] * 64) == 1.0
     assert imatch.likeness(["a"] * 64, ["a"] * 64) == 1.0
