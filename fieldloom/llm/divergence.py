@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +51,8 @@ BROADCAST_ROWS = 100_000
 CHARACTERS, BATCH = 1 << 20, 1 << 22
 #: Counts of terms by source that a task holds, about, and terms in a row of them.
 HELD, ROW = 1 << 19, 1 << 16
+#: Odd numbers, one for each byte of a term (over again in longer ones), that make a hash of it.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _plain(text: pa.Array) -> pa.Array:
@@ -66,6 +67,16 @@ def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
 
 
+def _hashes(terms: pa.Array) -> np.ndarray:
+    """A hash of 32 bits of each term, none of which is empty."""
+    if not len(terms):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    held, ends = np.frombuffer(terms.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    at = np.arange(len(held)) - np.repeat(ends[:-1], np.diff(ends))
+    return np.add.reduceat(held * FACTORS[at % len(FACTORS)], ends[:-1]) >> np.uint64(32)
+
+
 def _digits(counts: pa.Table) -> Iterator[pa.RecordBatch]:
     """Counts (lang, source, term, n) to rows of named() for each source and binary digit, of at most ROW terms."""
     counts = counts.sort_by([("lang", "ascending"), ("source", "ascending")]).combine_chunks()
@@ -89,11 +100,14 @@ def _digits(counts: pa.Table) -> Iterator[pa.RecordBatch]:
 def named(docs: DataFrame) -> DataFrame:
     """(lang, source, terms, counted, weight), as a table: distinct terms lower-cased in A-Z only, with their language in front, and those of them in one of COUNTED parts.
 
-    Rows of weight 0 are the documents. The others hold the counts of many: a term occurs in a source as often as the weights of
+    Rows of weight 0 are the documents, but for terms that the same task has sent in MIN_DF documents before: those are kept for certain,
+    and need not be sent again. The others hold the counts of many: a term occurs in a source as often as the weights of
     its rows add up to. No term holds a space, so the last one parts a term from its language.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        often: dict[str, int] = {}  # terms and in how many documents they have been sent, at least
+        sure: list[str] = []
 
         def total() -> pa.Table:
             found = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
@@ -112,11 +126,19 @@ def named(docs: DataFrame) -> DataFrame:
                 terms = pc.binary_join_element_wise(langs, terms.filter(pa.array(full)), " ")
                 coded = terms.dictionary_encode()
                 known, size = coded.dictionary, max(1, len(coded.dictionary))
-                chosen = np.fromiter((xxhash.xxh3_64_intdigest(t) % COUNTED == 0 for t in known.to_pylist()), bool, len(known))
+                chosen = _hashes(known) % np.uint64(COUNTED) == 0
                 pair, n = np.unique(np.repeat(np.arange(len(lang)), np.diff(offsets)) * size + coded.indices.to_numpy(), return_counts=True)
                 row, code = pair // size, pair % size
-                counted = chosen[code] if len(code) else np.zeros(0, bool)
-                lists = [_lists(known.take(pa.array(code[x])), np.cumsum(np.bincount(row[x], minlength=len(lang)))) for x in (slice(None), counted)]
+                sent = ~pc.is_in(known, pa.array(sure, pa.string())).to_numpy(zero_copy_only=False)
+                several = np.nonzero(sent & (np.bincount(code, minlength=len(known))[: len(known)] > 1))[0]
+                for term, more in zip(known.take(pa.array(several)).to_pylist(), np.bincount(code, minlength=size)[several].tolist(), strict=True):
+                    often[term] = often.get(term, 0) + more
+                    if often[term] >= MIN_DF:
+                        sure.append(term)
+                        del often[term]
+                if len(often) + len(sure) > HELD:
+                    often, sure = {}, []
+                lists = [_lists(known.take(pa.array(code[x])), np.cumsum(np.bincount(row[x], minlength=len(lang)))) for x in (sent[code], (sent & chosen)[code])]
                 yield pa.RecordBatch.from_arrays([lang, source, *lists, pa.array(np.zeros(len(lang), np.int64))], ["lang", "source", "terms", "counted", "weight"])
                 # a language has its own terms, so a source and a term tell the group
                 names = source.dictionary_encode()

@@ -114,6 +114,26 @@ def test_counts_leave_tasks_by_binary_digit(spark, monkeypatch):
     assert got == [("x", ["p", "q"], 1), ("y", ["q"], 1), ("x", ["q", "r"], 4), ("y", ["p"], 4)]
 
 
+def test_documents_send_no_term_that_their_task_has_sent_often(spark, monkeypatch):
+    """The vocabulary is the same, and the fit reads a term MIN_DF times a task and a step's documents at most, not once a document."""
+    monkeypatch.setattr(divergence, "CHARACTERS", 1000)
+    texts = [("a", f"s{k % 3}", f"Common Word {'often ' * (k % 2)} w{chr(97 + k % 26)} {'y' * (k % 40 + 1)}") for k in range(2000)]
+    df = spark.createDataFrame([(k, t, lang, source) for k, (lang, source, t) in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1)
+    rows = divergence.named(df)
+    sent = Counter(t for r in rows.where("weight = 0").collect() for t in r["terms"])
+    found = Counter(t for _, _, x in texts for t in {f"a {w}" for w in x.lower().split()})
+    assert set(sent) == set(found) and all(sent[t] >= min(30, n) for t, n in found.items())
+    assert sent["a common"] < 100 and sum(sent.values()) < sum(found.values()) / 2
+    assert sorted(map(tuple, divergence.divergences(df).collect())) == plain([(x, lang, source) for lang, source, x in texts], 30)
+
+
+def test_parts_of_terms_are_even():
+    terms = pa.array([f"en w{k}" for k in range(64_000)] + ["é", "x" * 10_000])
+    n = np.bincount((divergence._hashes(terms) % np.uint64(64)).astype(int), minlength=64)
+    assert 700 < n.min() and n.max() < 1300
+    assert divergence._hashes(terms.slice(5, 9)).tolist() == divergence._hashes(terms)[5:14].tolist() and not len(divergence._hashes(terms[:0]))
+
+
 def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, monkeypatch):
     """An executor and its worker hold a batch for each task, so texts are cut by their bytes, whatever a batch's number of rows."""
     asked = []
