@@ -44,6 +44,8 @@ FULL = 0.97
 CACHE_WORDS = 200_000
 #: Characters tokenized at a time.
 BLOCK = 1 << 22
+#: Bytes of texts that go to Python at a time; both sides of an executor hold several times as much for each of its tasks.
+TEXTS = 1 << 21
 
 
 def default_vocabulary() -> str:
@@ -232,9 +234,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = Fals
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names)
+                pa.default_memory_pool().release_unused()  # else the worker keeps the most that it needed at any time
         words.forget()  # the worker goes on to other stages
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces")
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces", TEXTS)
 
 
 def best_fit(order: list[int], sizes: list[int], place: list[int], rooms: list[int]) -> None:

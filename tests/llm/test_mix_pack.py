@@ -186,6 +186,22 @@ def test_stages_get_texts_in_small_batches(spark, sf, monkeypatch):
     assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
 
 
+def test_packing_gets_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    slices = packing.slices
+
+    def seen(batch):
+        (tmp_path / f"{batch.num_rows}-{batch.column('text')[0].as_py()[:9].strip()}").write_text(str(batch.nbytes))
+        return slices(batch)
+
+    monkeypatch.setattr(packing, "slices", seen)
+    docs = spark.createDataFrame([(i, f"text{i} " + "of words " * 60_000) for i in range(24)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert packing.pieces(docs).agg({"length": "sum"}).first()[0] == sum(len(x) for x in WORDS.encode(pa.array([r["text"] for r in docs.collect()])))
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) > 24 * 540_000 and max(sizes) <= 2 * packing.TEXTS
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_remembered_words_are_bounded():
     words = packing.Words(packing.default_vocabulary())
     for k in range(4):
